@@ -1,11 +1,14 @@
 """Queries of the llm operators and their SQL, by name."""
 
-from sparkloom.llm import htmltext, langid, media, quality
+from sparkloom.llm import htmltext, langid, licenses, media, pii, quality, suffix
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_media": media.op3_media,
     "op4_quality": quality.op4_quality,
+    "op7_pii": pii.op7_pii,
+    "op8_suffix": suffix.op8_suffix,
+    "op9_licenses": licenses.op9_licenses,
     "op10_html": htmltext.op10_html,
 }
 ORACLES = {**quality.ORACLE}
