@@ -53,3 +53,20 @@ def numbered(df: DataFrame, by: list[str], name: str, key_bits: int = 24) -> Dat
     # One row per partition: the window below is over partitions, not rows.
     first = first.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return laid.join(F.broadcast(first.select("_part", "_least", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_nth") - F.col("_least")).drop("_part", "_nth", "_least", "_before")
+
+
+def has_odd_ids(docs: DataFrame) -> bool:
+    """Whether a doc_id is null or repeated; reads no texts."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def ordered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc) with a unique ``doc`` in the order of the ids: the id itself, or a row number where ids repeat.
+
+    With row numbers the columns are (doc, doc_id, text).
+    """
+    own = docs.select("doc_id", "text")
+    if has_odd_ids(own):
+        rows = numbered(own.withColumn("_fp", F.xxhash64("text")), ["doc_id", "_fp", "text"], "doc")
+        return rows.select("doc", "doc_id", "text")
+    return own.withColumn("doc", F.col("doc_id").cast("long"))

@@ -36,6 +36,9 @@ FAMILIES = {
     "agpl-3.0": ("agpl", r"agpl,?(?: version)?[ -]?v?3(?:\.0)?"),
     "agpl": ("agpl", r"agpl"),
     "agpl-name": ("general public", r"(?:gnu )?affero general public"),
+    "gpl-1.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?1(?:\.0)?"),
+    "gpl-2.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?2(?:\.0)?"),
+    "gpl-3.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?3(?:\.0)?"),
     "gpl-any": ("gpl", r"(?:gnu )?gpl"),
     "gfdl": ("documentation", r"gfdl|gnu free documentation(?= licen[sc]e)"),
     "mpl-1.1": ("mozilla", r"mozilla public licen[sc]e,?(?: version| v)? ?1\.1"),
@@ -99,6 +102,9 @@ NOTICES = {
     "bsd": ("redistribution and use", r"redistribution and use in source and binary forms"),
     "zlib": ("as-is", r"this software is provided ['‘\"]as-is['’\"], without any express"),
     "apache-2.0": ("apache.org/licenses", r"https?://(?:www\.)?apache\.org/licenses/license-2\.0"),
+    "gpl-1.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?1(?:\.0)?"),
+    "gpl-2.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?2(?:\.0)?"),
+    "gpl-3.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?3(?:\.0)?"),
     "gpl-any": ("gnu.org/licenses", r"https?://(?:www\.)?gnu\.org/licenses"),
     "mpl-2.0": ("mozilla.org/mpl", r"https?://(?:www\.)?mozilla\.org/mpl/2\.0"),
     "unlicense": ("unencumbered", r"free and unencumbered software released into the public domain"),
@@ -116,7 +122,7 @@ NOTICES = {
     "eula": ("end user", r"end[ -]user licen[sc]e agreement"),
 }
 #: Labels that several rules share.
-SAME = {"lgpl-name": "lgpl", "agpl-name": "agpl", "gpl-any": "gpl", "mpl-short": "mpl", "copyright-sign": "copyright", "copyright-c": "copyright"}
+SAME = {"gpl-1.0-name": "gpl-1.0", "gpl-2.0-name": "gpl-2.0", "gpl-3.0-name": "gpl-3.0", "lgpl-name": "lgpl", "agpl-name": "agpl", "gpl-any": "gpl", "mpl-short": "mpl", "copyright-sign": "copyright", "copyright-c": "copyright"}
 
 #: Fixed values of the base scan.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"

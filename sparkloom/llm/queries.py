@@ -1,11 +1,13 @@
 """Queries of the llm operators and their SQL, by name."""
 
-from sparkloom.llm import htmltext, langid, licenses, media, pii, quality, suffix
+from sparkloom.llm import htmltext, langid, licenses, media, neardup, pii, quality, spm, suffix
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_media": media.op3_media,
     "op4_quality": quality.op4_quality,
+    "op5_spm": spm.op5_spm,
+    "op6_neardup": neardup.op6_neardup,
     "op7_pii": pii.op7_pii,
     "op8_suffix": suffix.op8_suffix,
     "op9_licenses": licenses.op9_licenses,

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import chunks, numbered
+from sparkloom.llm.common import chunks, ordered
 
 SPAN = 100
 GRAM = 51
@@ -308,15 +308,6 @@ def _kept(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "rest", "n_bytes", "n_removed", "n_spans"])
 
 
-def ordered(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text) with a unique ``doc`` in the order of the ids: the id itself, or a row number where ids repeat."""
-    own = docs.select("doc_id", "text")
-    odd = own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
-    if odd:
-        return numbered(own.withColumn("_fp", F.xxhash64("text")), ["doc_id", "_fp", "text"], "doc").drop("_fp")
-    return own.withColumn("doc", F.col("doc_id").cast("long"))
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, rest, n_bytes, n_removed, n_spans) of every row: the bytes that are left, and what went."""
     own = ordered(docs)
