@@ -73,16 +73,17 @@ def counts(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 def base_features(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """``keep`` columns and the counts of BASE for every row."""
-    own = df.select(*keep, F.col(text_col).alias("_text"))
-    schema = own.drop("_text").schema
+    inside = text_col in keep
+    own = df.select(*keep) if inside else df.select(*keep, F.col(text_col).alias("_text"))
+    schema, at, n = own.drop("_text").schema, own.columns.index(text_col if inside else "_text"), len(keep)
     for f in df.sparkSession.createDataFrame([], BASE).schema:
         schema = schema.add(f)
 
     def run(batches):
         for batch in batches:
-            rows = [counts(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [counts(t) for t in batch.column(at).to_pylist()]
             if rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in zip(*rows))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, pa.int64()) for c in zip(*rows))], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
@@ -162,6 +163,18 @@ def assess(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"),
     return judged(base, thresholds(base, least))
 
 
+#: Groups up to which their thresholds are sent to every task; beyond, they are joined by shuffle.
+FEW_GROUPS = 10_000
+
+
+def passing(df: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows of ``df`` that the rules keep. Thresholds come from a first pass over all rows, texts stay where they are."""
+    limits = checkpointed(thresholds(checkpointed(base_features(df)), least))
+    if limits.count() <= FEW_GROUPS:
+        limits = F.broadcast(limits)
+    return judged(base_features(df, keep=tuple(df.columns)), limits).where("kept").select(*df.columns)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     return assess(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

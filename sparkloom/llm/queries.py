@@ -1,9 +1,10 @@
 """Queries of the llm operators and their SQL, by name."""
 
-from sparkloom.llm import htmltext, langid, licenses, media, neardup, pii, quality, spm, suffix
+from sparkloom.llm import htmltext, langid, licenses, media, mixing, neardup, pii, quality, spm, suffix
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_mixing": mixing.op2_mixing,
     "op3_media": media.op3_media,
     "op4_quality": quality.op4_quality,
     "op5_spm": spm.op5_spm,
