@@ -311,9 +311,12 @@ def _kept(batches):
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, rest, n_bytes, n_removed, n_spans) of every row: the bytes that are left, and what went."""
     own = ordered(docs)
+    plain = own.columns[-1] == "doc"  # the ids are their own order: both joins then read one exchange of (doc, text)
+    kind = docs.schema["doc_id"].dataType
+    own = own.select("doc", "text").where("doc is not null") if plain else own.select("doc", "text", "doc_id")
     spans = repeated_spans(own)
-    both = own.select("doc", "text", "doc_id").join(spans, "doc", "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, rest binary, n_bytes long, n_removed long, n_spans long")
+    both = own.join(spans, "doc", "left").select(F.col("doc").cast(kind).alias("doc_id") if plain else "doc_id", "text", "spans")
+    return both.mapInArrow(_kept, both.select("doc_id").schema.add("rest", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long"))
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
