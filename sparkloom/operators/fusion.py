@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Q = Window.partitionBy("qid")
+
+def _query():
+    return Window.partitionBy("qid")
 
 
 def pct_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     """Mean rank of ties over the number of values, ascending; missing values 0.5."""
     ties = Window.partitionBy("qid", col)
-    low = F.rank().over(Q.orderBy(F.col(col).asc_nulls_last()))
-    value = (low + (F.count(col).over(ties) - 1) / 2.0) / F.count(col).over(Q)
+    low = F.rank().over(_query().orderBy(F.col(col).asc_nulls_last()))
+    value = (low + (F.count(col).over(ties) - 1) / 2.0) / F.count(col).over(_query())
     return df.withColumn(out, F.when(F.col(col).isNull(), 0.5).otherwise(value))
 
 
 def rank_first(df: DataFrame, col: str, out: str, tie: str = "iid") -> DataFrame:
     """(n - rank) / max(n - 1, 1), best 1; ties by ``tie``; missing values 0."""
-    n = F.count(col).over(Q)
-    r = F.row_number().over(Q.orderBy(F.col(col).desc_nulls_last(), tie))
+    n = F.count(col).over(_query())
+    r = F.row_number().over(_query().orderBy(F.col(col).desc_nulls_last(), tie))
     return df.withColumn(out, F.when(F.col(col).isNull(), 0.0).otherwise((n - r) / F.greatest(n - 1, F.lit(1))))
 
 
 def zscore(df: DataFrame, col: str, out: str, fill: bool = False) -> DataFrame:
     """(x - mean) / max(sample deviation, 1e-6); with ``fill`` missing values get half below the query's least."""
-    std = F.greatest(F.coalesce(F.stddev_samp(col).over(Q), F.lit(0.0)), F.lit(1e-6))
-    df = df.withColumn(out, (F.col(col) - F.avg(col).over(Q)) / std)
-    return df.withColumn(out, F.coalesce(F.col(out), F.coalesce(F.min(out).over(Q), F.lit(-1.0)) - 0.5)) if fill else df
+    std = F.greatest(F.coalesce(F.stddev_samp(col).over(_query()), F.lit(0.0)), F.lit(1e-6))
+    df = df.withColumn(out, (F.col(col) - F.avg(col).over(_query())) / std)
+    return df.withColumn(out, F.coalesce(F.col(out), F.coalesce(F.min(out).over(_query()), F.lit(-1.0)) - 0.5)) if fill else df
 
 
 def outer_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,7 +40,7 @@ def outer_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def places(df: DataFrame, score: str, tie: str = "iid") -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Q.orderBy(F.desc(F.round(score, 9)), tie)).cast("long"))
+    return df.withColumn("place", F.row_number().over(_query().orderBy(F.desc(F.round(score, 9)), tie)).cast("long"))
 
 
 def metrics(placed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
