@@ -16,10 +16,18 @@ EVERY = 4
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared folder of spark.checkpoint.dir; a session without that setting gets a temporary one."""
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    # A checkpoint keeps the constraints of its plan, which Spark can't always carry over to a self-union of it.
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
 
 
 def symmetric(edges: DataFrame, loops: bool = True) -> DataFrame:
