@@ -125,7 +125,7 @@ def _count(batches):
 
     def flush():
         for lang, (codes, n) in held.items():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes)), "gram": pa.array(codes.view(np.int64)), "n": pa.array(n)})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "gram": pa.array(codes.view(np.int64)), "n": pa.array(n, pa.int64())})
         held.clear()
 
     for batch in batches:

@@ -111,11 +111,12 @@ def mixed(df: DataFrame, weights: dict[str | None, float] | None = None, block:
     names = df.columns
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if has_odd_ids(df):
-        both = checkpointed(placed(df, weights, block, period))
-        most = both.agg(F.max("slot")).first()[0]
+        packed = df.select("doc_id", "source", F.struct(*names).alias("_row"))
+        both = checkpointed(placed(packed, weights, block, period)).select("_row.*", F.col("slot").alias("_slot"), F.col("nth").alias("_nth"))
+        most = both.agg(F.max("_slot")).first()[0]
     else:  # places are found without the texts and joined to them by id
-        places = checkpointed(placed(df.select("doc_id", "source"), weights, block, period).select("doc_id", "slot", "nth"))
-        most = places.agg(F.max("slot")).first()[0]
-        both = df.join(places, "doc_id")
-    part = F.floor(F.col("slot") * n / F.lit((most or 0) + 1)).cast("int")
-    return both.repartitionById(n, part).sortWithinPartitions("slot", "nth").select(*names)
+        places = checkpointed(placed(df.select("doc_id", "source"), weights, block, period).select(F.col("doc_id").alias("_id"), F.col("slot").alias("_slot"), F.col("nth").alias("_nth")))
+        most = places.agg(F.max("_slot")).first()[0]
+        both = df.join(places, F.col("doc_id") == F.col("_id"))
+    part = F.floor(F.col("_slot") * n / F.lit((most or 0) + 1)).cast("int")
+    return both.repartitionById(n, part).sortWithinPartitions("_slot", "_nth").select(*names)

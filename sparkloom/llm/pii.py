@@ -179,9 +179,10 @@ def all_spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     return rows, discovered(rows, confident_patterns(rows))
 
 
-def with_spans(df: DataFrame, more: DataFrame, key: str) -> DataFrame:
-    right = more.withColumnsRenamed({"doc_id": "_doc_id", "fp": "_fp"})
-    return df.join(right, F.col(key).eqNullSafe(F.col("_doc_id")) & (F.col("fp") == F.col("_fp")), "left").drop("_doc_id", "_fp")
+def with_spans(df: DataFrame, more: DataFrame, key: str, fp: str) -> DataFrame:
+    """``df`` and, as its last column, the discovered spans of its rows."""
+    right = more.select(F.col("doc_id").alias("_found_id"), F.col("fp").alias("_found_fp"), F.col("more").alias("_more"))
+    return df.join(right, F.col(key).eqNullSafe(F.col("_found_id")) & (F.col(fp) == F.col("_found_fp")), "left").select(*df.columns, "_more")
 
 
 def _digest(batches):
@@ -200,8 +201,8 @@ def _digest(batches):
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, more = all_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    both = with_spans(rows.select("doc_id", "fp", "spans"), more, "doc_id")
-    return both.select("doc_id", "spans", "more").mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    both = with_spans(rows.select("doc_id", "fp", "spans"), more, "doc_id", "fp")
+    return both.select("doc_id", "spans", "_more").mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(df: DataFrame) -> DataFrame:
@@ -211,7 +212,7 @@ def masked(df: DataFrame) -> DataFrame:
     """
     _, more = all_spans(df)
     names = df.columns
-    both = with_spans(df.withColumn("fp", F.xxhash64("text")), more, "doc_id").drop("fp")
+    both = with_spans(df.withColumn("_text_fp", F.xxhash64("text")), more, "doc_id", "_text_fp").select(*names, "_more")
     at, count = names.index("text"), names.index("n_chars")
 
     def run(batches):
