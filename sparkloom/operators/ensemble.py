@@ -116,3 +116,23 @@ def class_weights(labels: DataFrame) -> DataFrame:
     total, k = F.sum("n").over(every), F.count("*").over(every)
     eff = (1 - 0.9999) / (1 - F.pow(F.lit(0.9999), "n"))
     return c.select("label", "n", (total / (k * F.col("n"))).alias("balanced"), F.least(F.sqrt(total / (k * F.col("n"))), F.lit(5.0)).alias("sqrt_balanced"), (eff / F.sum(eff).over(every) * k).alias("effective"))
+
+
+def expert_mix(p: DataFrame, experts: list[str], fallback: str, covered: DataFrame) -> DataFrame:
+    """(node, class, p): the mean of the experts for covered nodes, the fallback's value for others."""
+    s = p.groupBy("node", "class").agg(F.avg(F.when(F.col("model").isin(experts), F.col("p"))).alias("m"), F.max(F.when(F.col("model") == fallback, F.col("p"))).alias("f"))
+    s = s.join(covered.select("node").distinct().withColumn("_c", F.lit(True)), "node", "left")
+    return s.select("node", "class", F.when(F.col("_c"), F.col("m")).otherwise(F.col("f")).alias("p"))
+
+
+def weight_search(p: DataFrame, truth: DataFrame, models: list[str], draws: int = 30, seed: int = 7) -> DataFrame:
+    """(draw, weights, accuracy): Dirichlet draws and each model alone; all are scored by one grouped aggregation."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    w = np.vstack([np.eye(len(models)), rng.dirichlet(np.ones(len(models)), draws)])
+    grid = p.sparkSession.createDataFrame([(i, m, float(x)) for i, row in enumerate(w) for m, x in zip(models, row)], "draw int, model string, w double")
+    s = p.join(F.broadcast(grid), "model").groupBy("draw", "node", "class").agg(F.round(F.sum(F.col("w") * F.col("p")), 9).alias("s"))  # draws x models
+    best = s.groupBy("draw", "node").agg(F.max_by("class", F.struct("s", -F.col("class"))).alias("pred")).join(truth, "node")
+    score = best.groupBy("draw").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"))
+    return score.join(grid.groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("model", "w"))).alias("weights")), "draw")

@@ -49,3 +49,18 @@ def metrics(placed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     rows = queries.select("qid").join(hit, "qid", "left")
     inside = F.col("place") <= k
     return rows.agg(F.count("*").alias("n_queries"), F.avg(F.when(inside, 1 / F.log2(F.col("place") + 1)).otherwise(0.0)).alias("ndcg"), F.avg(inside.cast("double")).alias("_h"), F.avg(F.coalesce(inside, F.lit(False)).cast("double")).alias("hit"), F.avg(F.when(inside, 1 / F.col("place")).otherwise(0.0)).alias("mrr")).drop("_h")
+
+
+def pct_blend(df: DataFrame, weights: dict[str, float], out: str = "blend") -> DataFrame:
+    """Weighted sum of the query-wise mean ranks of several scores."""
+    total = F.lit(0.0)
+    for col, w in weights.items():
+        df = pct_rank(df, col, f"_p_{col}")
+        total += w * F.col(f"_p_{col}")
+    return df.withColumn(out, total).drop(*(f"_p_{c}" for c in weights))
+
+
+def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: candidates of each model, of both, and of either."""
+    both = outer_union(a.select(*keys).withColumn("_a", F.lit(1)), b.select(*keys).withColumn("_b", F.lit(1)), keys)
+    return both.agg(F.count("_a").alias("n_a"), F.count("_b").alias("n_b"), F.sum((F.col("_a").isNotNull() & F.col("_b").isNotNull()).cast("long")).alias("shared"), F.count("*").alias("either"))

@@ -238,3 +238,20 @@ def profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     a = back.agg(F.count("*").alias("n_edges"), F.sum((F.col("src") == F.col("dst")).cast("long")).alias("n_loops"), F.avg(F.coalesce("r", F.lit(0)).cast("double")).alias("reciprocal"))
     d = degrees(nodes, e).agg(F.count("*").alias("n_nodes"), F.avg("deg").alias("mean_deg"), F.max("deg").alias("max_deg"), F.avg((F.col("deg") == 0).cast("double")).alias("isolated"))
     return d.join(a).withColumn("density", F.col("n_edges") / (F.col("n_nodes") * F.col("n_nodes")))  # one row each
+
+
+def scaled_attributes(attrs: DataFrame, mode: str = "row") -> DataFrame:
+    """(node, dim, v) scaled: ``row`` sums to 1, ``l2`` has length 1, ``binary`` is 1, ``standard`` by dimension, ``none``.
+
+    ``standard`` uses the mean and deviation of the values that are there; a deviation below 1e-6 counts as 1.
+    """
+    if mode == "none":
+        return attrs
+    if mode == "binary":
+        return attrs.withColumn("v", (F.col("v") != 0).cast("double"))
+    if mode == "standard":
+        s = attrs.groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+        return attrs.join(s, "dim").select("node", "dim", ((F.col("v") - F.col("m")) / F.when(F.col("s") < 1e-6, 1.0).otherwise(F.col("s"))).alias("v"))
+    size = F.sum("v") if mode == "row" else F.sqrt(F.sum(F.col("v") * F.col("v")))
+    s = attrs.groupBy("node").agg(size.alias("s"))
+    return attrs.join(s, "node").select("node", "dim", F.coalesce(F.try_divide("v", "s"), F.lit(0.0)).alias("v"))

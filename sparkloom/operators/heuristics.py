@@ -80,3 +80,23 @@ def similar_users(u: DataFrame, cats: list[str], k: int = 20) -> DataFrame:
     pairs = shared.select("uid", (F.col("n") / len(cats)).alias("sim"), F.explode("others").alias("other")).where("uid <> other")
     order = Window.partitionBy("uid").orderBy(F.desc("sim"), "other")
     return pairs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+
+def preferences(h: DataFrame, k: int = 5) -> DataFrame:
+    """(uid, items): the target, then the user's ``k`` most frequent items, ties by id."""
+    own = h.select("uid", "target", F.explode_outer("raw").alias("iid")).groupBy("uid", "target", "iid").agg(F.count("iid").alias("c"))
+    order = Window.partitionBy("uid").orderBy(F.desc("c"), "iid")
+    top = own.withColumn("_r", F.row_number().over(order)).where((F.col("_r") <= k) & F.col("iid").isNotNull())
+    lists = top.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "iid"))), lambda s: s["iid"]).alias("top"))
+    return h.select("uid", "target").join(lists, "uid", "left").select("uid", F.concat(F.array("target"), F.coalesce("top", F.array().cast("array<string>"))).alias("items"))
+
+
+def ranker_candidates(h: DataFrame, popular_n: int = 20, last_n: int = 30, moves_n: int = 15) -> DataFrame:
+    """(uid, iid): the most popular items, those that follow the last item as target or next item, and the history."""
+    top = popular(h).orderBy(F.desc("cnt"), "iid").limit(popular_n).select("iid")  # the feature: a top-k report
+    last = h.where(F.size("dedup") > 0).select("uid", F.element_at("dedup", -1).alias("a"), "target")
+    best = lambda df, n: df.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "iid"))).where(F.col("_r") <= n).select("a", "iid")
+    to = best(last.groupBy("a", F.col("target").alias("iid")).agg(F.count("*").alias("c")), last_n)
+    moves = best(S.neighbours(h).groupBy("a", F.col("b").alias("iid")).agg(F.count("*").alias("c")), moves_n)
+    parts = [h.select("uid").join(F.broadcast(top)), last.join(to, "a").select("uid", "iid"), last.join(moves, "a").select("uid", "iid"), h.select("uid", F.explode("dedup").alias("iid"))]
+    return reduce(DataFrame.unionByName, parts).distinct()

@@ -41,3 +41,20 @@ def negatives(h: DataFrame, items: DataFrame, n: int = 3, salt: str = "neg") ->
     draws = draws.withColumn("idx", F.pmod(F.xxhash64("uid", F.lit(salt), "j"), F.col("size"))).join(vocab, "idx").where(~F.array_contains("seen", F.col("item")))
     first = draws.groupBy("uid", "item").agg(F.min("j").alias("j"))
     return first.withColumn("r", F.row_number().over(Window.partitionBy("uid").orderBy("j"))).where(F.col("r") <= n).select("uid", F.col("item").alias("iid"))
+
+
+def tail_split(df: DataFrame, order: str, share: float = 0.2) -> DataFrame:
+    """Marks the last ``share`` of a small table's rows in the order of ``order``."""
+    return df.withColumn("is_tail", F.row_number().over(Window.orderBy(order)) > F.count("*").over(Window.partitionBy()) - F.floor(share * F.count("*").over(Window.partitionBy())))
+
+
+def label_mask(seeds: DataFrame, key: str, per_mille: int = 500, salt: str = "mask") -> DataFrame:
+    """role: query for labels to be predicted, context for labels that may be seen; no row is both."""
+    return seeds.withColumn("role", F.when(hash_bucket(F.concat(F.col(key).cast("string"), F.lit(f":{salt}")), 1000) < per_mille, "query").otherwise("context"))
+
+
+def ranking_pairs(rows: DataFrame, n: int = 20) -> DataFrame:
+    """(qid, pos, neg): each query's positive with its ``n`` negatives of least hash; rows have label 0 or 1."""
+    order = Window.partitionBy("qid").orderBy(F.md5(F.concat("qid", F.lit(":"), "iid")), "iid")
+    neg = rows.where("label = 0").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).select("qid", F.col("iid").alias("neg"))
+    return rows.where("label = 1").select("qid", F.col("iid").alias("pos")).join(neg, "qid")

@@ -166,3 +166,33 @@ def top_propensity_split(spark, d):
 @query("SELECT least(5, greatest(2, min(n)))::BIGINT AS folds FROM (SELECT count(*) AS n FROM nodes GROUP BY label)", GRAPH_SQL)
 def fold_count_guard(spark, d):
     return SP.fold_count(labels(spark, d), "label")
+
+
+COVER = "(SELECT src FROM sym JOIN seeds ON dst = seeds.node)"
+
+
+@query(f"SELECT node, class, round(CASE WHEN node IN {COVER} THEN avg(p) FILTER (WHERE model <> 'hot') ELSE max(p) FILTER (WHERE model = 'hot') END, 6) AS p FROM probs GROUP BY node, class", PSQL)
+def expert_mix(spark, d):
+    n, e = nodes(spark, d), fixture(spark, d)
+    near = G.symmetric(e).join(n.where("split = 'train'").select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+    return E.expert_mix(probs(spark, d), ["cold", "mid"], "hot", near).withColumn("p", F.round("p", 6))
+
+
+@query()
+def blend_weight_search(spark, d):
+    """Random draws, so without SQL."""
+    return E.weight_search(G.checkpointed(probs(spark, d)), labels(spark, d), ["cold", "mid", "hot"]).select("draw", F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("SELECT node, row_number() OVER (ORDER BY node) > count(*) OVER () - floor(0.2 * count(*) OVER ()) AS is_tail, CASE WHEN CAST(concat('0x', substr(md5(CAST(node AS VARCHAR) || ':mask'), 1, 8)) AS BIGINT) % 1000 < 500 THEN 'query' ELSE 'context' END AS role FROM nodes", GRAPH_SQL)
+def tail_and_mask(spark, d):
+    return SP.label_mask(SP.tail_split(nodes(spark, d).select("node"), "node"), "node")
+
+
+@query("SELECT node, i::BIGINT AS dim, round(v[i] / sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3] + v[4] * v[4]), 6) AS l2, round(v[i] / nullif(v[1] + v[2] + v[3] + v[4], 0), 4) AS row_share FROM vec, range(1, 5) t(i)", GRAPH_SQL)
+def attribute_scaling(spark, d):
+    from sparkloom.plans.graphs import vectors
+
+    a = vectors(spark, d).select("node", F.posexplode(F.slice("vec", 1, 4)).alias("p", "v")).select("node", (F.col("p") + 1).cast("long").alias("dim"), F.col("v").cast("double").alias("v"))
+    l2 = G.scaled_attributes(a, "l2").select("node", "dim", F.round("v", 6).alias("l2"))
+    return l2.join(G.scaled_attributes(a, "row").select("node", "dim", F.round("v", 4).alias("row_share")), ["node", "dim"])

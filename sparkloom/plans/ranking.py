@@ -379,3 +379,37 @@ def long_tail_coverage(spark, d):
     order = Window.orderBy(F.desc("c"), "item")  # one row an item
     s = c.select(F.row_number().over(order).cast("long").alias("r"), (F.sum("c").over(order) / F.sum("c").over(Window.partitionBy())).alias("got"))
     return s.select("r", "got", F.explode(F.array(F.lit(0.5), F.lit(0.8), F.lit(0.9))).alias("share")).where("got >= share").groupBy("share").agg(F.min("r").alias("n_items"))
+
+
+PCT = "(CASE WHEN {0} IS NULL THEN 0.5 ELSE (rank() OVER (PARTITION BY qid ORDER BY {0} NULLS LAST) + (count({0}) OVER (PARTITION BY qid, {0}) - 1) / 2) / count({0}) OVER (PARTITION BY qid) END)"
+
+
+@query(f"SELECT qid, iid, round(0.7 * {PCT.format('s1')} + 0.3 * {PCT.format("s2")}, 9) AS blend FROM scores", SCORES_SQL)
+def blend_scores(spark, d):
+    return FU.pct_blend(scores(spark, d), {"s1": 0.7, "s2": 0.3}).select("qid", "iid", F.round("blend", 9).alias("blend"))
+
+
+@query("SELECT count(*) AS n_a, count(s2) AS n_b, count(s2) AS shared, count(*) AS either FROM scores", SCORES_SQL)
+def candidate_overlap(spark, d):
+    s = scores(spark, d)
+    return FU.overlap(s, s.where("s2 is not null"), ["qid", "iid"])
+
+
+@query("SELECT p.qid, p.iid AS pos, n.iid AS neg FROM scores p JOIN (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY md5(qid || ':' || iid), iid) AS r FROM scores WHERE label = 0) n ON p.qid = n.qid AND r <= 20 WHERE p.label = 1", SCORES_SQL)
+def ranking_pairs(spark, d):
+    from sparkloom.operators.splits import ranking_pairs as pairs
+
+    return pairs(scores(spark, d).select("qid", "iid", "label"))
+
+
+@query("SELECT t.uid, target || coalesce(',' || top, '') AS items FROM tgt t LEFT JOIN (SELECT uid, string_agg(item, ',' ORDER BY r) AS top FROM (SELECT uid, item, row_number() OVER (PARTITION BY uid ORDER BY count(*) DESC, item) AS r FROM hist GROUP BY uid, item) WHERE r <= 5 GROUP BY uid) USING (uid)", HIST_SQL)
+def user_preferences(spark, d):
+    return _csv(H.preferences(T.h(spark, d)))
+
+
+@query("""SELECT uid, iid FROM tgt CROSS JOIN (SELECT item AS iid FROM seq GROUP BY item ORDER BY count(*) DESC, item LIMIT 20)
+  UNION SELECT uid, iid FROM lastd JOIN (SELECT a, iid, row_number() OVER (PARTITION BY a ORDER BY c DESC, iid) AS r FROM l2t) USING (a) WHERE r <= 30
+  UNION SELECT uid, b FROM lastd JOIN (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, b) AS r FROM nxt WHERE b IS NOT NULL GROUP BY a, b) USING (a) WHERE r <= 15
+  UNION SELECT uid, item FROM hist""", FULL + PAIR_SQL + _warm_sql(H.V4))
+def ranker_candidates(spark, d):
+    return H.ranker_candidates(T.h(spark, d))
