@@ -13,26 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing, neardup, pii, quality, spm
-from sparkloom.llm.common import shared_folder
+from sparkloom.llm.common import shared_folder, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their group's thresholds keep."""
+    small_batches(spark)
     return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word shingle sets with a similarity of 0.8 or more."""
+    small_batches(spark)
     return neardup.without_copies(docs, percent=80, width=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data masked, and n_chars of the new text."""
+    small_batches(spark)
     return pii.masked(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the schedule."""
+    small_batches(spark)
     return mixing.mixed(docs)
 
 
@@ -41,6 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Read from files, ``shard`` and ``row`` are a document's file and its place there: the order of the mix.
     """
+    small_batches(spark)
     place = []
     if docs.inputFiles():
         shard = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker holds as arrays at once; longer texts go alone.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+#: Rows that go to a Python worker at once: texts are long, and a batch is held several times over.
+BATCH_ROWS = 2000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows, so that a worker's memory doesn't depend on its default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,8 +34,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     A session without that setting (tests, one machine) gets a temporary folder.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    # A checkpoint keeps the constraints of its plan, which Spark can't always carry over to a self-union of it.
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def chunks(values: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:

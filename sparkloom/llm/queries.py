@@ -1,6 +1,20 @@
 """Queries of the llm operators and their SQL, by name."""
 
+from functools import wraps
+
 from sparkloom.llm import htmltext, langid, licenses, media, mixing, neardup, pii, quality, spm, suffix
+from sparkloom.llm.common import small_batches
+
+
+
+def _in_small_batches(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -14,4 +28,5 @@ QUERIES = {
     "op9_licenses": licenses.op9_licenses,
     "op10_html": htmltext.op10_html,
 }
+QUERIES = {name: _in_small_batches(query) for name, query in QUERIES.items()}
 ORACLES = {**quality.ORACLE}
