@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ RANK_SHIFT = 10
 #: Log probability of a byte that has no piece.
 BYTE_COST = -14.0
 #: Lattice positions that a task keeps for words that come again.
-HELD = 1_500_000
+HELD = 1_000_000
 WORDS = re.compile(r" +[^ ]*")
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 MASK = 2**64 - 1
@@ -105,27 +106,54 @@ class Lattices:
         self.node = np.array(sorted(node), np.uint64)
         self.piece = np.array([node[int(x)][0] for x in self.node])
         self.logp = np.array([node[int(x)][1] for x in self.node])
+        self.slots = np.full(1 << 20, -1, np.int32)
+        for i, x in enumerate(self.node.tolist()):
+            at = x & 0xFFFFF
+            while self.slots[at] >= 0:
+                at = (at + 1) & 0xFFFFF
+            self.slots[at] = i
+        sizes = np.fromiter(map(len, self.bytes_of), np.int64, n)
+        self.text = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(sizes) - sizes, sizes
         self.clear()
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The node of each prefix name, -1 where there is none."""
+        at = (h & np.uint64(0xFFFFF)).astype(np.int64)
+        out = self.slots[at]
+        open_ = np.flatnonzero((out >= 0) & (self.node[out] != h))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & 0xFFFFF
+            out[open_] = self.slots[at[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.node[out[open_]] != h[open_])]
+        return out
+
     @staticmethod
     def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         return _mix(h * _M3 + c.astype(np.uint64) + np.uint64(1))
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
-        self.first = np.empty(0, np.int64)  # of a word: its first position; the position after its last is its end
-        self.last = np.empty(0, np.int64)
-        self.own = np.empty(0, np.int64), np.zeros(1, np.int64)  # the model's own ids of all words, and bounds
-        self.at = np.empty(0, np.int64)  # of an edge, in order of position: position, target, piece, probability
-        self.to = np.empty(0, np.int64)
-        self.id = np.empty(0, np.int64)
-        self.p = np.empty(0)
-        self.log = np.empty(0)
-        self.upto = np.empty(0)  # position + cumulative probability
-        self.sole = np.empty(0, bool)  # the only edge of its position
-        self.closes = np.empty(0, bool)  # it ends its word
+        # Of a word: its first position, the one after its last, and the bounds of the model's own ids.
+        self.first, self.last, self.bounds = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+        # Of an edge, in order of position: position, target, piece, log probability, position + cumulative probability,
+        # whether it is the only edge of its position, whether it ends its word.
+        self._held: dict[str, np.ndarray] = {}
+        self._used: dict[str, int] = {}
+        for name, kind in (("at", np.int32), ("to", np.int32), ("id", np.int32), ("log", np.float64), ("upto", np.float64), ("sole", np.bool_), ("closes", np.bool_), ("head", np.int32), ("own", np.int32)):
+            self._held[name], self._used[name] = np.empty(1024, kind), 0
+            setattr(self, name, self._held[name][:0])
         self.size = 0
 
+    def _append(self, name: str, values: np.ndarray) -> None:
+        used, held = self._used[name], self._held[name]
+        if used + len(values) > len(held):
+            held = np.empty(2 * (used + len(values)), held.dtype)
+            held[:used] = self._held[name][:used]
+            self._held[name] = held
+        held[used : used + len(values)] = values
+        self._used[name] = used + len(values)
+        setattr(self, name, held[: used + len(values)])
+
     def add(self, words: list[str]) -> None:
         """Lattices of new words, all at once."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
@@ -139,8 +167,8 @@ class Lattices:
         k = 0
         while len(alive):
             h = self._step(h, cp[alive + k])
-            i = np.minimum(np.searchsorted(self.node, h), len(self.node) - 1)
-            ok = self.node[i] == h
+            i = self._find(h)
+            ok = i >= 0
             alive, h, i = alive[ok], h[ok], i[ok]
             k += 1
             piece = self.piece[i] >= 0
@@ -156,7 +184,7 @@ class Lattices:
         c = cp[bare].astype(np.int64)
         src.append(bare)
         length.append(np.ones(len(bare), np.int64))
-        ids.append(-c - 1)
+        ids.append(np.where(c < 0x80, np.array(self.byte_id)[np.minimum(c, 255)], -c - 1))
         logs.append(BYTE_COST * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))
         src, length, ids, logs = map(np.concatenate, (src, length, ids, logs))
         at, to = pos[src], pos[src] + length
@@ -170,7 +198,7 @@ class Lattices:
             top = np.maximum.reduceat(v, new)
             many = np.diff(np.append(new, b - a))
             total[at[a + new]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), new))
-        order = np.argsort(at, kind="stable")
+        order = np.lexsort((-to, at))  # the longest piece first: it mostly is the likeliest
         at, to, ids, logs = at[order], to[order], ids[order], logs[order]
         log = np.minimum(logs + total[to] - total[at], 0.0)
         p = np.exp(log)
@@ -182,18 +210,22 @@ class Lattices:
         run[new + many - 1] = 1.0
         ends = np.zeros(len(total), bool)
         ends[first + lens] = True
-        self.sole, self.closes = np.append(self.sole, np.repeat(many == 1, many)), np.append(self.closes, ends[to])
         base, n = self.size, len(self.words)
         for i, w in enumerate(words):
             self.words[w] = n + i
         self.first = np.append(self.first, first + base)
         self.last = np.append(self.last, first + lens + base)
-        self.at, self.to = np.append(self.at, at + base), np.append(self.to, to + base)
-        self.id, self.p, self.log = np.append(self.id, ids), np.append(self.p, p), np.append(self.log, log)
-        self.upto = np.append(self.upto, at + base + run)
+        head = np.zeros(len(total), np.int64)
+        head[at[new]] = new + len(self.at)
+        for name, v in (("at", at + base), ("to", to + base), ("id", ids), ("log", log), ("upto", at + base + run), ("sole", np.repeat(many == 1, many)), ("closes", ends[to]), ("head", head)):
+            self._append(name, v)
         self.size = base + len(total)
         own = self.sp.encode([w[1:] for w in words], num_threads=1)
-        self.own = np.append(self.own[0], np.fromiter((x for o in own for x in o), np.int64)), np.append(self.own[1], self.own[1][-1] + np.cumsum(list(map(len, own))))
+        if " " in words:  # a blank at the end of a text; alone it would be an empty text
+            own[words.index(" ")] = [self.sp.piece_to_id("▁")]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self._append("own", np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum())))
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(sizes))
 
     def indices(self, texts: list[str]) -> list[np.ndarray]:
         """The words of each text, as numbers of known lattices."""
@@ -206,8 +238,7 @@ class Lattices:
         return [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in split]
 
     def own_ids(self, words: np.ndarray) -> np.ndarray:
-        flat, bounds = self.own
-        return flat[_ranges(bounds[words], bounds[words + 1])]
+        return self.own[_ranges(self.bounds[words], self.bounds[words + 1])].astype(np.int64)
 
     def walk(self, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges drawn from each start to its end, walk by walk, and the number of edges of each walk."""
@@ -215,8 +246,12 @@ class Lattices:
         steps, who = [], []
         t = 0
         while len(live):
-            u = _uniform(key[live] + np.uint64(t * int(_M1) & MASK))
-            e = np.searchsorted(self.upto, at[live] + u, side="right")
+            goal = at[live] + _uniform(key[live] + np.uint64(t * int(_M1) & MASK))
+            e = self.head[at[live]]
+            late = np.flatnonzero(self.upto[e] <= goal)
+            while len(late):
+                e[late] += 1
+                late = late[self.upto[e[late]] <= goal[late]]
             steps.append(e)
             who.append(live)
             at[live] = self.to[e]
@@ -228,20 +263,24 @@ class Lattices:
         return np.concatenate(steps)[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(start))
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
-        out = self.id[edges]
-        if (out < 0).any():
-            wide: list[int] = []
-            for x in out.tolist():
-                if x >= 0:
-                    wide.append(x)
-                else:
-                    wide += [self.byte_id[b] for b in chr(-x - 1).encode("utf-8", "surrogatepass")]
-            out = np.array(wide, np.int64)
+        out = self.id[edges].astype(np.int64)
+        bare = np.flatnonzero(out < 0)
+        if len(bare):
+            parts = [[self.byte_id[b] for b in chr(-x - 1).encode("utf-8", "surrogatepass")] for x in out[bare].tolist()]
+            sizes = np.ones(len(out), np.int64)
+            sizes[bare] = list(map(len, parts))
+            first = np.cumsum(sizes) - sizes
+            out = np.repeat(out, sizes)
+            out[_ranges(first[bare], first[bare] + sizes[bare])] = list(chain.from_iterable(parts))
         return out
 
+    def raw(self, ids: np.ndarray) -> bytes:
+        """The bytes of all pieces, with the blank that the model puts first."""
+        flat, first, size = self.text
+        return flat[_ranges(first[ids], first[ids] + size[ids])].tobytes()
+
     def decode(self, ids: np.ndarray) -> str:
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids.tolist()])[1:].decode("utf-8", "surrogatepass")
+        return self.raw(ids)[1:].decode("utf-8", "surrogatepass")
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -262,13 +301,13 @@ class _Path:
         log = lat.log[edges]
         before = np.cumsum(log) - log
         self.log_prob = float(log.sum())
-        gone = lat.p[edges[start:]].copy()
+        gone = np.exp(log[start:])
         rest = np.where(lat.sole[edges[start:]], 0.0, np.maximum(1 - gone, 0.0))  # no other edge: nothing is left
         if banned and len(rest):
             e = int(edges[start])
             a, b = np.searchsorted(lat.at, lat.at[e], "left"), np.searchsorted(lat.at, lat.at[e], "right")
             others = [x for x in range(a, b) if x != e and x not in banned]
-            rest[0] = sum(lat.p[x] for x in others)
+            rest[0] = float(np.exp(lat.log[others]).sum())
         with np.errstate(divide="ignore", over="ignore"):
             phi = before[start:] + np.log(rest)
             u = _uniform(key + np.arange(start, len(edges), dtype=np.uint64) * _M2)
@@ -306,7 +345,7 @@ def sample(lat: Lattices, words: list[np.ndarray], keys: list[np.uint64], k: int
                 banned = (top.banned if step == 0 else frozenset()) | {e}
                 a, b = np.searchsorted(lat.at, lat.at[e], "left"), np.searchsorted(lat.at, lat.at[e], "right")
                 free = [x for x in range(a, b) if x not in banned]
-                mass = np.cumsum(lat.p[free])
+                mass = np.cumsum(np.exp(lat.log[free]))
                 u = float(_uniform(turn[i : i + 1] + np.uint64(5))[0])
                 pick = free[min(int(np.searchsorted(mass, u * mass[-1], "right")), len(free) - 1)]
                 plans.append((i, np.append(top.edges[:at], pick), bound, at, banned))
@@ -359,17 +398,18 @@ def encode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), key_col: str = "d
         lat = lattices(path or default_model())
         for batch in batches:
             keys, texts = batch.column(batch.num_columns - 2).to_pylist(), [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            ids, samples, same = [], [], []
-            for i, j in chunks(texts, 1_000_000):
+            for i, j in chunks(texts, 750_000):
+                ids, samples, same = [], [], []
                 words = lat.indices(texts[i:j])
                 for w, t, drawn in zip(words, texts[i:j], sample(lat, words, [row_key(x, seed) for x in keys[i:j]], k)):
                     own_ids, more = lat.own_ids(w), [(lat.ids(e), *x) for e, *x in drawn]
                     ids.append(pack(own_ids))
                     samples.append([{"ids": pack(x), "log_prob": a, "perturbed": b, "inclusion": c} for x, a, b, c in more])
                     if check:
-                        same.append(lat.decode(own_ids) == t.replace("▁", " ") and all(lat.decode(x[0]) == t for x in more))
-            if texts:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(ids, pa.binary()), pa.array(samples, _SAMPLES), *([pa.array(same, pa.bool_())] if check else [])], names=schema.names)
+                        want = t.encode("utf-8", "surrogatepass")
+                        blank = want.replace("▁".encode(), b" ")
+                        same.append(lat.raw(own_ids)[1:] == blank and all(lat.raw(x[0])[1:] == want for x in more))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-2]), pa.array(ids, pa.binary()), pa.array(samples, _SAMPLES), *([pa.array(same, pa.bool_())] if check else [])], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
