@@ -35,7 +35,7 @@ RANK_SHIFT = 10
 #: Log probability of a byte that has no piece.
 BYTE_COST = -14.0
 #: Lattice positions that a task keeps for words that come again.
-HELD = 1_000_000
+HELD = 2_500_000
 WORDS = re.compile(r" +[^ ]*")
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 MASK = 2**64 - 1
@@ -92,6 +92,7 @@ class Lattices:
             self.bytes_of.append(text.encode())
             if not re.search("[^ ] ", text):  # it would cross the start of a word
                 ranked.append((text, i, -self.sp.get_score(i)))
+        self.longest = max(len(text) for text, _, _ in ranked)
         norm = np.log(sum(1 / (r + RANK_SHIFT) for _, _, r in ranked))
         node: dict[int, tuple[int, float]] = {}
         for text, i, rank in ranked:
@@ -188,7 +189,7 @@ class Lattices:
         logs.append(BYTE_COST * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))
         src, length, ids, logs = map(np.concatenate, (src, length, ids, logs))
         at, to = pos[src], pos[src] + length
-        order = np.lexsort((at, left[src]))
+        order = np.argsort(left[src] * (len(cp) + len(words) + 1) + at, kind="stable")
         at, to, ids, logs, rest = at[order], to[order], ids[order], logs[order], left[src][order]
         total = np.zeros(int((lens + 1).sum()))  # log of the mass of all ways from a position to its word's end
         levels = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
@@ -198,7 +199,7 @@ class Lattices:
             top = np.maximum.reduceat(v, new)
             many = np.diff(np.append(new, b - a))
             total[at[a + new]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), new))
-        order = np.lexsort((-to, at))  # the longest piece first: it mostly is the likeliest
+        order = np.argsort(at * (self.longest + 1) - (to - at), kind="stable")  # the longest piece first: it mostly is the likeliest
         at, to, ids, logs = at[order], to[order], ids[order], logs[order]
         log = np.minimum(logs + total[to] - total[at], 0.0)
         p = np.exp(log)
