@@ -1,34 +1,36 @@
 """Near-duplicate groups by an LSH forest of MinHash signatures, with links confirmed on full shingle sets.
 
-1. Each text becomes its set of distinct word 3-shingles and a signature of TREES * DEPTH minima. Texts with equal sets
-   form a class, which goes on as its first document.
-2. Each tree orders the classes by its own DEPTH minima. Classes that share the first LEAST_DEPTH minima are a region;
-   regions with too many rows for a task are told apart by all DEPTH minima. In a region, breadth-first search over
-   estimated similarities links the longest-common-prefix neighbours into candidate chains; where many classes stay
-   apart, the search goes on within those that share one more minimum, so the depth follows a region's density.
+1. Each text becomes its set of distinct word 3-shingles and a signature of HASHES minima. Texts with equal sets form a
+   class, which goes on as its first document.
+2. Each tree has LEAST_DEPTH minima of its own. Classes that share them are a region. In a region, breadth-first search
+   over estimated similarities links all classes that may be similar into candidate chains. A region with too many rows
+   for a task is dealt into row blocks, and each two blocks are a task, so that any two of its classes still meet.
 3. The candidate chains of all trees are joined to blocks. Each block's texts meet in one task, which compares full sets:
    every pair of different groups whose estimate allows a link is confirmed or refused, until no pair is left. Blocks
    that are too heavy for a task are cut along several signature orders, with shared leaders, and joined afterwards.
 
-A class pair at the threshold meets in a tree with probability 0.61, in none of 12 with 1e-5; the estimate keeps it but
-for 1e-7. Odd input: a text without words (or null) has an empty set and is linked with nothing; fewer than three words
+There are as many trees as a class pair at the threshold needs to miss all of them with 1e-5 at most, however dense its
+regions are (0.85: 13 trees, 0.8: 17; below 0.67 the rate rises, as the minima don't suffice); the estimate keeps it but
+for 1e-7. Regions are compared in full: one of n classes that all stay apart takes n * n / 2 estimates. Odd input: a text without words (or null) has an empty set and is linked with nothing; fewer than three words
 count as one shingle; rows with null or repeated ids count as documents of their own, in the order of id and text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import checkpointed, chunks, has_odd_ids, numbered, ordered
 
-TREES, DEPTH, LEAST_DEPTH = 12, 8, 3
-HASHES = TREES * DEPTH
-#: Classes that stay apart in a region from which the search goes on one minimum deeper.
+HASHES, LEAST_DEPTH = 96, 3
+#: Greatest probability that a pair at the threshold meets in no tree.
+MISS = 1e-5
+#: Signatures of a dense region that are compared at once, so that the comparison stays in a core's cache.
 DENSE = 4096
 #: Rows of a region, and shingles of a block, that one task takes.
 REGION_ROWS, BLOCK_SHINGLES = 20_000, 12_000_000
@@ -110,19 +112,24 @@ def signatures(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 FEATURES = "doc long, doc_id long, n_shingles long, fp binary, keys array<long>, sig binary"
 
 
-def _features(batches, width: int):
+def trees(percent: int) -> int:
+    """Trees for which a pair at the threshold shares LEAST_DEPTH minima in none with probability MISS at most."""
+    return min(HASHES // LEAST_DEPTH, math.ceil(math.log(MISS) / math.log1p(-max(percent, 1) ** LEAST_DEPTH / 100**LEAST_DEPTH))) if percent < 100 else 1
+
+
+def _features(batches, width: int, n_trees: int):
     for batch in batches:
         ids, texts = batch.select(["doc", "doc_id"]).columns, batch.column(2).to_pylist()
         for i, j in chunks(texts):
             names, bounds = shingles(texts[i:j], width)
             sig = signatures(names, bounds)
-            key = np.zeros((len(sig), TREES), np.uint64)
+            key = np.zeros((len(sig), n_trees), np.uint64)
             for level in range(LEAST_DEPTH):
-                key = _mix(key * np.uint64(7) + sig[:, level::DEPTH] + np.arange(TREES, dtype=np.uint64))
+                key = _mix(key * np.uint64(7) + sig[:, level : n_trees * LEAST_DEPTH : LEAST_DEPTH] + np.arange(n_trees, dtype=np.uint64))
             small = (_mix(sig) & np.uint64(255)).astype(np.uint8)
             fp = [hashlib.blake2b(names[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [ids[0].slice(i, j - i), ids[1].slice(i, j - i), pa.array(np.diff(bounds)), pa.array(fp, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * TREES), pa.array(key.view(np.int64).ravel())), pa.array([x.tobytes() for x in small], pa.binary())],
+                [ids[0].slice(i, j - i), ids[1].slice(i, j - i), pa.array(np.diff(bounds)), pa.array(fp, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * n_trees), pa.array(key.view(np.int64).ravel())), pa.array([x.tobytes() for x in small], pa.binary())],
                 names=["doc", "doc_id", "n_shingles", "fp", "keys", "sig"],
             )
 
@@ -134,65 +141,69 @@ def least_equal(percent: int) -> int:
 
 
 def equal(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (sig == one).sum(axis=1)
+    out = np.empty(len(sig), np.int64)
+    for i in range(0, len(sig), DENSE):
+        eights = (sig[i : i + DENSE] == one).view(np.uint64).sum(axis=1)  # bytes hold counts of HASHES / 8 at most
+        out[i : i + DENSE] = (eights * np.uint64(0x0101010101010101)) >> np.uint64(56)
+    return out
 
 
 def _search(sig: np.ndarray, rows: np.ndarray, tree: int, depth: int, edges: list[tuple[int, int]], least: int) -> None:
-    """Candidate chains among ``rows``: breadth first, each class against those not reached yet."""
-    todo = [(rows, depth)]
-    while todo:
-        rows, depth = todo.pop()
-        left, tried = rows, 0
-        mode = np.zeros(HASHES, np.uint8)
-        if len(rows) > 64:  # the class that agrees most with its region goes first: it reaches most others
-            for k in range(HASHES):
-                mode[k] = np.bincount(sig[rows, k], minlength=256).argmax()
-            left = rows[np.argsort(-equal(sig[rows], mode), kind="stable")]
-        queue: list[int] = []
-        alone = []
-        while len(left):
-            if queue:
-                x = queue.pop()
-            else:
-                x, left = int(left[0]), left[1:]
-                tried += 1
-                alone.append(x)
-                if tried > 64 and len(left) > DENSE and depth < DEPTH:
-                    break
-            hit = equal(sig[left], sig[x]) >= least
-            if hit.any():
-                found = left[hit]
-                edges += [(x, int(y)) for y in found]
-                queue += found.tolist()
-                left = left[~hit]
-        if len(left):
-            rest = np.concatenate([np.array(alone), left])
-            value = sig[rest, tree * DEPTH + depth]
-            order = np.argsort(value, kind="stable")
-            cut = np.flatnonzero(np.diff(value[order])) + 1
-            todo += [(part, depth + 1) for part in np.split(rest[order], cut) if len(part) > 1]
+    """Candidate chains among ``rows``, which share ``depth`` minima of ``tree``: breadth first, each class against all
+    that aren't reached yet, until none is left."""
+    left = rows
+    if len(rows) > 64:  # the class that agrees most with its region goes first: it reaches most others
+        mode = np.array([np.bincount(sig[rows, k], minlength=256).argmax() for k in range(HASHES)], np.uint8)
+        left = rows[np.argsort(-equal(sig[rows], mode), kind="stable")]
+    own = sig[left]
+    queue: list[int] = []
+    while len(left):
+        if queue:
+            x = queue.pop()
+        else:
+            x, left, own = int(left[0]), left[1:], own[1:]
+        hit = equal(own, sig[x]) >= least
+        if hit.any():
+            found = left[hit]
+            edges += [(x, int(y)) for y in found]
+            queue += found.tolist()
+            left, own = left[~hit], own[~hit]
 
 
 def _regions(batches, least: int):
-    keys, docs, sigs, trees = [], [], [], []
+    """Candidate links of rows (key, doc, sig), sorted by key and doc; a region is held until its last row is there."""
+
+    def links(key: np.ndarray, doc: np.ndarray, sig: np.ndarray):
+        edges: list[tuple[int, int]] = []
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends = np.append(starts[1:], len(key))
+        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+            _search(sig, np.arange(a, b), 0, LEAST_DEPTH, edges, least)
+        if edges:
+            e = np.array(edges)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[e[:, 0]]), pa.array(doc[e[:, 1]])], names=["a", "b"])
+
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        keys.append(batch.column(0).to_numpy())
-        trees.append(batch.column(1).to_numpy())
-        docs.append(batch.column(2).to_numpy())
-        sigs.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, HASHES))
-    if not keys:
-        return
-    key, tree, doc, sig = map(np.concatenate, (keys, trees, docs, sigs))
-    order = np.lexsort((doc, key))
-    key, tree, doc, sig = key[order], tree[order], doc[order], sig[order]
-    edges: list[tuple[int, int]] = []
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    for a, b in zip(starts, np.append(starts[1:], len(key))):
-        if b - a > 1:
-            _search(sig, np.arange(a, b), int(tree[a]), LEAST_DEPTH, edges, least)
-    if edges:
-        e = np.array(edges)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[e[:, 0]]), pa.array(doc[e[:, 1]])], names=["a", "b"])
+        if not batch.num_rows:
+            continue
+        now = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
+        held.append(now)
+        if held[0][0][0] != now[0][-1]:
+            key, doc, sig = map(np.concatenate, zip(*held))
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+            yield from links(key[:cut], doc[:cut], sig[:cut])
+            held = [(key[cut:], doc[cut:], sig[cut:])]
+    if held:
+        yield from links(*map(np.concatenate, zip(*held)))
+
+
+def _tasks(name: Column, parts: Column) -> Column:
+    """The tasks of a row whose group ``name`` is dealt into ``parts`` (2 or more) by ``doc``: one for each two parts that
+    hold its own, so that any two rows of the group share a task."""
+    own = F.pmod(F.xxhash64("doc"), parts)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: k != own)
+    return F.transform(others, lambda k: F.xxhash64(name, F.least(own, k), F.greatest(own, k)))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -294,7 +305,7 @@ def _blocks(spark: SparkSession, roots: DataFrame, reps: DataFrame) -> tuple[Dat
     # Along each of ORDERS signature orders a heavy block is cut by ranges of its first minima; leaders go to every part.
     cut = None
     for k in range(ORDERS):
-        place = F.conv(F.hex(F.substring("sig", k * DEPTH + 1, 4)), 16, 10).cast("long")
+        place = F.conv(F.hex(F.substring("sig", k * 8 + 1, 4)), 16, 10).cast("long")
         part = F.floor(place * F.col("parts") / F.lit(2**32)).cast("long")
         own = large.select("root", "doc", "sig", "parts", part.alias("part"))
         first = large.groupBy("root", "parts").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("doc"), F.lit(4096)) == 0, F.struct("doc", "sig")))), 1, LEADERS).alias("lead"))
@@ -315,16 +326,15 @@ def groups_of(own: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
     its class is joined to, and that document's id. ``doc`` is a unique long."""
     spark = own.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = checkpointed(own.select("doc", "doc_id", "text").mapInArrow(lambda batches: _features(batches, width), FEATURES))
+    n_trees = trees(percent)
+    rows = checkpointed(own.select("doc", "doc_id", "text").mapInArrow(lambda batches: _features(batches, width, n_trees), FEATURES))
     reps = checkpointed(rows.where("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc", "doc_id")).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"), F.max("keys").alias("keys")).select("fp", "first.*", "n_shingles", "sig", "keys"))
     least = least_equal(percent)
-    many = max(REGION_ROWS, reps.count() // 1000)
-    planted = reps.select("doc", "sig", F.posexplode("keys").alias("tree", "key"))
-    # Regions of more than a thousandth of all classes: 1000 for each tree at most, so they can be sent to every task.
-    dense = planted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > many).select("key", F.lit(True).alias("dense"))
-    deep = F.xxhash64("key", F.expr(f"substring(sig, tree * {DEPTH} + {LEAST_DEPTH + 1}, {DEPTH - LEAST_DEPTH})"))
-    keyed = planted.join(F.broadcast(dense), "key", "left").select(F.when(F.col("dense"), deep).otherwise(F.col("key")).alias("key"), "tree", "doc", "sig")
-    edges = keyed.repartition(n_parts, "key").mapInArrow(lambda batches: _regions(batches, least), "a long, b long").distinct()
+    planted = reps.select("doc", "sig", F.explode("keys").alias("key"))
+    # Regions of more rows than a task takes: n_trees of REGION_ROWS classes at most, so they can be sent to every task.
+    dense = planted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > REGION_ROWS).select("key", F.ceil(F.col("n") * 2 / REGION_ROWS).alias("parts"))
+    keyed = planted.join(F.broadcast(dense), "key", "left").select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(_tasks(F.col("key"), F.col("parts")))).alias("key"), "doc", "sig")
+    edges = keyed.repartition(n_parts, "key").sortWithinPartitions("key", "doc").mapInArrow(lambda batches: _regions(batches, least), "a long, b long").distinct()
     blocks, heavy = _blocks(spark, checkpointed(components(edges)), reps)
     ready = blocks.join(own.select("doc", "text"), "doc").select("block", "doc", "text", "sig")
     links = ready.repartition(n_parts, "block").sortWithinPartitions("block").mapInArrow(_confirm(percent, width), "a long, b long")

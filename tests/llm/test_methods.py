@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import htmltext, langid, licenses, media, mixing, neardup, pii, quality, spm, suffix
 
@@ -189,6 +190,29 @@ def test_dense_regions_go_deeper(monkeypatch):
     assert {frozenset(e) for e in edges} >= {frozenset((i, i + 450)) for i in range(450)}
 
 
+def test_dense_regions_miss_nothing(monkeypatch):
+    """Candidates of a dense region need not share a further minimum."""
+    monkeypatch.setattr(neardup, "DENSE", 100)
+    r = np.random.default_rng(4)
+    sig = r.integers(0, 256, (900, neardup.HASHES)).astype(np.uint8)
+    sig[450:] = sig[:450]
+    sig[450:, 3:20] += 1
+    edges = []
+    neardup._search(sig, np.arange(900), 0, neardup.LEAST_DEPTH, edges, neardup.least_equal(85))
+    assert {frozenset(e) for e in edges} == {frozenset((i, i + 450)) for i in range(450)}
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_trees_follow_the_threshold(percent):
+    assert (1 - (percent / 100) ** neardup.LEAST_DEPTH) ** neardup.trees(percent) <= 1e-5
+
+
+def test_parts_of_a_group_meet(spark):
+    rows = spark.range(60).withColumnRenamed("id", "doc").select("doc", neardup._tasks(F.lit(7), F.lit(5).cast("long")).alias("tasks")).collect()
+    of = {r.doc: set(r.tasks) for r in rows}
+    assert all(of[a] & of[b] for a, b in itertools.combinations(of, 2)) and len(set().union(*of.values())) == 10
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
