@@ -7,7 +7,7 @@
    for a task is dealt into row blocks, and each two blocks are a task, so that any two of its classes still meet.
 3. The candidate chains of all trees are joined to blocks. Each block's texts meet in one task, which compares full sets:
    every pair of different groups whose estimate allows a link is confirmed or refused, until no pair is left. Blocks
-   that are too heavy for a task are cut along several signature orders, with shared leaders, and joined afterwards.
+   that are too heavy for a task are dealt into parts, every two parts are a task, and their links are joined afterwards.
 
 There are as many trees as a class pair at the threshold needs to miss all of them with 1e-5 at most, however dense its
 regions are (0.85: 13 trees, 0.8: 17; below 0.67 the rate rises, as the minima don't suffice); the estimate keeps it but
@@ -34,8 +34,6 @@ MISS = 1e-5
 DENSE = 4096
 #: Rows of a region, and shingles of a block, that one task takes.
 REGION_ROWS, BLOCK_SHINGLES = 20_000, 12_000_000
-ORDERS = 3
-LEADERS = 8
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -297,22 +295,13 @@ def _blocks(spark: SparkSession, roots: DataFrame, reps: DataFrame) -> tuple[Dat
     """(block, doc, sig) for the confirming tasks, and the heavy blocks' (doc, root)."""
     rows = reps.join(roots, reps["doc"] == roots["node"]).select("doc", "sig", "n_shingles", "root")
     weight = rows.groupBy("root").agg(F.sum("n_shingles").alias("weight"))
-    heavy = checkpointed(weight.where(F.col("weight") > BLOCK_SHINGLES).withColumn("parts", F.ceil(F.col("weight") / (BLOCK_SHINGLES // 2)).cast("int")))
+    heavy = checkpointed(weight.where(F.col("weight") > BLOCK_SHINGLES).withColumn("parts", F.ceil(F.col("weight") / (BLOCK_SHINGLES // 2))))
     light = rows.join(heavy.select("root"), "root", "left_anti").select(F.col("root").alias("block"), "doc", "sig")
     if heavy.isEmpty():
         return light, heavy
     large = rows.join(heavy, "root")
-    # Along each of ORDERS signature orders a heavy block is cut by ranges of its first minima; leaders go to every part.
-    cut = None
-    for k in range(ORDERS):
-        place = F.conv(F.hex(F.substring("sig", k * 8 + 1, 4)), 16, 10).cast("long")
-        part = F.floor(place * F.col("parts") / F.lit(2**32)).cast("long")
-        own = large.select("root", "doc", "sig", "parts", part.alias("part"))
-        first = large.groupBy("root", "parts").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("doc"), F.lit(4096)) == 0, F.struct("doc", "sig")))), 1, LEADERS).alias("lead"))
-        lead = first.select("root", "parts", F.explode("lead").alias("x")).select("root", "parts", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        both = own.select("root", "part", "doc", "sig").union(lead.select("root", F.col("part").cast("long"), "x.doc", "x.sig"))
-        both = both.select(F.xxhash64(F.lit(k), "root", "part").alias("block"), "doc", "sig").distinct()
-        cut = both if cut is None else cut.union(both)
+    # Every two parts of a heavy block are a task, so each pair of its texts is confirmed or refused in one at least.
+    cut = large.select(F.explode(_tasks(F.col("root"), F.col("parts"))).alias("block"), "doc", "sig")
     return light.union(cut), large.select("doc", "root")
 
 

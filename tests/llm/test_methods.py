@@ -180,6 +180,15 @@ def test_groups_with_small_tasks(spark, monkeypatch):
     assert {r.root_id for r in neardup.groups(df).collect()} == {0}
 
 
+def test_heavy_blocks_keep_every_link(spark, monkeypatch):
+    """Chains whose documents are similar to their neighbours only: a lost link splits a group."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)
+    texts = {c * 100 + i: " ".join(f"c{c}w{k}" for k in range(i * 14, i * 14 + 200)) for c in range(12) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.root_id for r in neardup.groups(df).collect()}
+    assert got == {d: d // 100 * 100 for d in texts}
+
+
 def test_dense_regions_go_deeper(monkeypatch):
     monkeypatch.setattr(neardup, "DENSE", 100)
     r = np.random.default_rng(3)
