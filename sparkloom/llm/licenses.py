@@ -1,7 +1,8 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 Every rule has a keyword, a regular expression, a label, a priority and a confidence. A document's keywords are found
-first by plain substring tests; only rules whose keyword it holds are run. All their matches become intervals; in order
+first by plain substring tests; only rules whose keyword it holds are run. A keyword has no blanks and stands in every
+match of its regular expression, so this leaves no match out. All their matches become intervals; in order
 of priority an interval is dropped where one kept before it contains it. No row meets another one: there is no shuffle.
 
 Odd input: a null text is empty (no words, no labels, score 0); rows are independent, so repeated rows repeat.
@@ -9,13 +10,17 @@ Odd input: a null text is empty (no words, no labels, score 0); rows are indepen
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: License identifiers with a keyword and the ways their names are written (white space is any gap).
+#: License identifiers with a keyword (in every match, no blanks) and the ways their names are written (white space is any gap).
 FAMILIES = {
-    "mit": ("mit", r"(?:the )?mit(?: \(expat\))?(?= licen[sc]e)|expat"),
-    "mit-0": ("mit-0", r"mit-0|mit no attribution"),
+    "mit": ("mit", r"(?:the )?mit(?: \(expat\))?(?= licen[sc]e)"),
+    "mit-expat": ("expat", r"expat"),
+    "mit-0": ("mit-0", r"mit-0"),
+    "mit-0-name": ("attribution", r"mit no attribution"),
     "apache-1.1": ("apache", r"apache(?: software)?(?: licen[sc]e)?,?(?: version| v)? ?1\.1"),
     "apache-2.0": ("apache", r"apache(?: software)?(?: licen[sc]e)?,?(?: version| v)?[ -]?2(?:\.0)?"),
     "apache": ("apache", r"apache(?: software)?(?= licen[sc]e)"),
@@ -31,16 +36,17 @@ FAMILIES = {
     "lgpl-2.1": ("lgpl", r"lgpl,?(?: version)?[ -]?v?2\.1"),
     "lgpl-3.0": ("lgpl", r"lgpl,?(?: version)?[ -]?v?3(?:\.0)?"),
     "lgpl": ("lgpl", r"lgpl"),
-    "lgpl-name": ("general public", r"gnu (?:lesser|library) general public"),
+    "lgpl-name": ("gnu", r"gnu (?:lesser|library) general public"),
     "agpl-1.0": ("agpl", r"agpl,?(?: version)?[ -]?v?1(?:\.0)?"),
     "agpl-3.0": ("agpl", r"agpl,?(?: version)?[ -]?v?3(?:\.0)?"),
     "agpl": ("agpl", r"agpl"),
-    "agpl-name": ("general public", r"(?:gnu )?affero general public"),
-    "gpl-1.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?1(?:\.0)?"),
-    "gpl-2.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?2(?:\.0)?"),
-    "gpl-3.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?3(?:\.0)?"),
+    "agpl-name": ("affero", r"(?:gnu )?affero general public"),
+    "gpl-1.0-name": ("gnu", r"gnu general public licen[sc]e,?(?: version| v)? ?1(?:\.0)?"),
+    "gpl-2.0-name": ("gnu", r"gnu general public licen[sc]e,?(?: version| v)? ?2(?:\.0)?"),
+    "gpl-3.0-name": ("gnu", r"gnu general public licen[sc]e,?(?: version| v)? ?3(?:\.0)?"),
     "gpl-any": ("gpl", r"(?:gnu )?gpl"),
-    "gfdl": ("documentation", r"gfdl|gnu free documentation(?= licen[sc]e)"),
+    "gfdl": ("gfdl", r"gfdl"),
+    "gfdl-name": ("documentation", r"gnu free documentation(?= licen[sc]e)"),
     "mpl-1.1": ("mozilla", r"mozilla public licen[sc]e,?(?: version| v)? ?1\.1"),
     "mpl-2.0": ("mozilla", r"mozilla public licen[sc]e,?(?: version| v)? ?2(?:\.0)?"),
     "mpl": ("mozilla", r"mozilla public"),
@@ -51,7 +57,7 @@ FAMILIES = {
     "edl": ("eclipse", r"eclipse distribution"),
     "cddl-1.0": ("cddl", r"cddl[ -]?v?1\.0"),
     "cddl-1.1": ("cddl", r"cddl[ -]?v?1\.1"),
-    "cddl": ("common development", r"common development and distribution"),
+    "cddl": ("distribution", r"common development and distribution"),
     "isc": ("isc", r"isc(?= licen[sc]e)"),
     "zlib": ("zlib", r"zlib(?:/libpng)?(?= licen[sc]e)"),
     "unlicense": ("unlicense", r"unlicense"),
@@ -60,19 +66,19 @@ FAMILIES = {
     "artistic-2.0": ("artistic", r"artistic licen[sc]e,?(?: version)? ?2\.0"),
     "artistic": ("artistic", r"artistic(?= licen[sc]e)"),
     "bsl-1.0": ("boost", r"boost software"),
-    "busl-1.1": ("business source", r"business source"),
-    "sspl-1.0": ("server side", r"server side public"),
+    "busl-1.1": ("business", r"business source"),
+    "sspl-1.0": ("server", r"server side public"),
     "elastic-2.0": ("elastic", r"elastic licen[sc]e(?: v?2(?:\.0)?)?"),
-    "eupl-1.1": ("european union", r"european union public licen[sc]e,?(?: version| v)?\.? ?1\.1"),
-    "eupl-1.2": ("european union", r"european union public licen[sc]e,?(?: version| v)?\.? ?1\.2"),
+    "eupl-1.1": ("european", r"european union public licen[sc]e,?(?: version| v)?\.? ?1\.1"),
+    "eupl-1.2": ("european", r"european union public licen[sc]e,?(?: version| v)?\.? ?1\.2"),
     "eupl": ("eupl", r"eupl"),
-    "osl-3.0": ("open software", r"open software licen[sc]e,?(?: version| v)?\.? ?3\.0"),
-    "afl-3.0": ("academic free", r"academic free licen[sc]e"),
-    "ofl-1.1": ("open font", r"(?:sil )?open font"),
+    "osl-3.0": ("software", r"open software licen[sc]e,?(?: version| v)?\.? ?3\.0"),
+    "afl-3.0": ("academic", r"academic free licen[sc]e"),
+    "ofl-1.1": ("font", r"(?:sil )?open font"),
     "ms-pl": ("microsoft", r"microsoft public"),
     "ms-rl": ("microsoft", r"microsoft reciprocal"),
-    "cpl-1.0": ("common public", r"common public(?= licen[sc]e)"),
-    "ipl-1.0": ("ibm public", r"ibm public"),
+    "cpl-1.0": ("common", r"common public(?= licen[sc]e)"),
+    "ipl-1.0": ("ibm", r"ibm public"),
     "php": ("php", r"php(?= licen[sc]e)"),
     "python": ("python", r"python software foundation|python(?= licen[sc]e)"),
     "ruby": ("ruby", r"ruby(?= licen[sc]e)"),
@@ -88,8 +94,8 @@ FAMILIES = {
     "pddl": ("dedication", r"public domain dedication"),
     "json": ("json", r"json(?= licen[sc]e)"),
     "beerware": ("beer", r"beer-?ware"),
-    "ogl": ("open government", r"open government"),
-    "openrail": ("openrail", r"(?:bigscience |creativeml )?open ?rail(?:-m)?"),
+    "ogl": ("government", r"open government"),
+    "openrail": ("rail", r"(?:bigscience |creativeml )?open ?rail(?:-m)?"),
     "llama": ("llama", r"llama(?: \d(?:\.\d)?)? community"),
     "proprietary": ("proprietary", r"proprietary(?: and confidential)?"),
 }
@@ -97,32 +103,35 @@ CC_PARTS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
 CC_NAMES = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative|ative works|atives|s)?", "nc": "non-?commercial"}
 #: Whole sentences that say what holds without a license's name.
 NOTICES = {
-    "mit": ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining"),
-    "isc": ("permission to use", r"permission to use, copy, modify,? and(?:/or)? distribute this software"),
-    "bsd": ("redistribution and use", r"redistribution and use in source and binary forms"),
+    "mit": ("granted", r"permission is hereby granted, free of charge, to any person obtaining"),
+    "isc": ("distribute", r"permission to use, copy, modify,? and(?:/or)? distribute this software"),
+    "bsd": ("redistribution", r"redistribution and use in source and binary forms"),
     "zlib": ("as-is", r"this software is provided ['‘\"]as-is['’\"], without any express"),
     "apache-2.0": ("apache.org/licenses", r"https?://(?:www\.)?apache\.org/licenses/license-2\.0"),
-    "gpl-1.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?1(?:\.0)?"),
-    "gpl-2.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?2(?:\.0)?"),
-    "gpl-3.0-name": ("general public", r"gnu general public licen[sc]e,?(?: version| v)? ?3(?:\.0)?"),
+    "gpl-1.0-name": ("gnu", r"gnu general public licen[sc]e,?(?: version| v)? ?1(?:\.0)?"),
+    "gpl-2.0-name": ("gnu", r"gnu general public licen[sc]e,?(?: version| v)? ?2(?:\.0)?"),
+    "gpl-3.0-name": ("gnu", r"gnu general public licen[sc]e,?(?: version| v)? ?3(?:\.0)?"),
     "gpl-any": ("gnu.org/licenses", r"https?://(?:www\.)?gnu\.org/licenses"),
     "mpl-2.0": ("mozilla.org/mpl", r"https?://(?:www\.)?mozilla\.org/mpl/2\.0"),
     "unlicense": ("unencumbered", r"free and unencumbered software released into the public domain"),
-    "cc0-1.0": ("cc0", r"cc0(?: 1\.0)?(?: universal)?|creativecommons\.org/publicdomain/zero"),
-    "public-domain": ("public domain", r"(?:in|into|to) the public domain"),
+    "cc0-1.0": ("cc0", r"cc0(?: 1\.0)?(?: universal)?"),
+    "cc0-1.0-url": ("creativecommons.org", r"creativecommons\.org/publicdomain/zero"),
+    "public-domain": ("domain", r"(?:in|into|to) the public domain"),
     "copyright": ("copyright", r"copyright (?:\(c\)|©)?[ ,]?(?:19|20)\d\d"),
     "copyright-sign": ("©", r"© ?(?:19|20)\d\d"),
     "copyright-c": ("(c)", r"\(c\) (?:19|20)\d\d"),
     "no-warranty": ("warrant", r"without (?:any )?warrant(?:y|ies) of any kind"),
-    "no-redistribution": ("redistribut", r"(?:may|must) not be (?:copied|reproduced|redistributed)"),
+    "no-redistribution": ("redistributed", r"(?:may|must) not be redistributed"),
+    "no-copies": ("copied", r"(?:may|must) not be copied"),
+    "no-reproduction": ("reproduced", r"(?:may|must) not be reproduced"),
     "confidential": ("confidential", r"(?:strictly |company )confidential"),
     "non-commercial": ("commercial", r"(?:for )?non-?commercial use only"),
     "patent": ("patent", r"patent pending"),
     "trademark": ("trademark", r"(?:is a|are) (?:registered )?trademarks? of"),
-    "eula": ("end user", r"end[ -]user licen[sc]e agreement"),
+    "eula": ("agreement", r"end[ -]user licen[sc]e agreement"),
 }
 #: Labels that several rules share.
-SAME = {"gpl-1.0-name": "gpl-1.0", "gpl-2.0-name": "gpl-2.0", "gpl-3.0-name": "gpl-3.0", "lgpl-name": "lgpl", "agpl-name": "agpl", "gpl-any": "gpl", "mpl-short": "mpl", "copyright-sign": "copyright", "copyright-c": "copyright"}
+SAME = {"mit-expat": "mit", "mit-0-name": "mit-0", "gfdl-name": "gfdl", "cc0-1.0-url": "cc0-1.0", "no-copies": "no-redistribution", "no-reproduction": "no-redistribution", "gpl-1.0-name": "gpl-1.0", "gpl-2.0-name": "gpl-2.0", "gpl-3.0-name": "gpl-3.0", "lgpl-name": "lgpl", "agpl-name": "agpl", "gpl-any": "gpl", "mpl-short": "mpl", "copyright-sign": "copyright", "copyright-c": "copyright"}
 
 #: Fixed values of the base scan.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -133,6 +142,12 @@ BASE_CONFIDENCE = 0.6
 LICENSE = "licen"
 
 
+def _speaks_of_license(regex: str) -> bool:
+    """Whether every match (with what is looked ahead to) holds LICENSE: it does outside of optional groups and choices."""
+    needed = re.sub(r"\(\?:[^()]*\)\?", "", regex)
+    return "licen[sc]e" in needed and "|" not in re.sub(r"\([^()]*\)", "", needed)
+
+
 def _rule(keywords: list[str], regex: str, label: str, priority: int, confidence: float) -> tuple[list[str], str, str, int, float]:
     body = regex.replace(" ", r"\s+").replace(r"\s+?", r"\s*")
     return keywords, rf"(?i)(?<!{WORD})(?:{body})(?!{WORD})", SAME.get(label, label), priority, confidence
@@ -141,19 +156,18 @@ def _rule(keywords: list[str], regex: str, label: str, priority: int, confidence
 def rules() -> list[tuple[list[str], str, str, int, float]]:
     """(keywords, regex, label, priority, confidence); a smaller priority goes first.
 
-    A rule is run where all its keywords are in the text. Names other than those that end in gpl, and Creative Commons,
-    count only in a text that speaks of a license.
+    A rule is run where all its keywords are in the text; every match of its regex holds them.
     """
     out = []
     names = dict(FAMILIES)
     for part in CC_PARTS:
         words = "[- ]".join(CC_NAMES[p] for p in part.split("-"))
         names[f"cc-{part}"] = ("cc", rf"cc[ -]{part.replace('-', '[ -]')}(?:[ -]\d\.\d)?(?![ -](?:sa|nd|nc))")
-        names[f"cc-{part}-name"] = ("creative commons", rf"creative commons {words}(?! ?-? ?(?:share|no|non))")
+        names[f"cc-{part}-name"] = ("commons", rf"creative commons {words}(?! ?-? ?(?:share|no|non))")
         names[f"cc-{part}-url"] = ("creativecommons.org", rf"creativecommons\.org/licenses/{part}/\d\.\d")
     for name, (keyword, regex) in names.items():
         label = name.removesuffix("-name").removesuffix("-url") if name.startswith("cc-") else SAME.get(name, name)
-        own = [keyword] if keyword.endswith("gpl") or name.startswith("cc-") else [keyword, LICENSE]
+        own = [keyword, LICENSE] if _speaks_of_license(regex) else [keyword]
         out.append(_rule(["spdx"], rf"spdx-license-identifier: ?{label.replace('.', r'[.]')}(?:-only|-or-later)?", label, 1, 0.99))
         out.append(_rule(own, rf"(?:licen[sc]ed|released|distributed|available|published|provided|covered) (?:under|by)(?: the)?(?: terms of(?: the)?)? (?:{regex})(?: (?:public )?licen[sc]e)?", label, 2, 0.95))
         out.append(_rule(own, rf"(?:{regex})(?: (?:public )?licen[sc]e)?", label, 4, 0.7))

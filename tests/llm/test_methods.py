@@ -362,6 +362,23 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <aside><p>Side</p></aside><section class="comments"><p>I say the same as you and the others did in that one.</p></section><footer>&copy; x</footer></body></html>"""
 
 
+def test_license_keywords_leave_no_match_out(spark, documents, monkeypatch):
+    texts = {
+        "released under Apache 2.0": "apache-2.0", "BSD 3-clause": "bsd-3-clause", "EUPL": "eupl", "WTFPL": "wtfpl", "CDDL 1.0": "cddl-1.0", "0BSD": "bsd-0-clause",
+        "proprietary and confidential": "proprietary", "Permission is hereby\ngranted, free of charge, to any person obtaining": "mit", "Redistribution and\nuse in source and binary forms": "bsd",
+        "into the public\ndomain": "public-domain", "creative\ncommons attribution": "cc-by", "GNU lesser general\npublic": "lgpl", "an end-user license agreement": "eula",
+        "must not be copied": "no-redistribution", "may not be reproduced": "no-redistribution", "Expat": "mit", "open rail-m": "openrail", "mit no\nattribution": "mit-0",
+        "creativecommons.org/publicdomain/zero": "cc0-1.0", "GFDL": "gfdl", "common development and\ndistribution": "cddl", "business\nsource": "busl-1.1", "python software\nfoundation": "python",
+    }
+    rows = list(enumerate([*texts, *sorted(filter(None, documents[1].values()))[::8]]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gated = {r.doc_id: (r.labels, r.detections) for r in licenses.scan(df).collect()}
+    assert all(want in gated[i][0].split(",") for i, want in enumerate(texts.values())), [(t, gated[i][0]) for i, t in enumerate(texts)]
+    every = licenses.rules()
+    monkeypatch.setattr(licenses, "rules", lambda: [([""], *r[1:]) for r in every])
+    assert gated == {r.doc_id: (r.labels, r.detections) for r in licenses.scan(df).collect()}
+
+
 def test_main_text():
     assert htmltext.main_text(PAGE) == "Head & line\nFirst part of it.\nShort.\none\ntwo\nA B <c> € \U0001f600"
     body = "<p>" + "the cat and the dog of this house is in that room with us and you " * 3 + "</p>"
