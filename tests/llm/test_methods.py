@@ -66,6 +66,24 @@ def test_schedule_stays_within_a_block():
             assert all(abs(seen[x] - p * t / n) < 1 for x, p in parts.items())
 
 
+@pytest.mark.parametrize("weights", [{"hot": 1 / 3, **{f"s{i}": 2 / 27 for i in range(9)}}, {"a": 0.9999, "b": 0.0001}])
+def test_long_schedules_keep_the_stated_weights(weights):
+    n, total = 30_000, sum(weights.values())
+    seen = dict.fromkeys(weights, 0)
+    for name, j, release, deadline, slot in itertools.islice(mixing.steps(weights, dict.fromkeys(weights, n)), n):
+        assert j == seen[name] and release <= slot < deadline
+        seen[name] += 1
+        if slot % 97 == 0 or slot > n - 100:
+            assert all(abs(seen[k] - (slot + 1) * w / total) < 1 for k, w in weights.items())
+
+
+def test_placement_keeps_the_stated_weights(spark):
+    weights = {"hot": 1 / 3, **{f"s{i}": 2 / 27 for i in range(9)}}
+    rows = spark.range(12_000).selectExpr("id doc_id", "if(id % 3 = 0, 'hot', concat('s', (id div 3) % 9)) source")
+    got = mixing.placed(rows, weights, block=1).where("source = 'hot' and slot < 10000").count()
+    assert abs(got - 10_000 / 3) < 1
+
+
 def test_placement(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(3000)] + [(5000 + i, None) for i in range(40)]
     got = mixing.placed(spark.createDataFrame(rows, "doc_id long, source string"), {"hot": 0.5, None: 0.1}).collect()
