@@ -3,9 +3,11 @@
 ``base_spans`` finds emails, IPv4 addresses, payment cards and phone numbers in linear time. Each find is a seed; the two
 words before it form its lexical pattern. Tokens that look like identifiers (four digits or more, or an ``@``) and are
 no seeds are mentions of the pattern before them. Spark scores the graph of patterns and instances in rounds: a
-pattern's confidence in a kind is the mean score of its distinct instances, seeds scoring 1 and other instances the
-noisy-or of their *other* patterns, so that no pattern vouches for itself. Mentions of patterns with enough seeds and
-confidence are added as spans of the pattern's kind; base spans always stay.
+pattern's confidence in a kind is the mean score of its distinct instances, seeds scoring 1, other instances the
+noisy-or of their *other* accepted patterns, so that no pattern vouches for itself, and those that no other accepted
+pattern has seen a prior. Patterns whose scores sum to enough seeds at enough confidence are accepted; in the next round
+their instances are weighted seeds of all patterns that they stand behind, known or new. Mentions of accepted patterns
+are added as spans of the pattern's kind; base spans always stay.
 
 Odd input: a null text is empty and has no spans; rows with the same id and text get the same spans; all counts are of
 distinct instances, so repeated rows don't raise a confidence. Patterns are summed before they are shuffled and no
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import checkpointed
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a pattern needs, the confidence that it needs, and the rounds of scoring.
+#: Distinct (or weighted) seeds that a pattern needs, the confidence that it needs, and the rounds of scoring.
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.8
 ROUNDS = 3
+#: Score of an instance that nothing else tells about: a pattern with as many of these as seeds is still accepted.
+PRIOR = 0.65
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -144,25 +148,33 @@ def found(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Data
 
 def confident_patterns(rows: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, confidence) of the patterns that may discover identifiers, from the output of ``found``."""
-    seeds = rows.select(F.explode("seeds").alias("s")).select("s.*").where("pattern <> ''").distinct()
-    known = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= min_seeds)
-    others = rows.select(F.explode("mentions").alias("m")).select("m.pattern", "m.instance").distinct()
-    unknown = others.join(known.select("pattern", "kind"), "pattern")
+    key = ["pattern", "kind"]
+    seeds = rows.select(F.explode("seeds").alias("s")).select("s.*").distinct()
+    seeded = seeds.select("kind", "instance").distinct()
+    edges = checkpointed(rows.select(F.explode("mentions").alias("m")).select("m.pattern", "m.instance").where("pattern <> ''").distinct())
     # An instance of another pattern that is a seed of the kind counts as one here too.
-    unknown = unknown.join(seeds.select("kind", "instance").distinct().withColumn("seeded", F.lit(True)), ["kind", "instance"], "left")
-    extra = unknown.where("seeded").groupBy("pattern", "kind").agg(F.count("*").alias("n_extra"))
-    known = known.join(extra, ["pattern", "kind"], "left").withColumn("n_sure", F.col("n_seeds") + F.coalesce("n_extra", F.lit(0))).drop("n_extra", "n_seeds")
-    edges = checkpointed(unknown.where("seeded is null").select("pattern", "kind", "instance"))
-    open_n = edges.groupBy("pattern", "kind").agg(F.count("*").alias("n_open"))
-    known = checkpointed(known.join(open_n, ["pattern", "kind"], "left").withColumn("n_open", F.coalesce("n_open", F.lit(0))))
-    conf = known.select("pattern", "kind", (F.col("n_sure") / (F.col("n_sure") + F.col("n_open"))).alias("confidence"))
+    also = edges.join(seeded, "instance").select(*key, "instance", F.lit(1).alias("mention"))
+    sure = seeds.where("pattern <> ''").select(*key, "instance", F.lit(0).alias("mention")).union(also)
+    sure = sure.groupBy(*key, "instance").agg(F.max("mention").alias("mention"))
+    sure = checkpointed(sure.groupBy(*key).agg(F.count("*").alias("n_sure"), F.sum("mention").alias("n_also")))
+    mentions = checkpointed(edges.groupBy("pattern").agg(F.count("*").alias("n_mentions")))
+
+    def accepted(gained: DataFrame) -> DataFrame:
+        both = sure.join(gained, key, "full").join(mentions, "pattern", "left").na.fill(0)
+        n_open = F.col("n_mentions") - F.col("n_also") - F.col("n_gained")
+        both = both.withColumn("support", F.col("n_sure") + F.col("gained"))
+        both = both.withColumn("confidence", (F.col("support") + PRIOR * n_open) / (F.col("n_sure") + F.col("n_gained") + n_open))
+        return checkpointed(both.where((F.col("support") >= min_seeds) & (F.col("confidence") >= min_confidence)).select(*key, "confidence"))
+
+    conf = accepted(rows.sparkSession.createDataFrame([], "pattern string, kind int, gained double, n_gained long"))
     for _ in range(rounds):
-        doubt = edges.join(conf, ["pattern", "kind"]).withColumn("doubt", F.log(1 - 0.99 * F.col("confidence")))
-        of = doubt.groupBy("kind", "instance").agg(F.sum("doubt").alias("all_doubt"))
-        scored = doubt.join(of, ["kind", "instance"]).withColumn("score", F.greatest(F.lit(0.0), 1 - F.exp(F.col("all_doubt") - F.col("doubt"))))
-        gained = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
-        conf = checkpointed(known.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("n_sure") + F.coalesce("gained", F.lit(0.0))) / (F.col("n_sure") + F.col("n_open"))).alias("confidence")))
-    return conf.where(F.col("confidence") >= min_confidence)
+        own = conf.select(*key, F.log(1 - 0.99 * F.col("confidence")).alias("doubt"))
+        told = edges.join(own, "pattern").join(seeded, ["kind", "instance"], "left_anti")
+        told = told.groupBy("kind", "instance").agg(F.sum("doubt").alias("all_doubt"), F.count("*").alias("n"))
+        scored = edges.join(told, "instance").join(own, key, "left").where(F.col("n") > F.col("doubt").isNotNull().cast("int"))
+        score = F.greatest(F.lit(0.0), 1 - F.exp(F.col("all_doubt") - F.coalesce("doubt", F.lit(0.0))))
+        conf = accepted(scored.groupBy(*key).agg(F.sum(score).alias("gained"), F.count("*").alias("n_gained")))
+    return conf
 
 
 def discovered(rows: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -275,6 +275,21 @@ def test_contexts_discover_identifiers(spark):
     assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.more] for r in more.collect()} == {50: [(3, 18, 29)]}
 
 
+@pytest.mark.parametrize("seeds, unseen", [(12, 4), (30, 30)])
+def test_unseen_identifiers_do_not_undo_a_pattern(spark, seeds, unseen):
+    rows = [(i, f"Please call me at +1 (555) 010-{1000 + i} today") for i in range(seeds)] + [(500 + i, f"please call me at 555-0199-{10 + i} now") for i in range(unseen)]
+    _, more = pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in more.collect()} == {500 + i for i in range(unseen)}
+
+
+def test_discovered_identifiers_induce_patterns(spark):
+    rows = [(i, f"Please call me at +1 (555) 010-{1000 + i} today") for i in range(30)] + [(500 + i, f"please call me at 555-0199-{10 + i} now") for i in range(8)]
+    rows += [(600 + i, f"my new mobile 555-0199-{10 + i} works") for i in range(8)] + [(700, "my new mobile 555-0299-77 works"), (701, "the year was 20241 then")]
+    rows += [(800 + i, f"in room {4000 + i} we met") for i in range(40)] + [(850 + i, f"in room +1 (555) 020-{1000 + i}") for i in range(6)]
+    _, more = pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in more.collect()} == {*range(500, 508), *range(600, 608), 700}
+
+
 def test_documents_keep_base_spans(spark, documents):
     got = {r.doc_id: r for r in pii.op7_pii(spark, SF).collect()}
     for i, t in documents[1].items():
