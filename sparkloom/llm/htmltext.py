@@ -7,6 +7,9 @@ footers, sidebars, notices, adverts, forms and comments (by tag, role, class or
 decided neighbours: ``good`` if both sides are good (a page's edge counts as bad), else that of the nearer, ``bad`` on
 a tie.
 
+Stop words count only on pages in a language that the rules know, told by their share of the page's text. On other pages
+a block that is neither short nor mostly links is ``good``; scripts without blanks count two characters as a word.
+
 Odd input: a null or empty page, or one without a good block, has the empty text. Unclosed tags end with the element
 around them; an unclosed comment, script or style ends with the page. Pages are independent rows.
 """
@@ -50,6 +53,8 @@ STOP_WORDS = frozenset(
     "el los las y que en del se por con para una su al lo como más pero sus".split()
 )
 HIGH_LINKS, LONG_WORDS, SHORT_WORDS, STOPS_HIGH, STOPS_LOW = 0.35, 25, 8, 0.2, 0.1
+#: Characters of scripts that don't put blanks between words (Thai to Burmese, Khmer, Chinese, Japanese).
+NO_BLANKS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
 @dataclass
@@ -153,8 +158,19 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def label(block: Block, text: str) -> bool | None:
-    """True: main text, False: not, None: ambiguous."""
+def _stops(words: list[str]) -> int:
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
+
+
+def covered(texts: list[tuple[Block, str]]) -> bool:
+    """Whether stop words tell about a page: they are frequent in what isn't bad or mostly links, or there is no such text."""
+    own = [text.lower().split() for block, text in texts if not block.bad and block.linked <= HIGH_LINKS * len(text)]
+    wordless = sum(len(NO_BLANKS.findall(text)) for block, text in texts if not block.bad)
+    return sum(map(_stops, own)) >= STOPS_HIGH * (sum(map(len, own)) + wordless / 2)
+
+
+def label(block: Block, text: str, known: bool = True) -> bool | None:
+    """True: main text, False: not, None: ambiguous; ``known``: stop words tell about the page."""
     if block.bad:
         return False
     if block.good:
@@ -162,7 +178,10 @@ def label(block: Block, text: str) -> bool | None:
     if block.linked > HIGH_LINKS * len(text):
         return False
     words = text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+    if not known:
+        long = len(words) + len(NO_BLANKS.findall(text)) / 2 > SHORT_WORDS
+        return True if long and not block.heading else None
+    stops = _stops(words) / len(words)
     if len(words) >= LONG_WORDS:
         return True if stops >= STOPS_HIGH else None if stops >= STOPS_LOW else False
     return None if block.heading or len(words) <= SHORT_WORDS or stops >= STOPS_LOW else False
@@ -171,11 +190,9 @@ def label(block: Block, text: str) -> bool | None:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    texts, first = [], []
-    for b in blocks(page):
-        if text := SPACE.sub(" ", "".join(b.parts)).strip():
-            texts.append(text)
-            first.append(label(b, text))
+    both = [(b, text) for b in blocks(page) if (text := SPACE.sub(" ", "".join(b.parts)).strip())]
+    known = covered(both)
+    texts, first = [text for _, text in both], [label(b, text, known) for b, text in both]
     decided = [i for i, x in enumerate(first) if x is not None]
     out, after = [], 0
     for i, x in enumerate(first):

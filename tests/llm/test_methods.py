@@ -419,6 +419,19 @@ def test_main_text():
     assert htmltext.main_text("") == htmltext.main_text(None) == htmltext.main_text("<p") == ""
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Questo paese sorge sopra colline verdi dove ogni mattina i contadini raccolgono olive mature, poi portano ceste piene verso il vecchio frantoio comunale, antico edificio restaurato recentemente grazie agli abitanti.",
+        "Этот небольшой город стоит на берегу широкой реки, где каждое утро рыбаки выходят на лодках и возвращаются только вечером с богатым уловом, который продают на старом рынке.",
+        "这座小城坐落在宽阔的河边,每天早晨渔民乘船出发,直到傍晚才带着丰富的渔获回来,然后在古老的市场上出售,许多居民都会前来购买新鲜的鱼。",
+    ],
+)
+def test_main_text_of_other_languages(text):
+    page = f"<body><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><div><p>{text}</p><p>{text}</p></div><footer>{text}</footer></body>"
+    assert htmltext.main_text(page) == f"{text}\n{text}"
+
+
 def test_pages_give_their_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in htmltext.op10_html(spark, SF).collect():
