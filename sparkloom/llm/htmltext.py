@@ -1,32 +1,42 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass classifies each block: blocks inside menus, headers,
-footers, sidebars, notices, adverts, forms and comments (by tag, role, class or id) are ``bad``; blocks inside
-``article`` or ``main`` are ``good``; other blocks go by link density, length and the density of stop words to ``bad``,
-``good`` or, if they are short, stay ambiguous. In the second pass an ambiguous block takes the label of its nearest
-decided neighbours: ``good`` if both sides are good (a page's edge counts as bad), else that of the nearer, ``bad`` on
-a tie.
-
-Stop words count only on pages in a language that the rules know, told by their share of the page's text. On other pages
-a block that is neither short nor mostly links is ``good``; scripts without blanks count two characters as a word.
+A page is cut into blocks at block-level tags. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms
+and comments (by tag, role, class or id) are ``bad``. The first pass decides the others by link density, length and the
+density of stop words: ``good``, ``bad``, or ambiguous if they are short or the densities lie between. The rules
+soften inside ``article`` and ``main``, and for paragraphs: what has few stop words is ambiguous there, and so is what is
+mostly links in an article's paragraphs. In the second pass an ambiguous block takes the label of the nearest block that the densities decided: the one
+that shares the innermost element with it, then the nearer one; ``good`` on a tie. A heading looks at what follows it
+first. Blocks that are neither paragraphs nor headings also look at the neighbours that are ``bad`` by their tags. Where
+nothing on a page is ``good``, its ambiguous blocks are.
+
+Stop words are those of STOP_WORDS and, for each language that pages name in ``<html lang>``, the commonest short words
+of its pages (``stop_words``: counts over the whole table). They count only on pages whose text holds enough of them. On
+other pages a block that is neither short nor mostly links is ``good``; scripts without blanks count two characters as a
+word.
 
 Odd input: a null or empty page, or one without a good block, has the empty text. Unclosed tags end with the element
-around them; an unclosed comment, script or style ends with the page. Pages are independent rows.
+around them; an unclosed comment, script or style ends with the page; after a tag with an unclosed quote, quotes are
+plain characters. Pages are read in one forward scan, so that a page takes time in proportion to its length; a very long
+page is one value and is parsed in one task. Pages are independent rows: repeated rows repeat, ties don't occur, an empty
+table gives an empty result, and other columns of the table are neither read nor changed.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>""", re.S)
-ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-SPACE = re.compile(r"\s+")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What follows a tag's name, with quoted values; and the same without quotes.
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+LANG = re.compile(r"""<html\b[^>]{0,300}?\slang\s*=\s*["']?([a-zA-Z]{2,3})\b""", re.I)
 NAME = re.compile(r"[a-z]+|\d+")
 
 #: Fixed values of HTML.
@@ -45,7 +55,7 @@ BAD_NAMES = frozenset(
     "promotion recommended related respond share sharing sidebar sidebars signup social sponsor sponsored subscribe teaser toolbar widget widgets".split()
 )
 GOOD_TAGS = frozenset({"article", "main"})
-#: The commonest function words of the languages that the rules know.
+#: The commonest function words of four languages; others are learnt.
 STOP_WORDS = frozenset(
     "the of and to in is it that was for on are with as be at this by from or an not have which but "
     "der die das und zu den von mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei "
@@ -53,17 +63,25 @@ STOP_WORDS = frozenset(
     "el los las y que en del se por con para una su al lo como más pero sus".split()
 )
 HIGH_LINKS, LONG_WORDS, SHORT_WORDS, STOPS_HIGH, STOPS_LOW = 0.35, 25, 8, 0.2, 0.1
+#: Stop words have this many letters at most and make up this share of a language's words, of which there are so many at
+#: least; the commonest MOST_STOPS are taken.
+STOP_LETTERS, STOP_SHARE, STOP_LEAST, MOST_STOPS = 5, 0.004, 2000, 60
 #: Characters of scripts that don't put blanks between words (Thai to Burmese, Khmer, Chinese, Japanese).
-NO_BLANKS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+NO_BLANKS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p blockquote pre figcaption".split()) | HEADINGS
 
 
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
+    words: list[str] = field(default_factory=list)
     linked: int = 0
     bad: bool = False
-    good: bool = False
-    heading: bool = False
+    article: bool = False
+    tag: str = ""
+    #: The fewest elements that were open at once since the block before.
+    low: int = 0
 
 
 def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
@@ -83,11 +101,51 @@ def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def tokens(page: str):
+    """(text, closing, tag, attributes, place behind it) of a page, in one scan: the text before a tag, and the tag. The
+    caller may send the place to go on from. Markup that isn't a tag has an empty name; the last text comes alone."""
+    at, n, quotes = 0, len(page), True
+    last_end, cdata = page.rfind(">"), True  # what isn't ahead any more is not looked for again
+    text = 0  # where the text before the next tag begins
+    while at < n:
+        i = page.find("<", at)
+        if i < 0 or i > last_end:
+            break
+        at = i + 1
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            end = n if end < 0 else end + 3
+            yield page[text:i], False, "", "", end
+        elif cdata and page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i + 9)
+            if end < 0:
+                cdata, at = False, i
+                continue
+            yield page[text:i], False, "", "", i + 9
+            yield None, False, "", page[i + 9 : end], end + 3
+            end += 3
+        elif page.startswith(("<!", "<?"), i):
+            end = page.find(">", i) + 1
+            yield page[text:i], False, "", "", end
+        elif m := TAG.match(page, i):
+            rest = REST.match(page, m.end()) if quotes else None
+            quotes &= rest is not None
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            end = (yield page[text:i], bool(m[1]), m[2].lower(), page[m.end() : end - 1], end) or end
+        else:
+            continue
+        at = text = end
+    if text < n:
+        yield page[text:], False, "", "", n
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements with what they add: 1 bad, 2 good, 4 hidden, 8 link
+    stack: list[tuple[str, int]] = []  # open elements with what they add: 1 bad, 2 article, 4 hidden, 8 link
+    opened: Counter = Counter()
+    holder: list[str] = []  # the open block-level elements
     depth = [0, 0, 0, 0]
-    now = Block()
+    now, low = Block(), 0
 
     def shift(flags: int, by: int) -> None:
         for k in range(4):
@@ -101,124 +159,208 @@ def blocks(page: str) -> list[Block]:
         now = Block()
 
     def add(text: str) -> None:
+        nonlocal low
         if depth[2] or not text:
             return
         if not now.parts:
-            now.bad, now.good = depth[0] > 0, depth[1] > 0
-            now.heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _ in stack[-3:])
+            if text.isspace():
+                return
+            now.bad, now.article, now.low = depth[0] > 0, depth[1] > 0, low
+            now.tag = next((t for t in holder[:-4:-1] if t in HEADINGS), holder[-1] if holder else "")
+            low = len(stack)
         now.parts.append(text)
         if depth[3]:
             now.linked += len(text.strip())
 
     def close(k: int) -> None:
+        nonlocal low
         while len(stack) > k:
-            shift(stack.pop()[1], -1)
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(html.unescape(page[at:]))
-            break
-        if m.start() > at:
-            add(html.unescape(page[at : m.start()]))
-        at = m.end()
-        if m["cdata"] is not None:
-            add(m["cdata"])
-            continue
-        tag = (m["tag"] or m["tag2"] or "").lower()
+            tag, flags = stack.pop()
+            opened[tag] -= 1
+            if tag in BLOCK:
+                holder.pop()
+            shift(flags, -1)
+        low = min(low, k)
+
+    scan = tokens(page)
+    token = next(scan, None)
+    while token is not None:
+        text, closing, tag, attrs, at = token
+        skip = None
+        if text is None:
+            add(attrs)
+        elif text:
+            add(html.unescape(text))
         if not tag:
-            continue
-        attrs = m["attrs"] or m["attrs2"] or ""
-        if m["end"] or m["end2"]:
+            pass
+        elif closing:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            continue
-        if tag == "br":
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
+        elif tag == "br":
             add(" ")
-            continue
-        if tag in BLOCK:
-            flush()
-            while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-                close(len(stack) - 1)
-        if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in HIDDEN:
-            continue
-        flags = _is_bad(tag, attrs, depth[1] > 0) | (tag in GOOD_TAGS) << 1 | (tag in HIDDEN) << 2 | (tag == "a") << 3
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        stack.append((tag, flags))
-        shift(flags, 1)
+        else:
+            if tag in BLOCK:
+                flush()
+                while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
+                    close(len(stack) - 1)
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                skip = end.end() if end else len(page)
+            elif not (tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in HIDDEN):
+                flags = _is_bad(tag, attrs, depth[1] > 0) | (tag in GOOD_TAGS) << 1 | (tag in HIDDEN) << 2 | (tag == "a") << 3
+                stack.append((tag, flags))
+                opened[tag] += 1
+                if tag in BLOCK:
+                    holder.append(tag)
+                shift(flags, 1)
+        try:
+            token = scan.send(skip)
+        except StopIteration:
+            token = None
     flush()
     return out
 
 
-def _stops(words: list[str]) -> int:
-    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
-
-
-def covered(texts: list[tuple[Block, str]]) -> bool:
+def covered(texts: list[tuple[Block, str]], stops: frozenset[str]) -> bool:
     """Whether stop words tell about a page: they are frequent in what isn't bad or mostly links, or there is no such text."""
-    own = [text.lower().split() for block, text in texts if not block.bad and block.linked <= HIGH_LINKS * len(text)]
-    wordless = sum(len(NO_BLANKS.findall(text)) for block, text in texts if not block.bad)
-    return sum(map(_stops, own)) >= STOPS_HIGH * (sum(map(len, own)) + wordless / 2)
+    own = [block.words for block, text in texts if not block.bad and block.linked <= HIGH_LINKS * len(text)]
+    wordless = sum(len(NO_BLANKS.findall(text)) for block, text in texts if not block.bad and not text.isascii())
+    return sum(sum(map(stops.__contains__, words)) for words in own) >= STOPS_HIGH * (sum(map(len, own)) + wordless / 2)
 
 
-def label(block: Block, text: str, known: bool = True) -> bool | None:
+def label(block: Block, text: str, known: bool = True, stops: frozenset[str] = STOP_WORDS) -> bool | None:
     """True: main text, False: not, None: ambiguous; ``known``: stop words tell about the page."""
     if block.bad:
         return False
-    if block.good:
-        return True
     if block.linked > HIGH_LINKS * len(text):
-        return False
-    words = text.lower().split()
+        return None if block.article and block.tag != "li" else False
+    size = len(block.words) if text.isascii() else len(block.words) + len(NO_BLANKS.findall(text)) / 2
+    if block.tag in HEADINGS or size <= SHORT_WORDS:
+        return None
     if not known:
-        long = len(words) + len(NO_BLANKS.findall(text)) / 2 > SHORT_WORDS
-        return True if long and not block.heading else None
-    stops = _stops(words) / len(words)
-    if len(words) >= LONG_WORDS:
-        return True if stops >= STOPS_HIGH else None if stops >= STOPS_LOW else False
-    return None if block.heading or len(words) <= SHORT_WORDS or stops >= STOPS_LOW else False
+        return True
+    dense = sum(map(stops.__contains__, block.words)) / size
+    if size >= LONG_WORDS and dense >= STOPS_HIGH:
+        return True
+    return None if dense >= STOPS_LOW or block.article or block.tag in PROSE else False
+
+
+def _nearest(both: list[tuple[Block, str]], first: list[bool | None], order: range) -> tuple[list, list]:
+    """For each block the last one before it in ``order`` that the densities decided, and that which has any label: (elements
+    shared with it, minus the distance, its label)."""
+    decided, any_label = [None] * len(both), [None] * len(both)
+    seen, seen_any = None, None
+    back = order.step < 0
+    for i in order:
+        if not back and i:
+            shared = both[i][0].low
+        elif back and i + 1 < len(both):
+            shared = both[i + 1][0].low
+        else:
+            shared = 0
+        if seen:
+            seen = min(seen[0], shared), seen[1], seen[2]
+            decided[i] = seen[0], -abs(i - seen[1]), seen[2]
+        if seen_any:
+            seen_any = min(seen_any[0], shared), seen_any[1], seen_any[2]
+            any_label[i] = seen_any[0], -abs(i - seen_any[1]), seen_any[2]
+        if first[i] is not None:
+            seen_any = 1 << 60, i, first[i]
+            if not both[i][0].bad:
+                seen = seen_any
+    return decided, any_label
+
+
+def chosen(both: list[tuple[Block, str]], stops: frozenset[str] = STOP_WORDS) -> list[bool]:
+    """Whether each block is main text."""
+    known = covered(both, stops)
+    first = [label(b, text, known, stops) for b, text in both]
+    if True not in first:
+        return [x is None for x in first]
+    before, before_any = _nearest(both, first, range(len(both)))
+    after, after_any = _nearest(both, first, range(len(both) - 1, -1, -1))
+    out = []
+    for i, x in enumerate(first):
+        if x is None:
+            block = both[i][0]
+            prose = block.tag in PROSE or block.article
+            left, right = (before[i], after[i]) if prose else (before_any[i], after_any[i])
+            if block.tag in HEADINGS and right and (not left or right[0] >= left[0]):
+                x = right[2]
+            elif block.tag in HEADINGS and after_any[i] and after_any[i][1] == -1 and not after_any[i][2] and (not left or after_any[i][0] >= left[0]):
+                x = False  # it heads what is bad by its tags
+            elif left and right and left[:2] == right[:2]:
+                x = left[2] or right[2]
+            else:
+                x = max(y for y in (left, right) if y)[2] if left or right else True
+        out.append(bool(x))
+    return out
 
 
-def main_text(page: str | None) -> str:
+def _cut(page: str) -> list[tuple[Block, str]]:
+    out = []
+    for block in blocks(page):
+        words = "".join(block.parts).split()
+        if words:
+            text = " ".join(words)
+            block.words = text.lower().split()
+            out.append((block, text))
+    return out
+
+
+def language(page: str) -> str:
+    m = LANG.search(page, 0, 2000)
+    return m[1].lower() if m else ""
+
+
+def main_text(page: str | None, learnt: dict[str, frozenset[str]] | None = None) -> str:
     if not page:
         return ""
-    both = [(b, text) for b in blocks(page) if (text := SPACE.sub(" ", "".join(b.parts)).strip())]
-    known = covered(both)
-    texts, first = [text for _, text in both], [label(b, text, known) for b, text in both]
-    decided = [i for i, x in enumerate(first) if x is not None]
-    out, after = [], 0
-    for i, x in enumerate(first):
-        while after < len(decided) and decided[after] < i:
-            after += 1
-        if x is None:
-            left = decided[after - 1] if after else None
-            right = decided[after] if after < len(decided) else None
-            a, b = left is not None and first[left], right is not None and first[right]
-            if a == b:
-                x = bool(a)
-            else:
-                x = bool(a if i - (left if left is not None else -1) < (right if right is not None else len(first)) - i else b) and i - (left if left is not None else -1) != (right if right is not None else len(first)) - i
-        if x:
-            out.append(texts[i])
-    return "\n".join(out)
+    both = _cut(page)
+    stops = STOP_WORDS | (learnt or {}).get(language(page), frozenset())
+    return "\n".join(text for (_, text), x in zip(both, chosen(both, stops)) if x)
+
 
+def stop_words(df: DataFrame, html_col: str = "html") -> dict[str, frozenset[str]]:
+    """The commonest short words of each language that pages name: MOST_STOPS for each on the driver at most."""
 
-def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``keep`` columns, text and n_chars of every page."""
+    def run(batches):
+        for batch in batches:
+            seen: dict[str, Counter] = {}
+            for page in batch.column(0).to_pylist():
+                if page and (lang := language(page)):
+                    words = [w for b, _ in _cut(page) if not b.bad for w in b.words]
+                    own = seen.setdefault(lang, Counter())
+                    own.update(w for w in words if len(w) <= STOP_LETTERS and w.isalpha())
+                    own[""] += len(words)
+            rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    counts = df.select(F.col(html_col).alias("_html")).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    total = F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("lang"))
+    often = counts.withColumn("_all", total).where((F.col("word") != "") & (F.col("_all") >= STOP_LEAST) & (F.col("n") >= STOP_SHARE * F.col("_all")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    out: dict[str, set[str]] = {}
+    for r in often.withColumn("_place", place).where(F.col("_place") <= MOST_STOPS).select("lang", "word").collect():
+        out.setdefault(r["lang"], set()).add(r["word"])
+    return {k: frozenset(v) for k, v in out.items()}
+
+
+def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), learnt: dict[str, frozenset[str]] | None = None) -> DataFrame:
+    """``keep`` columns, text and n_chars of every page. Without ``learnt`` stop words are learnt from ``df`` first."""
     own = df.select(*keep, F.col(html_col).alias("_html"))
     schema = own.drop("_html").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
+    learnt = stop_words(df, html_col) if learnt is None else learnt
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [main_text(p, learnt) for p in batch.column(batch.num_columns - 1).to_pylist()]
             if texts:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
