@@ -3,14 +3,20 @@
 Every rule has a keyword, a regular expression, a label, a priority and a confidence. A document's keywords are found
 first by plain substring tests; only rules whose keyword it holds are run. A keyword has no blanks and stands in every
 match of its regular expression, so this leaves no match out. All their matches become intervals; in order
-of priority an interval is dropped where one kept before it contains it. No row meets another one: there is no shuffle.
+of priority an interval is dropped where one kept before it contains it. Containment is transitive, so an interval goes
+where any earlier one contains it: one scan by start with the furthest end of each priority finds these. No row meets
+another one: there is no shuffle.
 
-Odd input: a null text is empty (no words, no labels, score 0); rows are independent, so repeated rows repeat.
+Odd input: a null text is empty (no words, no labels, score 0); rows are independent, so repeated rows repeat; of equal
+intervals the first label by name stays; a very long text takes time in proportion to its length and its matches and is
+scanned in one task; an empty table gives an empty result; columns other than ``keep`` and the text are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,9 +114,6 @@ NOTICES = {
     "bsd": ("redistribution", r"redistribution and use in source and binary forms"),
     "zlib": ("as-is", r"this software is provided ['‘\"]as-is['’\"], without any express"),
     "apache-2.0": ("apache.org/licenses", r"https?://(?:www\.)?apache\.org/licenses/license-2\.0"),
-    "gpl-1.0-name": ("gnu", r"gnu general public licen[sc]e,?(?: version| v)? ?1(?:\.0)?"),
-    "gpl-2.0-name": ("gnu", r"gnu general public licen[sc]e,?(?: version| v)? ?2(?:\.0)?"),
-    "gpl-3.0-name": ("gnu", r"gnu general public licen[sc]e,?(?: version| v)? ?3(?:\.0)?"),
     "gpl-any": ("gnu.org/licenses", r"https?://(?:www\.)?gnu\.org/licenses"),
     "mpl-2.0": ("mozilla.org/mpl", r"https?://(?:www\.)?mozilla\.org/mpl/2\.0"),
     "unlicense": ("unencumbered", r"free and unencumbered software released into the public domain"),
@@ -149,7 +152,7 @@ def _speaks_of_license(regex: str) -> bool:
 
 
 def _rule(keywords: list[str], regex: str, label: str, priority: int, confidence: float) -> tuple[list[str], str, str, int, float]:
-    body = regex.replace(" ", r"\s+").replace(r"\s+?", r"\s*")
+    body = re.sub(r"\[[^\]]*\]| ", lambda m: r"\s+" if m[0] == " " else m[0].replace(" ", r"\s"), regex).replace(r"\s+?", r"\s*")
     return keywords, rf"(?i)(?<!{WORD})(?:{body})(?!{WORD})", SAME.get(label, label), priority, confidence
 
 
@@ -175,24 +178,61 @@ def rules() -> list[tuple[list[str], str, str, int, float]]:
     return out
 
 
+SPAN = "struct<priority:int,start:int,back:int,label:string,confidence:double>"
+RULE = "array<struct<keywords:array<string>,regex:string,label:string,priority:int,confidence:double>>"
+#: Items that a scan takes at once: an array that grows by one item is copied, so long ones are put together from these.
+STRETCH = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scanned(items: Column, carry: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The spans that ``step`` (carry, item) -> (carry, array of spans) gives for all items in order."""
+    none = lambda kind: F.array().cast(kind)
+
+    def stretch(state: Column, part: Column) -> Column:
+        def one(s: Column, x: Column) -> Column:
+            after, found = step(s["carry"], x)
+            return F.struct(after.alias("carry"), F.concat(s["out"], found).alias("out"))
+
+        done = F.aggregate(part, F.struct(state["carry"].alias("carry"), none(f"array<{SPAN}>").alias("out")), one)
+        return _let(done, lambda d: F.struct(d["carry"].alias("carry"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+    def run(all_items: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / STRETCH).cast("int")), lambda i: F.slice(all_items, i * STRETCH + 1, STRETCH))
+        start = F.struct(carry.alias("carry"), none(f"array<array<{SPAN}>>").alias("out"))
+        return F.when(F.size(all_items) > 0, F.flatten(F.aggregate(parts, start, stretch, lambda s: s["out"]))).otherwise(none(f"array<{SPAN}>"))
+
+    return _let(items, run)
+
+
 def _spans(text: Column, rule: Column) -> Column:
     """Intervals of all matches of a rule: the lengths of what stands between matches and of the matches add up."""
     between, hits = F.split(text, rule["regex"], -1), F.regexp_extract_all(text, rule["regex"], F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<priority:int,start:int,back:int,label:string,confidence:double>>").alias("out"))
 
-    def step(state: Column, pair: Column) -> Column:
-        a = state["at"] + F.coalesce(F.length(pair["0"]), F.lit(0))
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        a = at + F.coalesce(F.length(pair["0"]), F.lit(0))
         b = a + F.length(pair["1"])
-        span = F.struct(rule["priority"].alias("priority"), a.alias("start"), (-b).alias("back"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
-        return F.struct(b.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        return b, F.array(F.struct(rule["priority"].alias("priority"), a.alias("start"), (-b).alias("back"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
 
-    pairs = F.filter(F.arrays_zip(between.alias("0"), hits.alias("1")), lambda p: p["1"].isNotNull())
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    return _scanned(F.filter(F.arrays_zip(between.alias("0"), hits.alias("1")), lambda p: p["1"].isNotNull()), F.lit(0), step)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is worked out once."""
-    return F.transform(F.array(value), body)[0]
+def _uncontained(spans: Column) -> Column:
+    """Intervals that none before them (by priority, start and end) contains, in that order."""
+    by_start = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["back"].alias("back"), x["priority"].alias("priority"), x.alias("x"))))
+    levels = sorted({r[3] for r in rules()})
+
+    def step(reach: Column, item: Column) -> tuple[Column, Column]:
+        end, level = -item["back"], item["priority"]
+        before = F.greatest(*(F.when(F.lit(k) <= level, reach[f"r{k}"]).otherwise(-1) for k in levels))
+        after = F.struct(*(F.when(level == k, F.greatest(reach[f"r{k}"], end)).otherwise(reach[f"r{k}"]).alias(f"r{k}") for k in levels))
+        return after, F.when(before < end, F.array(item["x"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return F.sort_array(_scanned(by_start, F.struct(*(F.lit(-1).alias(f"r{k}") for k in levels)), step))
 
 
 def detections(text: Column) -> Column:
@@ -200,8 +240,8 @@ def detections(text: Column) -> Column:
     table = rules()
     keywords = sorted({k for r in table for k in r[0]} - {LICENSE})
     alone = sorted({k for r in table for k in r[0] if LICENSE not in r[0]})
-    words = lambda ks: F.array(*map(F.lit, ks))
-    literal = F.array(*(F.struct(words(k).alias("keywords"), F.lit(x).alias("regex"), F.lit(n).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence")) for k, x, n, p, c in table))
+    words = lambda ks: F.from_json(F.lit(json.dumps(ks)), "array<string>")
+    literal = F.from_json(F.lit(json.dumps([dict(zip(("keywords", "regex", "label", "priority", "confidence"), r)) for r in table])), RULE)  # Spark folds it to one literal
 
     def present(low: Column) -> Column:
         licensed = F.contains(low, F.lit(LICENSE))
@@ -209,9 +249,8 @@ def detections(text: Column) -> Column:
         return F.when(licensed, F.array_append(own, F.lit(LICENSE))).otherwise(own)
 
     live = _let(_let(F.lower(text), present), lambda found: F.when(F.size(found) > 0, F.filter(literal, lambda r: F.size(F.array_except(r["keywords"], found)) == 0)))
-    spans = F.array_sort(F.flatten(F.transform(live, lambda r: _spans(text, r))))
-    none = F.array().cast("array<struct<priority:int,start:int,back:int,label:string,confidence:double>>")
-    return F.coalesce(F.aggregate(spans, none, lambda kept, x: F.when(F.exists(kept, lambda k: (k["start"] <= x["start"]) & (k["back"] <= x["back"])), kept).otherwise(F.concat(kept, F.array(x)))), none)
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.coalesce(_let(F.flatten(F.transform(live, lambda r: _spans(text, r))), lambda spans: F.when(F.size(spans) > 0, _uncontained(spans))), none)
 
 
 def scan(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
