@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,6 +48,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, which goes when the process ends.
+
+    Like a checkpoint, but later plans see the size of what was written: the size that Spark guesses for a join is the
+    product of its sides', so in a loop of joins over checkpoints the guesses soon take longer than the joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    if spark.getActiveSession() is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
 def chunks(values: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of ``values`` with about ``limit`` characters each, in order, none empty."""
     start = held = 0

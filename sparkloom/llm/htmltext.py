@@ -109,7 +109,13 @@ def tokens(page: str):
     text = 0  # where the text before the next tag begins
     while at < n:
         i = page.find("<", at)
-        if i < 0 or i > last_end:
+        if i < 0:
+            break
+        if i > last_end:  # a tag that the page's end cuts off is no text
+            if not (TAG.match(page, i) or page.startswith(("<!", "<?"), i)):
+                at = i + 1
+                continue
+            page, n = page[:i], i
             break
         at = i + 1
         if page.startswith("<!--", i):

@@ -2,17 +2,24 @@
 
 1. Each text becomes its set of distinct word 3-shingles and a signature of HASHES minima. Texts with equal sets form a
    class, which goes on as its first document.
-2. Each tree has LEAST_DEPTH minima of its own. Classes that share them are a region. In a region, breadth-first search
-   over estimated similarities links all classes that may be similar into candidate chains. A region with too many rows
-   for a task is dealt into row blocks, and each two blocks are a task, so that any two of its classes still meet.
-3. The candidate chains of all trees are joined to blocks. Each block's texts meet in one task, which compares full sets:
-   every pair of different groups whose estimate allows a link is confirmed or refused, until no pair is left. Blocks
-   that are too heavy for a task are dealt into parts, every two parts are a task, and their links are joined afterwards.
+2. Each tree has LEAST_DEPTH minima of its own. Classes that share them are a region; estimated similarities link its
+   classes to candidate chains.
+3. The candidate chains of all trees are joined to blocks; full sets confirm or refuse the links of each block.
+
+Steps 2 and 3 link a group's members in the same way (``linked``), so that no task holds more than two slices of a group:
+first within slices; then one member of each large group, its leader, meets every slice; then the members that are not
+in their group's largest component so far meet every slice. Each pair of members is compared once at least, or is in one
+component already. A group of copies of one text thus takes work in proportion to its members; the members that stay
+apart from it meet all others.
 
 There are as many trees as a class pair at the threshold needs to miss all of them with 1e-5 at most, however dense its
 regions are (0.85: 13 trees, 0.8: 17; below 0.67 the rate rises, as the minima don't suffice); the estimate keeps it but
-for 1e-7. Regions are compared in full: one of n classes that all stay apart takes n * n / 2 estimates. Odd input: a text without words (or null) has an empty set and is linked with nothing; fewer than three words
-count as one shingle; rows with null or repeated ids count as documents of their own, in the order of id and text.
+for 1e-7. No size changes which pairs are compared.
+
+Odd input: a text without words (or null) has an empty set and is linked with nothing; fewer than three words count as
+one shingle; a very long text is a slice of its own, whose set is held in one task; rows with null or repeated ids count
+as documents of their own, in the order of id and text; ties go to the smaller id; an empty table gives an empty result;
+other columns of the table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,18 +29,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import checkpointed, chunks, has_odd_ids, numbered, ordered
+from sparkloom.llm.common import chunks, has_odd_ids, numbered, ordered, written
 
 HASHES, LEAST_DEPTH = 96, 3
 #: Greatest probability that a pair at the threshold meets in no tree.
 MISS = 1e-5
 #: Signatures of a dense region that are compared at once, so that the comparison stays in a core's cache.
 DENSE = 4096
-#: Rows of a region, and shingles of a block, that one task takes.
-REGION_ROWS, BLOCK_SHINGLES = 20_000, 12_000_000
+#: Classes of a region that are a slice; classes, and their shingles, of a block that are a slice.
+REGION_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 8_192, 256, 500_000
+#: Leaders of a large group.
+LEADERS = 2
+#: Keys whose rows are joined by broadcast, at most: those with this share of all rows, and with so many rows.
+HOT_KEYS, HOT_ROWS = 50_000, 1000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -146,9 +157,8 @@ def equal(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(sig: np.ndarray, rows: np.ndarray, tree: int, depth: int, edges: list[tuple[int, int]], least: int) -> None:
-    """Candidate chains among ``rows``, which share ``depth`` minima of ``tree``: breadth first, each class against all
-    that aren't reached yet, until none is left."""
+def _search(sig: np.ndarray, rows: np.ndarray, edges: list[tuple[int, int]], least: int) -> None:
+    """Candidate chains among ``rows``: breadth first, each class against all that aren't reached yet, until none is left."""
     left = rows
     if len(rows) > 64:  # the class that agrees most with its region goes first: it reaches most others
         mode = np.array([np.bincount(sig[rows, k], minlength=256).argmax() for k in range(HASHES)], np.uint8)
@@ -168,84 +178,73 @@ def _search(sig: np.ndarray, rows: np.ndarray, tree: int, depth: int, edges: lis
             left, own = left[~hit], own[~hit]
 
 
-def _regions(batches, least: int):
-    """Candidate links of rows (key, doc, sig), sorted by key and doc; a region is held until its last row is there."""
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table`` (``key``, n, ...), which has one row a key and in ``n`` the key's rows.
 
-    def links(key: np.ndarray, doc: np.ndarray, sig: np.ndarray):
-        edges: list[tuple[int, int]] = []
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        ends = np.append(starts[1:], len(key))
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            _search(sig, np.arange(a, b), 0, LEAST_DEPTH, edges, least)
-        if edges:
-            e = np.array(edges)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[e[:, 0]]), pa.array(doc[e[:, 1]])], names=["a", "b"])
+    Keys with over HOT_ROWS rows and over a share of all (HOT_KEYS of them at most) are sent to every task, so that no
+    task gets all rows of one; the others are joined by shuffle."""
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))  # one row
+    hot = table.join(F.broadcast(total)).where((F.col("n") > HOT_ROWS) & (F.col("n") > F.col("_total") / HOT_KEYS)).drop("_total", "n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop("n"), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
-    held: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
-        held.append(now)
-        if held[0][0][0] != now[0][-1]:
-            key, doc, sig = map(np.concatenate, zip(*held))
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
-            yield from links(key[:cut], doc[:cut], sig[:cut])
-            held = [(key[cut:], doc[cut:], sig[cut:])]
-    if held:
-        yield from links(*map(np.concatenate, zip(*held)))
-
-
-def _tasks(name: Column, parts: Column) -> Column:
-    """The tasks of a row whose group ``name`` is dealt into ``parts`` (2 or more) by ``doc``: one for each two parts that
-    hold its own, so that any two rows of the group share a task."""
-    own = F.pmod(F.xxhash64("doc"), parts)
-    others = F.filter(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: k != own)
-    return F.transform(others, lambda k: F.xxhash64(name, F.least(own, k), F.greatest(own, k)))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the least node that it is joined to.
 
-    Alternating large and small stars: each round is two aggregations, checkpointed; a path of n nodes takes
-    about log n rounds. Edges are spread by node and minima are taken before they are shuffled.
+    Alternating large and small stars until nothing changes: each round is two aggregations, written down; a path of n
+    nodes takes about log n rounds. Minima are taken before rows are shuffled, and a node with very many edges is looked
+    up without a shuffle.
     """
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(rounds):
-        if now.isEmpty():
-            break
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = F.struct(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("x"))
+    before = now.select(mark).first()
+    while before[0][0]:
+        # No node of few edges is hot: then plain joins give the same rows, and what they read need not be written.
+        many = before[0][0] > HOT_ROWS
+        held = written if many else lambda df: df
+        find = looked_up if many else lambda rows, table, key: rows.join(table.drop("n"), key)
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        after = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        mark = F.struct(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("x"))
-        done = now.select(mark).first() == after.select(mark).first()
-        now = after
-        if done:
+        least = held(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = held(find(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = held(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = find(large, least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        now = written(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        after = now.select(mark).first()
+        if after == before:
             break
+        before = after
     nodes = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _linked(doc: np.ndarray, names: list[np.ndarray], sig: np.ndarray, percent: int) -> np.ndarray:
-    """The least index of each document's group, from full sets: exact but for pairs that the estimate rules out."""
-    n = len(doc)
+def _compared(sig: np.ndarray, names: list[np.ndarray] | None, percent: int, root: np.ndarray, turn: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links between members of different ``root``s: of those with a ``turn`` with all others (None: of all with all).
+
+    A pair is linked if its estimate allows it and, where there are ``names``, its full sets are similar. Pairs inside a
+    component, given or found, need no look."""
+    n, links = len(sig), []
+    root = root.copy()
     least = least_equal(percent)
-    size = np.fromiter(map(len, names), np.int64, n)
-    start = np.cumsum(size) - size
-    names, flat = np.unique(np.concatenate(names), return_inverse=True)  # shingles by small numbers
-    flat = flat.astype(np.int32)
-    mine = np.zeros(len(names), bool)  # the shingles of the document whose turn it is
-    root = np.arange(n)
-    waiting = np.ones(n, bool)
-    mode = np.array([np.bincount(sig[:, k], minlength=256).argmax() for k in range(HASHES)], np.uint8) if n > 2 else sig[0]
-    x = int(equal(sig, mode).argmax())
+    size = None
+    if names is not None:
+        size = np.fromiter(map(len, names), np.int64, n)
+        start = np.cumsum(size) - size
+        seen, flat = np.unique(np.concatenate(names), return_inverse=True)  # shingles by small numbers
+        flat = flat.astype(np.int32)
+        mine = np.zeros(len(seen), bool)  # the shingles of the member whose turn it is
+        del seen
+    waiting = np.ones(n, bool) if turn is None else turn.copy()
+    x = int(np.flatnonzero(waiting)[0])
+    if turn is None and n > 2:  # the member that agrees most with all goes first: it reaches most others
+        x = int(equal(sig, np.array([np.bincount(sig[:, k], minlength=256).argmax() for k in range(HASHES)], np.uint8)).argmax())
     while True:
         waiting[x] = False
-        other = np.flatnonzero((root != root[x]) & (equal(sig, sig[x]) >= least) & (size * 100 >= size[x] * percent) & (size[x] * 100 >= size * percent))
-        if len(other):
+        may = (root != root[x]) & (equal(sig, sig[x]) >= least)
+        if size is not None:
+            may &= (size * 100 >= size[x] * percent) & (size[x] * 100 >= size * percent)
+        other = np.flatnonzero(may)
+        if len(other) and size is not None:
             own = flat[start[x] : start[x] + size[x]]
             mine[own] = True
             if len(other) * 2 > n:
@@ -253,56 +252,147 @@ def _linked(doc: np.ndarray, names: list[np.ndarray], sig: np.ndarray, percent:
             else:
                 both = np.fromiter((np.count_nonzero(mine[flat[start[y] : start[y] + size[y]]]) for y in other), np.int64, len(other))
             mine[own] = False
-            hit = other[both * 100 >= percent * (size[other] + size[x] - both)]
-            if len(hit):
-                roots = np.unique(np.append(root[hit], root[x]))
-                root[np.isin(root, roots)] = roots[0]
-        # Pairs inside a group need no look: all documents but those of the largest group take a turn.
-        largest = np.bincount(root, minlength=n).argmax()
-        rest = np.flatnonzero(waiting & (root != largest))
+            other = other[both * 100 >= percent * (size[other] + size[x] - both)]
+        if len(other):
+            roots, first = np.unique(root[other], return_index=True)
+            links += [(x, int(y)) for y in other[first]]
+            root[np.isin(root, roots)] = root[x]
+        # Without turns all but the members of the largest component take one.
+        rest = waiting if turn is not None else waiting & (root != np.bincount(root, minlength=n).argmax())
+        rest = np.flatnonzero(rest)
         if not len(rest):
-            return root
+            return links
         x = int(rest[0])
 
 
-def _confirm(percent: int, width: int):
-    def group(held):
-        order = sorted(range(len(held)), key=lambda i: held[i][0])
-        doc = np.array([held[i][0] for i in order], np.int64)
-        root = _linked(doc, [held[i][1] for i in order], np.stack([held[i][2] for i in order]), percent)
-        go = root != np.arange(len(doc))
-        return pa.RecordBatch.from_arrays([pa.array(doc[go]), pa.array(doc[root[go]])], names=["a", "b"])
+#: side 0: a member in its slice; 1: a leader; 2: one of the rest, which has a turn. root: its component so far.
+MEMBER = ["task", "doc", "side", "root", "sig"]
+
+
+def _tasks(percent: int, width: int | None):
+    """Links (a, b) of rows of MEMBER, and texts with ``width``, sorted by task; a task is held until its last row is there."""
+
+    def group(held: list[tuple]) -> pa.RecordBatch | None:
+        turns = {doc for doc, side, *_ in held if side}
+        rows = sorted((r for r in held if r[1] or r[0] not in turns), key=lambda r: r[:2])  # nobody meets itself
+        if len(rows) < 2:
+            return None
+        doc, side = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, HASHES)
+        _, root = np.unique(np.array([r[2] for r in rows], np.int64), return_inverse=True)
+        links = _compared(sig, None if width is None else [r[4] for r in rows], percent, root, side > 0 if side.any() else None)
+        if not links:
+            return None
+        e = np.array(links)
+        return pa.RecordBatch.from_arrays([pa.array(doc[e[:, 0]]), pa.array(doc[e[:, 1]])], names=["a", "b"])
+
+    def regions(batches):
+        """As below, by whole arrays: regions are many and small."""
+
+        def links(task, doc, sig):
+            edges: list[tuple[int, int]] = []
+            starts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+            ends = np.append(starts[1:], len(task))
+            for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+                _search(sig, np.arange(a, b), edges, least_equal(percent))
+            if edges:
+                e = np.array(edges)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[e[:, 0]]), pa.array(doc[e[:, 1]])], names=["a", "b"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, HASHES)
+            held.append(now)
+            if held[0][0][0] != now[0][-1]:
+                task, doc, sig = map(np.concatenate, zip(*held))
+                cut = int(np.flatnonzero(task != task[-1])[-1]) + 1
+                yield from links(task[:cut], doc[:cut], sig[:cut])
+                held = [(task[cut:], doc[cut:], sig[cut:])]
+        if held:
+            yield from links(*map(np.concatenate, zip(*held)))
 
     def run(batches):
         held, at = [], None
         for batch in batches:
-            block, docs, texts, sigs = (c.to_pylist() for c in batch.columns)
+            task, doc, side, root, sig, *texts = (c.to_pylist() for c in batch.columns)
+            texts = texts[0] if texts else [None] * len(task)
             for i, j in chunks(texts):
-                names, bounds = shingles(texts[i:j], width)
+                names, bounds = shingles(texts[i:j], width) if width else (None, None)
                 for k in range(i, j):
-                    if block[k] != at:
-                        if len(held) > 1:
-                            yield group(held)
-                        held, at = [], block[k]
-                    held.append((docs[k], names[bounds[k - i] : bounds[k - i + 1]].copy(), np.frombuffer(sigs[k], np.uint8)))
-        if len(held) > 1:
-            yield group(held)
-
-    return run
-
-
-def _blocks(spark: SparkSession, roots: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(block, doc, sig) for the confirming tasks, and the heavy blocks' (doc, root)."""
-    rows = reps.join(roots, reps["doc"] == roots["node"]).select("doc", "sig", "n_shingles", "root")
-    weight = rows.groupBy("root").agg(F.sum("n_shingles").alias("weight"))
-    heavy = checkpointed(weight.where(F.col("weight") > BLOCK_SHINGLES).withColumn("parts", F.ceil(F.col("weight") / (BLOCK_SHINGLES // 2))))
-    light = rows.join(heavy.select("root"), "root", "left_anti").select(F.col("root").alias("block"), "doc", "sig")
-    if heavy.isEmpty():
-        return light, heavy
-    large = rows.join(heavy, "root")
-    # Every two parts of a heavy block are a task, so each pair of its texts is confirmed or refused in one at least.
-    cut = large.select(F.explode(_tasks(F.col("root"), F.col("parts"))).alias("block"), "doc", "sig")
-    return light.union(cut), large.select("doc", "root")
+                    if task[k] != at:
+                        if len(held) > 1 and (out := group(held)):
+                            yield out
+                        held, at = [], task[k]
+                    own = names[bounds[k - i] : bounds[k - i + 1]].copy() if width else None
+                    held.append((doc[k], side[k], root[k], sig[k], own))
+        if len(held) > 1 and (out := group(held)):
+            yield out
+
+    return run, regions
+
+
+def _dealt(rows: DataFrame, slice_rows: int, slice_weight: int | None) -> DataFrame:
+    """``rows`` (grp, doc, weight, sig) with the number of slices ``parts`` of their group and their own ``part``."""
+    counts = rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    size = F.col("n") / slice_rows
+    if slice_weight:
+        size = F.greatest(size, F.col("w") / slice_weight)
+    # Groups of one slice need no number: only the others are looked up.
+    large = written(counts.withColumn("parts", F.ceil(size)).where("parts > 1").select("grp", "n", "parts"))
+    both = looked_up(rows, large, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    return both.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc"), F.col("parts")))
+
+
+def linked(rows: DataFrame, percent: int, width: int | None, texts: DataFrame | None, slice_rows: int, slice_weight: int | None = None) -> DataFrame:
+    """Links (a, b) that join the members of each group of ``rows`` (grp, doc, weight, sig) to components: estimated ones,
+    or with ``texts`` (doc, text) and the ``width`` of shingles, confirmed ones."""
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run, regions = _tasks(percent, width)
+
+    texted = (lambda df: df) if texts is None else (lambda df: df.join(texts, "doc"))
+    columns = MEMBER if texts is None else [*MEMBER, "text"]
+
+    def sent(df: DataFrame, task, side: int, root) -> DataFrame:
+        return df.withColumns({"task": task, "side": F.lit(side), "root": root}).select(*columns)
+
+    def met(members: DataFrame, by) -> DataFrame:
+        return members.repartition(n_parts, "task").sortWithinPartitions("task", "doc").mapInArrow(by, "a long, b long")
+
+    def every(df: DataFrame, name: str, n: str) -> DataFrame:
+        return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+
+    dealt = written(_dealt(rows, slice_rows, slice_weight))
+    task, own = F.xxhash64("grp", "part"), F.col("doc")
+    found = met(sent(texted(dealt), task, 0, own), run if width else regions)
+    large = written(dealt.where("parts > 1"))
+    if large.isEmpty():
+        return written(found.distinct())
+    # Leaders meet every slice of their group.
+    picks = (F.min(F.struct(F.xxhash64(F.lit(k), "doc").alias("h"), "doc", "sig", "parts")).alias(f"l{k}") for k in range(LEADERS))
+    leaders = large.groupBy("grp").agg(*picks).select("grp", F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("l"))
+    leaders = written(leaders.select("grp", "l.doc", "l.sig", "l.parts").distinct())
+    guests = sent(every(texted(leaders), "part", "parts"), task, 1, own)
+    found = written(found.union(met(sent(texted(large), task, 0, own).union(guests), run)).distinct())
+    # Who is not in its group's largest component meets every slice.
+    now = written(large.join(components(found), F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc")).drop("node"))
+    most = now.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    rest = looked_up(now, written(most), "grp").where("root <> most").drop("most", "part").join(leaders.select("grp", "doc"), ["grp", "doc"], "left_anti")
+    rest = written(rest)
+    if rest.isEmpty():
+        return found
+    # The rest is dealt into slices of its own, each of which meets each slice of the members.
+    size = F.count("*") / slice_rows
+    if slice_weight:
+        size = F.greatest(size, F.sum("weight") / slice_weight)
+    turns = rest.groupBy("grp").agg(F.ceil(size).alias("turns"))
+    turns = written(now.groupBy("grp").agg(F.count("*").alias("n")).join(turns, "grp"))
+    pair = F.xxhash64("grp", "part", "turn")
+    takers = looked_up(rest, turns, "grp").withColumn("turn", F.pmod(F.xxhash64(F.lit(11), "doc"), F.col("turns")))
+    takers = sent(every(texted(takers), "part", "parts"), pair, 2, F.col("root"))
+    members = sent(every(texted(looked_up(now, turns, "grp")), "turn", "turns"), pair, 0, F.col("root"))
+    return written(found.union(met(members.union(takers), run)).distinct())
 
 
 def groups(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
@@ -313,25 +403,14 @@ def groups(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
 def groups_of(own: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
     """(doc, doc_id, n_shingles, root, root_id): every row of ``own`` (doc, doc_id, text) with the first document that
     its class is joined to, and that document's id. ``doc`` is a unique long."""
-    spark = own.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_trees = trees(percent)
-    rows = checkpointed(own.select("doc", "doc_id", "text").mapInArrow(lambda batches: _features(batches, width, n_trees), FEATURES))
-    reps = checkpointed(rows.where("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc", "doc_id")).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"), F.max("keys").alias("keys")).select("fp", "first.*", "n_shingles", "sig", "keys"))
-    least = least_equal(percent)
-    planted = reps.select("doc", "sig", F.explode("keys").alias("key"))
-    # Regions of more rows than a task takes: n_trees of REGION_ROWS classes at most, so they can be sent to every task.
-    dense = planted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > REGION_ROWS).select("key", F.ceil(F.col("n") * 2 / REGION_ROWS).alias("parts"))
-    keyed = planted.join(F.broadcast(dense), "key", "left").select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(_tasks(F.col("key"), F.col("parts")))).alias("key"), "doc", "sig")
-    edges = keyed.repartition(n_parts, "key").sortWithinPartitions("key", "doc").mapInArrow(lambda batches: _regions(batches, least), "a long, b long").distinct()
-    blocks, heavy = _blocks(spark, checkpointed(components(edges)), reps)
-    ready = blocks.join(own.select("doc", "text"), "doc").select("block", "doc", "text", "sig")
-    links = ready.repartition(n_parts, "block").sortWithinPartitions("block").mapInArrow(_confirm(percent, width), "a long, b long")
-    links = checkpointed(links)
-    if heavy.isEmpty():  # each block is whole, so its groups are final
-        found = links.select(F.col("a").alias("_rep"), F.col("b").alias("root"))
-    else:
-        found = components(links).select(F.col("node").alias("_rep"), "root")
+    rows = written(own.select("doc", "doc_id", "text").mapInArrow(lambda batches: _features(batches, width, n_trees), FEATURES))
+    reps = written(rows.where("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc", "doc_id")).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"), F.max("keys").alias("keys")).select("fp", "first.*", "n_shingles", "sig", "keys"))
+    planted = reps.select(F.explode("keys").alias("grp"), "doc", F.lit(1).cast("long").alias("weight"), "sig")
+    chains = written(components(linked(planted, percent, None, None, REGION_ROWS)))
+    blocks = reps.join(chains, reps["doc"] == chains["node"]).select(F.col("root").alias("grp"), "doc", F.col("n_shingles").alias("weight"), "sig")
+    links = linked(blocks, percent, width, own.select("doc", "text"), BLOCK_ROWS, BLOCK_SHINGLES)
+    found = components(links).select(F.col("node").alias("_rep"), "root")
     found = found.join(reps.select(F.col("doc").alias("root"), F.col("doc_id").alias("root_id")), "root")
     of = reps.select(F.col("fp").alias("_fp"), F.col("doc").alias("_rep"), "doc_id").join(found, "_rep", "left").select("_fp", F.coalesce("root", "_rep").alias("root"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("root_id")).alias("root_id"))
     member = rows.select("doc", "doc_id", "n_shingles", "fp").join(of, F.col("n_shingles").cast("boolean") & (F.col("fp") == F.col("_fp")), "left")
