@@ -40,11 +40,11 @@ MISS = 1e-5
 #: Signatures of a dense region that are compared at once, so that the comparison stays in a core's cache.
 DENSE = 4096
 #: Classes of a region that are a slice; classes, and their shingles, of a block that are a slice.
-REGION_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 8_192, 256, 500_000
+REGION_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 20_000, 4_096, 500_000
 #: Leaders of a large group.
 LEADERS = 2
 #: Keys whose rows are joined by broadcast, at most: those with this share of all rows, and with so many rows.
-HOT_KEYS, HOT_ROWS = 50_000, 1000
+HOT_KEYS, HOT_ROWS = 50_000, 100_000
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -333,16 +333,12 @@ def _tasks(percent: int, width: int | None):
     return run, regions
 
 
-def _dealt(rows: DataFrame, slice_rows: int, slice_weight: int | None) -> DataFrame:
-    """``rows`` (grp, doc, weight, sig) with the number of slices ``parts`` of their group and their own ``part``."""
-    counts = rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    size = F.col("n") / slice_rows
+def _large(rows: DataFrame, slice_rows: int, slice_weight: int | None) -> DataFrame:
+    """(grp, n, parts) of the groups of ``rows`` (grp, doc, weight, sig) that take more than one slice."""
+    size = F.count("*") / slice_rows
     if slice_weight:
-        size = F.greatest(size, F.col("w") / slice_weight)
-    # Groups of one slice need no number: only the others are looked up.
-    large = written(counts.withColumn("parts", F.ceil(size)).where("parts > 1").select("grp", "n", "parts"))
-    both = looked_up(rows, large, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    return both.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc"), F.col("parts")))
+        size = F.greatest(size, F.sum("weight") / slice_weight)
+    return written(rows.groupBy("grp").agg(F.count("*").alias("n"), F.ceil(size).alias("parts")).where("parts > 1"))
 
 
 def linked(rows: DataFrame, percent: int, width: int | None, texts: DataFrame | None, slice_rows: int, slice_weight: int | None = None) -> DataFrame:
@@ -363,12 +359,14 @@ def linked(rows: DataFrame, percent: int, width: int | None, texts: DataFrame |
     def every(df: DataFrame, name: str, n: str) -> DataFrame:
         return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
 
-    dealt = written(_dealt(rows, slice_rows, slice_weight))
-    task, own = F.xxhash64("grp", "part"), F.col("doc")
-    found = met(sent(texted(dealt), task, 0, own), run if width else regions)
-    large = written(dealt.where("parts > 1"))
+    task, own, by = F.xxhash64("grp", "part"), F.col("doc"), run if width else regions
+    large = _large(rows, slice_rows, slice_weight)
     if large.isEmpty():
-        return written(found.distinct())
+        return written(met(sent(texted(rows), F.col("grp"), 0, own), by).distinct())
+    dealt = looked_up(rows, large, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = written(dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc"), F.col("parts"))))
+    found = met(sent(texted(dealt), task, 0, own), by)
+    large = written(dealt.where("parts > 1"))
     # Leaders meet every slice of their group.
     picks = (F.min(F.struct(F.xxhash64(F.lit(k), "doc").alias("h"), "doc", "sig", "parts")).alias(f"l{k}") for k in range(LEADERS))
     leaders = large.groupBy("grp").agg(*picks).select("grp", F.explode(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("l"))
@@ -386,7 +384,7 @@ def linked(rows: DataFrame, percent: int, width: int | None, texts: DataFrame |
     size = F.count("*") / slice_rows
     if slice_weight:
         size = F.greatest(size, F.sum("weight") / slice_weight)
-    turns = rest.groupBy("grp").agg(F.ceil(size).alias("turns"))
+    turns = rest.groupBy("grp").agg(F.ceil(size).cast("long").alias("turns"))
     turns = written(now.groupBy("grp").agg(F.count("*").alias("n")).join(turns, "grp"))
     pair = F.xxhash64("grp", "part", "turn")
     takers = looked_up(rest, turns, "grp").withColumn("turn", F.pmod(F.xxhash64(F.lit(11), "doc"), F.col("turns")))
