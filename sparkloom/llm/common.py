@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,6 +69,26 @@ def delete(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
+_holds: dict[str, Callable[[], None]] = {}
+
+
+def begins(name: str, drop: Callable[[], None] | None = None) -> None:
+    """Called where a task of operator ``name`` begins in a Python worker, which serves tasks of one operator after the
+    other: what others hold there between tasks is dropped, and its memory goes back to the system. ``drop`` does so for
+    ``name``."""
+    others = [k for k in _holds if k != name]
+    for k in others:
+        _holds.pop(k)()
+    if drop is not None:
+        _holds[name] = drop
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only where the C library is glibc
+            pass
+
+
 def chunks(values: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of ``values`` with about ``limit`` characters each, in order, none empty."""
     start = held = 0

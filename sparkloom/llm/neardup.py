@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import chunks, has_odd_ids, numbered, ordered, written
+from sparkloom.llm.common import begins, chunks, has_odd_ids, numbered, ordered, written
 
 HASHES, LEAST_DEPTH = 96, 3
 #: Greatest probability that a pair at the threshold meets in no tree.
@@ -127,6 +127,7 @@ def trees(percent: int) -> int:
 
 
 def _features(batches, width: int, n_trees: int):
+    begins("neardup")
     for batch in batches:
         ids, texts = batch.select(["doc", "doc_id"]).columns, batch.column(2).to_pylist()
         for i, j in chunks(texts):
@@ -299,6 +300,7 @@ def _tasks(percent: int, width: int | None):
                 e = np.array(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(doc[e[:, 0]]), pa.array(doc[e[:, 1]])], names=["a", "b"])
 
+        begins("neardup")
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
@@ -314,6 +316,7 @@ def _tasks(percent: int, width: int | None):
             yield from links(*map(np.concatenate, zip(*held)))
 
     def run(batches):
+        begins("neardup")
         held, at = [], None
         for batch in batches:
             task, doc, side, root, sig, *texts = (c.to_pylist() for c in batch.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import checkpointed
+from sparkloom.llm.common import begins, checkpointed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct (or weighted) seeds that a pattern needs, the confidence that it needs, and the rounds of scoring.
@@ -132,6 +132,7 @@ def found(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Data
         schema = schema.add(f)
 
     def run(batches):
+        begins("pii")
         for batch in batches:
             spans, seeds, mentions = [], [], []
             for text in batch.column(2).to_pylist():
@@ -228,6 +229,7 @@ def masked(df: DataFrame) -> DataFrame:
     at, count = names.index("text"), names.index("n_chars")
 
     def run(batches):
+        begins("pii")
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for i, more in enumerate(batch.column(len(names)).to_pylist()):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import checkpointed
+from sparkloom.llm.common import begins, checkpointed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -80,6 +80,7 @@ def base_features(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
         schema = schema.add(f)
 
     def run(batches):
+        begins("quality")
         for batch in batches:
             rows = [counts(t) for t in batch.column(at).to_pylist()]
             if rows:

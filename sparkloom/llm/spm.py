@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import chunks
+from sparkloom.llm.common import begins, chunks
 
 SAMPLES = 2
 SEED = 20240607
@@ -396,6 +396,7 @@ def encode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), key_col: str = "d
     path = model
 
     def run(batches):
+        begins("spm", lattices.cache_clear)
         lat = lattices(path or default_model())
         for batch in batches:
             keys, texts = batch.column(batch.num_columns - 2).to_pylist(), [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
@@ -421,6 +422,7 @@ def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id
     schema = own.drop("_ids").withColumn("text", F.lit("")).schema
 
     def run(batches):
+        begins("spm", lattices.cache_clear)
         lat = lattices(model or default_model())
         for batch in batches:
             texts = [None if x is None else lat.decode(unpack(x)) for x in batch.column(batch.num_columns - 1).to_pylist()]
