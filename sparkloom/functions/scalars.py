@@ -95,9 +95,9 @@ def linear_schedule(step: Column, steps: int, start: float, end: float) -> Colum
     return F.lit(start) + (end - start) * F.least(F.greatest(step / F.lit(max(steps - 1, 1)), F.lit(0.0)), F.lit(1.0))
 
 
-def hash_bucket(key: Column, buckets: int) -> Column:
+def hash_bucket(key: Column, buckets: int | Column) -> Column:
     """A bucket from the first eight hex digits of md5: the same in any engine."""
-    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), buckets if isinstance(buckets, Column) else F.lit(buckets))
 
 
 def fenced_code(text: Column) -> Column:

@@ -38,7 +38,7 @@ def negatives(h: DataFrame, items: DataFrame, n: int = 3, salt: str = "neg") ->
     vocab = items.select(F.col("iid").alias("item")).distinct().withColumn("idx", F.row_number().over(Window.orderBy("item")).cast("long") - 1)  # one row an item
     size = vocab.agg(F.count("*").alias("size"))
     draws = h.select("uid", F.array_append("dedup", F.col("target")).alias("seen"), F.posexplode(F.sequence(F.lit(1), F.size("dedup") + 2 * n)).alias("j", "_x")).join(F.broadcast(size))
-    draws = draws.withColumn("idx", F.pmod(F.xxhash64("uid", F.lit(salt), "j"), F.col("size"))).join(vocab, "idx").where(~F.array_contains("seen", F.col("item")))
+    draws = draws.withColumn("idx", hash_bucket(F.concat_ws(":", "uid", F.lit(salt), "j"), F.col("size"))).join(vocab, "idx").where(~F.array_contains("seen", F.col("item")))
     first = draws.groupBy("uid", "item").agg(F.min("j").alias("j"))
     return first.withColumn("r", F.row_number().over(Window.partitionBy("uid").orderBy("j"))).where(F.col("r") <= n).select("uid", F.col("item").alias("iid"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -156,6 +158,9 @@ cond AS (SELECT *, ln((prob + 1e-12) / (prior + 1e-12)) AS lift FROM (SELECT *,
   SELECT l.uid, c.iid, l.source, l.key, l.weight, coalesce(s.cnt, 0) AS cnt, coalesce(t.total, 0) AS total, CASE WHEN l.source = 'transition' THEN sprior ELSE tprior END AS prior, {ALPHA_SQL.replace("CASE source", "CASE l.source")} AS alpha
   FROM lookup l JOIN cands c ON l.uid = c.uid AND c.pos <= 20 LEFT JOIN stats s ON s.source = l.source AND s.key = l.key AND s.iid = c.iid LEFT JOIN totals t ON t.source = l.source AND t.key = l.key LEFT JOIN pri ON pri.iid = c.iid)))"""
 
+# Each of these is read several times: without MATERIALIZED DuckDB works them out anew for every reader.
+COND_SQL = re.sub(r"\b(hist|tgt|stats|totals|lookup|cands|tp|sp|pri|cond) AS \(", r"\1 AS MATERIALIZED (", COND_SQL)
+
 
 def conditional(spark, d):
     h = T.hu(spark, d)

@@ -138,12 +138,19 @@ def runlog_export(spark, d):
     return N.exported(run_log(spark, d))
 
 
-@query()
+NEGATIVES = HIST_SQL + """,
+vocab AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS idx FROM (SELECT DISTINCT item FROM seq)), sized AS (SELECT count(*) AS size FROM vocab),
+lens AS (SELECT t.uid, t.target, coalesce(max(dn), 0) AS dn FROM tgt t LEFT JOIN dd ON t.uid = dd.uid GROUP BY t.uid, t.target),
+places AS (SELECT uid, target, unnest(range(0, dn + 6)) AS j FROM lens),
+draws AS (SELECT uid, target, j, CAST(concat('0x', substr(md5(uid || ':neg:' || CAST(j AS VARCHAR)), 1, 8)) AS BIGINT) % size AS idx FROM places, sized),
+firsts AS (SELECT d.uid, v.item, min(j) AS j FROM draws d JOIN vocab v ON d.idx = v.idx LEFT JOIN dd s ON s.uid = d.uid AND s.item = v.item WHERE s.uid IS NULL AND v.item <> d.target GROUP BY d.uid, v.item)"""
+
+
+@query("SELECT uid, item AS iid FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY j) AS r FROM firsts) WHERE r <= 3", NEGATIVES)
 def sampled_negatives(spark, d):
-    """Hash draws, so without SQL; tested for counts and for being unseen."""
     return SP.negatives(T.h(spark, d), T.items(spark, d).select("iid"))
 
 
-@query()
+@query("SELECT count(*) AS n_rows, CAST(sum(CAST(concat('0x', substr(sha256(concat_ws('|', o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT))), 1, 15)) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM orders")
 def table_fingerprint(spark, d):
-    return A.fingerprint(A.parquet(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    return A.fingerprint(A.parquet(spark, d, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")))
