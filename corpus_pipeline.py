@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm import mixing, neardup, pii, quality, spm
 from sparkloom.llm.common import shared_folder, small_batches
 
+#: Lattice positions that a worker keeps: less than op5 by itself, as executors still hold what the stages before took.
+HELD = 1_000_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their group's thresholds keep."""
@@ -51,7 +54,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         shard = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
         docs = docs.select("*", F.when(shard != "", shard.cast("int")).alias("shard"), F.col("_metadata.row_index").alias("row"))
         place = ["shard", "row"]
-    rows = spm.encode(docs, keep=("doc_id", "lang", "source", "n_chars", *place))
+    rows = spm.encode(docs, keep=("doc_id", "lang", "source", "n_chars", *place), held=HELD)
     return rows.withColumn("n_pieces", (F.length("ids") / 4).cast("long"))
 
 

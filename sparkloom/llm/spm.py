@@ -34,7 +34,7 @@ SEED = 20240607
 RANK_SHIFT = 10
 #: Log probability of a byte that has no piece.
 BYTE_COST = -14.0
-#: Lattice positions that a task keeps for words that come again.
+#: Lattice positions that a task keeps for words that come again; 0.3 times as many characters are looked at together.
 HELD = 2_500_000
 WORDS = re.compile(r" +[^ ]*")
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -74,6 +74,7 @@ class Lattices:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.held = HELD
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.sp.get_piece_size()
         self.bytes_of: list[bytes] = []
@@ -148,7 +149,7 @@ class Lattices:
     def _append(self, name: str, values: np.ndarray) -> None:
         used, held = self._used[name], self._held[name]
         if used + len(values) > len(held):
-            held = np.empty(2 * (used + len(values)), held.dtype)
+            held = np.empty((used + len(values)) * 5 // 4, held.dtype)
             held[:used] = self._held[name][:used]
             self._held[name] = held
         held[used : used + len(values)] = values
@@ -230,7 +231,7 @@ class Lattices:
 
     def indices(self, texts: list[str]) -> list[np.ndarray]:
         """The words of each text, as numbers of known lattices."""
-        if self.size > HELD:
+        if self.size > self.held:
             self.clear()
         split = [WORDS.findall(" " + t) if t else [] for t in texts]
         known = self.words
@@ -384,10 +385,11 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<i4")
 
 
-def encode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), key_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = SEED, model: str | None = None, check: bool = False) -> DataFrame:
+def encode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), key_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = SEED, model: str | None = None, check: bool = False, held: int = HELD) -> DataFrame:
     """``keep`` columns and ENCODED of every row; with ``check`` also round_trip: all id lists decode to the text.
 
-    Ids of a text begin with the blank that the model puts before it. A null text is empty.
+    Ids of a text begin with the blank that the model puts before it. A null text is empty. A worker keeps some 110 bytes
+    for each of ``held`` positions; fewer only mean that words are looked up again.
     """
     own = df.select(*keep, F.col(key_col).alias("_key"), F.col(text_col).alias("_text"))
     schema = own.drop("_key", "_text").schema
@@ -398,9 +400,10 @@ def encode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), key_col: str = "d
     def run(batches):
         begins("spm", lattices.cache_clear)
         lat = lattices(path or default_model())
+        lat.held = held
         for batch in batches:
             keys, texts = batch.column(batch.num_columns - 2).to_pylist(), [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for i, j in chunks(texts, 750_000):
+            for i, j in chunks(texts, max(1, held * 3 // 10)):
                 ids, samples, same = [], [], []
                 words = lat.indices(texts[i:j])
                 for w, t, drawn in zip(words, texts[i:j], sample(lat, words, [row_key(x, seed) for x in keys[i:j]], k)):
