@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scalars import hash_bucket
+
 
 def summaries(p: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, confidence, margin, entropy, pred): the best class, ties to the lowest."""
@@ -125,13 +127,19 @@ def expert_mix(p: DataFrame, experts: list[str], fallback: str, covered: DataFra
     return s.select("node", "class", F.when(F.col("_c"), F.col("m")).otherwise(F.col("f")).alias("p"))
 
 
-def weight_search(p: DataFrame, truth: DataFrame, models: list[str], draws: int = 30, seed: int = 7) -> DataFrame:
-    """(draw, weights, accuracy): Dirichlet draws and each model alone; all are scored by one grouped aggregation."""
-    import numpy as np
+def simplex_draws(spark, models: list[str], draws: int, salt: str = "draw") -> DataFrame:
+    """(draw, model, w): even draws from the simplex (rescaled exponentials of hashes), then each model alone."""
+    u = (hash_bucket(F.concat(F.lit(f"{salt}:"), "draw", F.lit(":"), "model"), 100_000) + 0.5) / 100_000
+    names = F.explode(F.array(*map(F.lit, models))).alias("model")
+    e = spark.range(draws).select(F.col("id").alias("draw"), names).withColumn("e", -F.ln(u))
+    drawn = e.select("draw", "model", (F.col("e") / F.sum("e").over(Window.partitionBy("draw"))).alias("w"))
+    alone = F.explode(F.array(*(F.struct(F.lit(draws + i).cast("long").alias("draw"), F.lit(m).alias("model"), F.lit(1.0).alias("w")) for i, m in enumerate(models)))).alias("x")
+    return drawn.unionByName(spark.range(1).select(alone).select("x.*"))
+
 
-    rng = np.random.default_rng(seed)
-    w = np.vstack([np.eye(len(models)), rng.dirichlet(np.ones(len(models)), draws)])
-    grid = p.sparkSession.createDataFrame([(i, m, float(x)) for i, row in enumerate(w) for m, x in zip(models, row)], "draw int, model string, w double")
+def weight_search(p: DataFrame, truth: DataFrame, models: list[str], draws: int = 30) -> DataFrame:
+    """(draw, accuracy, weights) of ``simplex_draws``; all are scored by one grouped aggregation."""
+    grid = simplex_draws(p.sparkSession, models, draws)
     s = p.join(F.broadcast(grid), "model").groupBy("draw", "node", "class").agg(F.round(F.sum(F.col("w") * F.col("p")), 9).alias("s"))  # draws x models
     best = s.groupBy("draw", "node").agg(F.max_by("class", F.struct("s", -F.col("class"))).alias("pred")).join(truth, "node")
     score = best.groupBy("draw").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"))

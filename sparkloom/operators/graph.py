@@ -12,14 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EVERY = 4
+#: Vectors of a block: a pair of blocks is compared by one matrix product.
+BLOCK = 2048
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared folder of spark.checkpoint.dir; a session without that setting gets a temporary one."""
+    """Written to the shared folder of spark.checkpoint.dir; without that setting only a local session gets a folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     # A checkpoint keeps the constraints of its plan, which Spark can't always carry over to a self-union of it.
     key = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(key, "true")
@@ -93,23 +98,34 @@ def one_hot(seeds: DataFrame, classes: DataFrame, eps: float = 0.0, n_classes: i
     return own.select("node", "class", F.when(F.col("label") == F.col("class"), 1.0 - eps).otherwise(low).alias("v"))
 
 
-def label_propagation(nodes: DataFrame, weights: DataFrame, seeds: DataFrame, classes: DataFrame, rounds: int = 5, alpha: float = 0.5, mode: str = "plain") -> DataFrame:
+def label_propagation(nodes: DataFrame, weights: DataFrame, seeds: DataFrame, classes: DataFrame, rounds: int = 5, alpha: float = 0.5, mode: str = "plain", eps: float = 0.0, tolerance: float | None = None, rescale: bool = False) -> DataFrame:
     """(node, class, v). ``plain``: (1 - a) T y + a y0, other nodes start even; ``clamped``: T y with seeds reset;
-    ``ppr``: a y0 + (1 - a) T y, 0 elsewhere; ``lgc``: a T y + (1 - a) y0. Rows of plain and ppr are not rescaled."""
+    ``ppr``: a y0 + (1 - a) T y, 0 elsewhere; ``lgc``: a T y + (1 - a) y0. Rows are rescaled to
+    sum to 1 only with ``rescale``. ``damped`` is clamped with (1 - a) T y + a y0 at other nodes. ``eps`` of a seed's mass
+    goes to its other classes. With ``tolerance`` rounds end once no value moves by that much."""
     n = classes.count()
     grid = nodes.select("node").join(F.broadcast(classes))  # a row for each node and class
-    given = one_hot(seeds, classes).withColumnRenamed("v", "y0")
-    start = F.lit(1.0 / n) if mode in ("plain", "clamped") else F.lit(0.0)
+    given = one_hot(seeds, classes, eps, n).withColumnRenamed("v", "y0")
+    start = F.lit(1.0 / n) if mode in ("plain", "clamped", "damped") else F.lit(0.0)
     base = checkpointed(grid.join(given, ["node", "class"], "left").select("node", "class", F.coalesce("y0", start).alias("y0"), F.col("y0").isNotNull().alias("seed")))
     w = checkpointed(weights)
     state = base.select("node", "class", F.col("y0").alias("v"))
     for k in range(rounds):
         got = base.join(spread(w, state, ["class"]), ["node", "class"], "left")
         v, y = F.coalesce("v", F.lit(0.0)), F.col("y0")
-        new = {"plain": (1 - alpha) * v + alpha * y, "clamped": F.when(F.col("seed"), y).otherwise(v), "ppr": alpha * y + (1 - alpha) * v, "lgc": alpha * v + (1 - alpha) * y}[mode]
-        state = got.select("node", "class", new.alias("v"))
-        if k % EVERY == EVERY - 1:
-            state = checkpointed(state)
+        new = {"plain": (1 - alpha) * v + alpha * y, "clamped": F.when(F.col("seed"), y).otherwise(v), "damped": F.when(F.col("seed"), y).otherwise((1 - alpha) * v + alpha * y), "ppr": alpha * y + (1 - alpha) * v, "lgc": alpha * v + (1 - alpha) * y}[mode]
+        after = got.select("node", "class", new.alias("v"))
+        if tolerance is not None:
+            after = checkpointed(after)
+            moved = after.join(state.withColumnRenamed("v", "_old"), ["node", "class"]).agg(F.max(F.abs(F.col("v") - F.col("_old")))).first()[0]
+            state = after
+            if moved is None or moved < tolerance:
+                break
+        else:
+            state = checkpointed(after) if k % EVERY == EVERY - 1 else after
+    if rescale:
+        total = F.sum("v").over(Window.partitionBy("node"))
+        state = state.withColumn("v", F.col("v") / F.when(total == 0, 1.0).otherwise(total))
     return state
 
 
@@ -181,10 +197,13 @@ def crossfit_label_blocks(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     return out
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component, size): the least node of each undirected component, by alternating star contraction."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component, size): the least node of each undirected component, by alternating star contraction.
+
+    Rounds go on until nothing changes; their number grows with the logarithm of the longest path."""
     now = checkpointed(symmetric(edges, loops=False).where("src > dst").select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    for _ in range(rounds):
+    done = False
+    while not done:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -194,29 +213,59 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         mark = (F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("x"))
         done = now.agg(*mark).first() == after.agg(*mark).first()
         now = after
-        if done:
-            break
     root = now.groupBy("u").agg(F.min("v").alias("root"))
     out = nodes.select("node").join(root.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
     return out.join(out.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
 
-def knn_votes(vectors: DataFrame, seeds: DataFrame, ks: tuple[int, ...] = (5, 10), blocks: int = 8) -> DataFrame:
-    """(node, k, class, vote): positive cosine similarities of the k most similar seeds, summed by class and rescaled.
+def most_similar(asked: DataFrame, known: DataFrame, k: int, itself: bool = True, block: int = BLOCK) -> DataFrame:
+    """(node, other, sim): the ``k`` rows of ``known`` (node, vec) with the highest cosine to each of ``asked``, ties by id.
 
-    A stated query set against the seeds, in blocks: each block of nodes meets each seed once, and only the best
-    max(ks) of each node go on. Nodes that are seeds count themselves.
+    A stated query set against all rows, in blocks: a pair of blocks of about ``block`` vectors is one matrix product in
+    one task, which gives ``k`` rows a query on; those of all pairs are merged. Vectors of length 0 have similarity 0.
     """
-    unit = vectors.select("node", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    unit = unit.withColumn("n", norm)
-    seed = unit.join(seeds, "node").select(F.col("node").alias("other"), F.col("vec").alias("w"), F.col("n").alias("m"), "label")
-    asked = unit.repartition(blocks, "node")
-    dot = F.aggregate(F.zip_with("vec", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = asked.join(seed).select("node", "other", "label", (dot / (F.col("n") * F.col("m"))).alias("sim"))
+    n_asked, n_known = (max(1, -(-df.count() // block)) for df in (asked, known))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
+    vec = F.col("vec").cast("array<double>")
+    left = asked.select(F.col("node").cast("long").alias("x"), vec.alias("xv"), own(n_asked).alias("xa"), every(n_known).alias("xb"))
+    right = known.select(F.col("node").cast("long").alias("y"), vec.alias("yv"), every(n_asked).alias("ya"), own(n_known).alias("yb"))
+
+    def best(one, two):
+        import numpy as np
+        import pandas as pd
+
+        two = two.sort_values("y", ignore_index=True)
+        out = {"node": np.empty(0, np.int64), "other": np.empty(0, np.int64), "sim": np.empty(0)}
+        if len(one) and len(two):
+            x, y = np.stack(one["xv"].to_numpy()), np.stack(two["yv"].to_numpy())
+            for m in (x, y):
+                size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                m /= np.where(size == 0, 1.0, size)
+            sim = x @ y.T
+            ids, nodes = two["y"].to_numpy(), one["x"].to_numpy()
+            if not itself:
+                sim[nodes[:, None] == ids[None, :]] = -np.inf
+            at = np.argsort(-np.round(sim, 9), axis=1, kind="stable")[:, :k]
+            rows = np.repeat(np.arange(len(nodes)), at.shape[1])
+            got = sim[rows, at.ravel()]
+            ok = np.isfinite(got)
+            out = {"node": nodes[rows][ok], "other": ids[at.ravel()][ok], "sim": got[ok]}
+        return pd.DataFrame(out)
+
+    found = left.groupBy("xa", "xb").cogroup(right.groupBy("ya", "yb")).applyInPandas(best, "node long, other long, sim double")
     order = Window.partitionBy("node").orderBy(F.desc(F.round("sim", 9)), "other")
-    top = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(ks))
-    rows = top.select("node", "label", "sim", "r", F.explode(F.array(*(F.lit(k).cast("long") for k in ks))).alias("k")).where("r <= k and sim > 0")
+    return found.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
+
+
+def knn_votes(vectors: DataFrame, seeds: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """(node, k, class, vote): positive cosine similarities of the k most similar seeds, summed by class and rescaled.
+
+    Nodes that are seeds count themselves.
+    """
+    top = most_similar(vectors, vectors.join(seeds.select("node"), "node", "left_semi"), max(ks))
+    rows = top.join(seeds.select(F.col("node").alias("other"), "label"), "other")
+    rows = rows.select("node", "label", "sim", "place", F.explode(F.array(*(F.lit(k).cast("long") for k in ks))).alias("k")).where("place <= k and sim > 0")
     votes = rows.groupBy("node", "k", F.col("label").alias("class")).agg(F.sum("sim").alias("s"))
     return votes.withColumn("vote", F.col("s") / F.sum("s").over(Window.partitionBy("node", "k"))).drop("s")
 

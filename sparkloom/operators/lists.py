@@ -68,26 +68,18 @@ def ranked(scores: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def diversified(lists: DataFrame, categories: DataFrame, k: int = 10, weight: float = 0.3) -> DataFrame:
-    """Greedy choice by place minus ``weight`` for each item of the same category already chosen; one row at a time."""
-    cats = lists.select("uid", F.posexplode("items").alias("p", "iid")).join(categories.select("iid", "cat"), "iid", "left")
+    """Greedy choice of ``k``: the best of (items left - place among them - ``weight`` for each chosen item of the same
+    category), ties to the earlier place. Lists of ``k`` items or fewer stay as they are."""
+    cats = lists.select("uid", F.posexplode("items").alias("p", "iid")).join(categories.select("iid", F.col("cat").cast("string").alias("cat")), "iid", "left")
     rows = cats.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("p", "iid", "cat"))).alias("x"))
+    x, n = F.col("x"), F.size("x")
 
-    def choose(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for row in batch.column(1).to_pylist():
-                left, n, used, picked = [(x["p"], x["iid"], x["cat"]) for x in row], len(row), {}, []
-                if n <= k:
-                    out.append([x[1] for x in left])
-                    continue
-                while left and len(picked) < k:
-                    best = max(range(len(left)), key=lambda i: (n - i - weight * used.get(left[i][2], 0), -i))
-                    _, iid, cat = left.pop(best)
-                    used[cat] = used.get(cat, 0) + 1
-                    picked.append(iid)
-                out.append(picked)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["uid", "items"])
-
-    return rows.mapInArrow(choose, "uid string, items array<string>")
+    def choose(chosen, _):
+        left = F.filter(x, lambda e: ~F.exists(chosen, lambda c: c["p"] == e["p"]))
+        value = lambda e, i: (F.size(left) - i - weight * F.size(F.filter(chosen, lambda c: c["cat"].eqNullSafe(e["cat"])))).cast("double")
+        scored = F.transform(left, lambda e, i: F.struct(F.round(value(e, i), 9).alias("s"), (-e["p"]).alias("q"), e["p"].alias("p"), e["iid"].alias("iid"), e["cat"].alias("cat")))
+        return F.array_append(chosen, F.array_max(scored))
+
+    none = F.expr("cast(array() as array<struct<s:double,q:int,p:int,iid:string,cat:string>>)")
+    picked = F.aggregate(F.sequence(F.lit(1), F.lit(k)), none, choose)
+    return rows.select("uid", F.transform(F.when(n <= k, F.transform(x, lambda e: e["iid"])).otherwise(F.transform(picked, lambda e: e["iid"])), lambda i: i).alias("items"))

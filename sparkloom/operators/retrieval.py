@@ -29,8 +29,11 @@ PENALISED = Sources(
 )
 
 
-def user_keys(h: DataFrame, cats: list[str], sources: Sources = Sources(), recent: int = C.RECENT) -> DataFrame:
-    """(uid, source, key, weight): the keys under which each user looks up counts; one pass, no join."""
+def user_keys(h: DataFrame, cats: list[str], sources: Sources = Sources(), recent: int = C.RECENT, lead=None) -> DataFrame:
+    """(uid, source, key, weight): the keys under which each user looks up counts; one pass, no join.
+
+    ``lead`` is put before each key, as in ``stats.build_stats``.
+    """
     w = sources.weight
     entry = lambda s, key, weight=None: F.struct(F.lit(s).alias("source"), key.alias("key"), (F.lit(w[s]) if weight is None else weight).alias("weight"))
     keys = [(f"last{k}", S.suffix(F.col("dedup"), k)) for k in (1, 2, 3)]
@@ -42,7 +45,8 @@ def user_keys(h: DataFrame, cats: list[str], sources: Sources = Sources(), recen
     last = F.reverse(F.slice("dedup", F.greatest(F.size("dedup") - recent, F.lit(0)) + 1, recent))
     late = F.transform(last, lambda x, d: entry("recent", x, F.lit(w["recent"]) * F.pow(F.lit(C.DECAY), d)))
     rows = S.with_bucket(h).select("uid", F.explode(F.concat(fixed, late)).alias("k"))
-    return rows.select("uid", "k.*").where("key is not null")
+    rows = rows.select("uid", "k.*").where("key is not null")
+    return rows if lead is None else rows.withColumn("key", F.concat(lead, "key"))
 
 
 def history_scores(h: DataFrame) -> DataFrame:
@@ -51,10 +55,10 @@ def history_scores(h: DataFrame) -> DataFrame:
     return steps.groupBy("uid", "iid").agg((2 * F.log1p(F.count("*")) + F.sum(3.0 / (F.col("n") - F.col("pos")))).alias("score"))
 
 
-def hits(h: DataFrame, stats: DataFrame, cats: list[str], sources: Sources = Sources()) -> DataFrame:
+def hits(h: DataFrame, stats: DataFrame, cats: list[str], sources: Sources = Sources(), lead=None) -> DataFrame:
     """(uid, iid, source, weight, rank) of every source's first items for every user."""
     top = C.top_n(stats, sources.limit).select("source", "key", "iid", "rank")
-    found = user_keys(h, cats, sources).join(top, ["source", "key"]).select("uid", "iid", "source", "weight", "rank")
+    found = user_keys(h, cats, sources, lead=lead).join(top, ["source", "key"]).select("uid", "iid", "source", "weight", "rank")
     own = history_scores(h).withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc(F.round("score", 9)), "iid")).cast("long"))
     own = own.where(F.col("rank") <= sources.history).select("uid", "iid", F.lit("history").alias("source"), F.lit(sources.weight["history"]).alias("weight"), "rank")
     return found.unionByName(own)

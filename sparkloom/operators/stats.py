@@ -18,22 +18,25 @@ DECAY = 0.82
 RECENT = 6
 
 
-def counted(rows: DataFrame, source: str, key, iid, weight=None) -> DataFrame:
-    cnt = F.sum(F.round(weight, 12)) if weight is not None else F.count("*").cast("double")
-    return rows.select(F.lit(source).alias("source"), key.alias("key"), iid.alias("iid"), *([weight.alias("_w")] if weight is not None else [])).groupBy("source", "key", "iid").agg((F.sum("_w") if weight is not None else cnt).alias("cnt"))
+def counted(rows: DataFrame, source: str, key, iid, weight=None, lead=None) -> DataFrame:
+    """Rows, or sums of ``weight``, by key and item; ``lead`` is put before the key."""
+    w = F.lit(1.0) if weight is None else weight
+    own = rows.select(F.lit(source).alias("source"), (key if lead is None else F.concat(lead, key)).alias("key"), iid.alias("iid"), w.alias("_w"))
+    return own.groupBy("source", "key", "iid").agg(F.sum("_w").alias("cnt"))
 
 
 def profile_key(cats: list[str]):
     return F.concat_ws("|", *cats)
 
 
-def suffix_counts(h: DataFrame) -> DataFrame:
-    keys = F.array(*(F.struct(F.lit(f"last{k}").alias("source"), S.suffix(F.col("dedup"), k).alias("key")) for k in (1, 2, 3)))
+def suffix_counts(h: DataFrame, lead=None) -> DataFrame:
+    led = lambda k: k if lead is None else F.concat(lead, k)
+    keys = F.array(*(F.struct(F.lit(f"last{k}").alias("source"), led(S.suffix(F.col("dedup"), k)).alias("key")) for k in (1, 2, 3)))
     rows = h.select(F.explode(keys).alias("s"), "target").select("s.*", F.col("target").alias("iid")).where("key is not null")
     return rows.groupBy("source", "key", "iid").agg(F.count("*").cast("double").alias("cnt"))
 
 
-def category_counts(h: DataFrame, cats: list[str]) -> DataFrame:
+def category_counts(h: DataFrame, cats: list[str], lead=None) -> DataFrame:
     """Segments, pairs of the first six, the full profile and the groups of the first 4, 2 and 1 categories.
 
     One pass: each row lists its keys, and counts are summed before they move.
@@ -41,7 +44,7 @@ def category_counts(h: DataFrame, cats: list[str]) -> DataFrame:
     keys = [("segment", F.concat(F.lit(f"{c}="), c)) for c in cats]
     keys += [("pair", F.concat(F.lit(f"{a}="), a, F.lit(f"&{b}="), b)) for a, b in combinations(cats[:6], 2)]
     keys += [("profile", profile_key(cats)), ("group_fine", profile_key(cats[:4])), ("group_mid", profile_key(cats[:2])), ("group_coarse", F.col(cats[0]))]
-    rows = h.select(F.explode(F.array(*(F.struct(F.lit(s).alias("source"), k.alias("key")) for s, k in keys))).alias("s"), "target")
+    rows = h.select(F.explode(F.array(*(F.struct(F.lit(s).alias("source"), (k if lead is None else F.concat(lead, k)).alias("key")) for s, k in keys))).alias("s"), "target")
     return rows.select("s.*", F.col("target").alias("iid")).groupBy("source", "key", "iid").agg(F.count("*").cast("double").alias("cnt"))
 
 
@@ -49,18 +52,23 @@ def cleaned(h: DataFrame, cats: list[str]) -> DataFrame:
     return h.withColumns({c: clean_scalar(F.col(c)) for c in cats})
 
 
-def build_stats(h: DataFrame, cats: list[str]) -> DataFrame:
-    """All sources over (uid, raw, dedup, target, categories)."""
+SUFFIXES = ("last1", "last2", "last3")
+CATEGORIES = ("segment", "pair", "profile", "group_fine", "group_mid", "group_coarse")
+
+
+def build_stats(h: DataFrame, cats: list[str], sources: tuple[str, ...] | None = None, lead=None) -> DataFrame:
+    """``sources`` (all by default) over (uid, raw, dedup, target, categories); ``lead``, of the uid, precedes each key."""
     h = h.where("target <> ''")
-    parts = [
-        counted(h, "global", F.lit(""), F.col("target")),
-        suffix_counts(h),
-        counted(S.recent(h, RECENT), "recent", F.col("item"), F.col("target"), F.pow(F.lit(DECAY), "d")),
-        counted(S.neighbours(h), "transition", F.col("a"), F.col("b")),
-        category_counts(h, cats),
-        counted(S.with_bucket(h), "length", F.col("bucket"), F.col("target")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    parts = {
+        ("global",): lambda: counted(h, "global", F.lit(""), F.col("target"), lead=lead),
+        SUFFIXES: lambda: suffix_counts(h, lead),
+        ("recent",): lambda: counted(S.recent(h, RECENT), "recent", F.col("item"), F.col("target"), F.pow(F.lit(DECAY), "d"), lead),
+        ("transition",): lambda: counted(S.neighbours(h), "transition", F.col("a"), F.col("b"), lead=lead),
+        CATEGORIES: lambda: category_counts(h, cats, lead),
+        ("length",): lambda: counted(S.with_bucket(h), "length", F.col("bucket"), F.col("target"), lead=lead),
+    }
+    out = reduce(DataFrame.unionByName, [f() for names, f in parts.items() if sources is None or set(names) & set(sources)])
+    return out if sources is None else out.where(F.col("source").isin(*sources))
 
 
 def totals(stats: DataFrame) -> DataFrame:

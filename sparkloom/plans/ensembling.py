@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import ensemble as E
 from sparkloom.operators import graph as G
 from sparkloom.operators import splits as SP
-from sparkloom.plans.graphs import GRAPH_SQL, PROB_SQL, fixture, nodes, probs
+from sparkloom.plans.graphs import GRAPH_SQL, PROB_SQL, classes, fixture, nodes, probs, seeds, vectors
 from sparkloom.plans.registry import query
 
 PSQL = GRAPH_SQL + PROB_SQL
@@ -178,9 +178,14 @@ def expert_mix(spark, d):
     return E.expert_mix(probs(spark, d), ["cold", "mid"], "hot", near).withColumn("p", F.round("p", 6))
 
 
-@query()
+SEARCH = """, raw AS (SELECT draw, m AS model, -ln((CAST(concat('0x', substr(md5('draw:' || draw || ':' || m), 1, 8)) AS BIGINT) % 100000 + 0.5::DOUBLE) / 100000) AS e FROM range(0, 30) t(draw), (VALUES ('cold'), ('mid'), ('hot')) v(m)),
+wts AS (SELECT draw::BIGINT AS draw, model, e / sum(e) OVER (PARTITION BY draw) AS w FROM raw UNION ALL SELECT 30 + i, m, (i = j)::INT::DOUBLE FROM (VALUES (0, 'cold'), (1, 'mid'), (2, 'hot')) v(i, m), range(0, 3) t(j) WHERE i = j),
+best AS (SELECT draw, node, class AS pred FROM (SELECT draw, node, class, row_number() OVER (PARTITION BY draw, node ORDER BY round(sum(w * p), 9) DESC, class) AS r FROM probs JOIN wts USING (model) GROUP BY draw, node, class) WHERE r = 1)"""
+
+
+@query("SELECT draw, round(avg((pred = label)::INT), 6) AS accuracy FROM best JOIN nodes USING (node) GROUP BY draw", PSQL + SEARCH)
 def blend_weight_search(spark, d):
-    """Random draws, so without SQL."""
+    """Thirty even draws from the simplex, by hash, and each model alone."""
     return E.weight_search(G.checkpointed(probs(spark, d)), labels(spark, d), ["cold", "mid", "hot"]).select("draw", F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -189,10 +194,11 @@ def tail_and_mask(spark, d):
     return SP.label_mask(SP.tail_split(nodes(spark, d).select("node"), "node"), "node")
 
 
-@query("SELECT node, i::BIGINT AS dim, round(v[i] / sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3] + v[4] * v[4]), 6) AS l2, round(v[i] / nullif(v[1] + v[2] + v[3] + v[4], 0), 4) AS row_share FROM vec, range(1, 5) t(i)", GRAPH_SQL)
+@query("SELECT node, i::BIGINT AS dim, round(v[i] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS l2, round(v[i] / nullif(list_sum(v), 0), 4) AS row_share, (v[i] <> 0)::DOUBLE AS binary, round((v[i] - avg(v[i]) OVER (PARTITION BY i)) / CASE WHEN stddev_pop(v[i]) OVER (PARTITION BY i) < 1e-6 THEN 1 ELSE stddev_pop(v[i]) OVER (PARTITION BY i) END, 6) AS standard FROM vec, range(1, 65) t(i) WHERE i <= len(v)", GRAPH_SQL)
 def attribute_scaling(spark, d):
-    from sparkloom.plans.graphs import vectors
-
-    a = vectors(spark, d).select("node", F.posexplode(F.slice("vec", 1, 4)).alias("p", "v")).select("node", (F.col("p") + 1).cast("long").alias("dim"), F.col("v").cast("double").alias("v"))
-    l2 = G.scaled_attributes(a, "l2").select("node", "dim", F.round("v", 6).alias("l2"))
-    return l2.join(G.scaled_attributes(a, "row").select("node", "dim", F.round("v", 4).alias("row_share")), ["node", "dim"])
+    a = vectors(spark, d).select("node", F.posexplode("vec").alias("p", "v")).select("node", (F.col("p") + 1).cast("long").alias("dim"), F.col("v").cast("double").alias("v"))
+    out = None
+    for mode, name, digits in (("l2", "l2", 6), ("row", "row_share", 4), ("binary", "binary", 6), ("standard", "standard", 6)):
+        one = G.scaled_attributes(a, mode).select("node", "dim", F.round("v", digits).alias(name))
+        out = one if out is None else out.join(one, ["node", "dim"])
+    return out

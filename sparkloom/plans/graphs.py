@@ -32,13 +32,8 @@ def vectors(spark, d):
 
 def edges(spark, d):
     """Each vector to its two most similar others, but for every third vector: the fixture of a directed graph."""
-    v = vectors(spark, d).select("node", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    v = v.withColumn("n", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
-    other = v.select(F.col("node").alias("dst"), F.col("vec").alias("w"), F.col("n").alias("m"))
-    dot = F.aggregate(F.zip_with("vec", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = v.where("node % 3 <> 0").repartition(8).join(other, F.col("node") != F.col("dst")).select(F.col("node").alias("src"), "dst", (dot / (F.col("n") * F.col("m"))).alias("s"))
-    r = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("s", 9)), "dst"))
-    return pairs.withColumn("r", r).where("r <= 2").select("src", "dst")
+    v = vectors(spark, d)
+    return G.most_similar(v.where("node % 3 <> 0"), v, 2, itself=False).select(F.col("node").alias("src"), F.col("other").alias("dst"))
 
 
 def seeds(spark, d):
@@ -89,13 +84,13 @@ def neighbor_stats(spark, d):
 
 
 X_SQL = GRAPH_SQL + """,
-x0 AS (SELECT node, i::BIGINT AS dim, v[i]::DOUBLE AS v FROM vec, range(1, 5) t(i)),
+x0 AS (SELECT node, i::BIGINT AS dim, v[i]::DOUBLE AS v FROM vec, range(1, 65) t(i) WHERE i <= len(v)),
 x1 AS (SELECT src AS node, dim, sum(wr * v) AS v FROM wt JOIN x0 ON dst = node GROUP BY 1, 2),
 x2 AS (SELECT src AS node, dim, sum(wr * v) AS v FROM wt JOIN x1 ON dst = node GROUP BY 1, 2)"""
 
 
 def _features(spark, d, hops: int):
-    x = vectors(spark, d).select("node", F.posexplode(F.slice("vec", 1, 4)).alias("p", "v")).select("node", (F.col("p") + 1).cast("long").alias("dim"), F.col("v").cast("double").alias("v"))
+    x = vectors(spark, d).select("node", F.posexplode("vec").alias("p", "v")).select("node", (F.col("p") + 1).cast("long").alias("dim"), F.col("v").cast("double").alias("v"))
     w = G.normalized(nodes(spark, d), fixture(spark, d), "row")
     for _ in range(hops):
         x = G.spread(w, x, ["dim"])

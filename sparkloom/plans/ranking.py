@@ -59,7 +59,7 @@ def candidates(spark, d, limit: int = LIMIT):
 def top10_rrf_basic(spark, d):
     """Sequences, three sources, reciprocal-rank fusion, ten items a user and whether each is the target."""
     h = T.hu(spark, d)
-    stats = C.build_stats(h, T.CATS).where(F.col("source").isin("last1", "transition", "global"))
+    stats = C.build_stats(h, T.CATS, ("last1", "transition", "global"))
     found = R.hits(h, stats, T.CATS, R.Sources()).where(F.col("source").isin("last1", "transition", "global"))
     top = R.cut(R.fused(found), 10).join(h.select("uid", "target"), "uid")
     return top.select("uid", "iid", "pos", F.round("rrf", 6).alias("rrf"), (F.col("iid") == F.col("target")).cast("long").alias("label"))
@@ -149,14 +149,14 @@ def hybrid_route(spark, d):
     return T.h(spark, d).select(F.when(F.size("raw") < 60, "cold").otherwise("warm").alias("route")).groupBy("route").agg(F.count("*").alias("n_users"))
 
 
-# Features of the first 20 candidates of each user.
+# Features of all candidates of each user.
 ALPHA_SQL = _when({k: v for k, v in FE.ALPHA.items()})
 COND_SQL = CANDS + f""",
 tp AS (SELECT target AS iid, count(*) AS t FROM tgt GROUP BY 1), sp AS (SELECT item AS iid, count(*) AS s FROM hist GROUP BY 1),
 pri AS (SELECT iid, (coalesce(t, 0) + 0.5) / ((SELECT sum(t) FROM tp) + 0.5 * (SELECT count(*) FROM tp)) AS tprior, (coalesce(s, 0) + 0.5) / ((SELECT sum(s) FROM sp) + 0.5 * (SELECT count(*) FROM sp)) AS sprior FROM tp FULL JOIN sp USING (iid)),
 cond AS (SELECT *, ln((prob + 1e-12) / (prior + 1e-12)) AS lift FROM (SELECT *, (cnt + alpha * prior) / (total + alpha) AS prob FROM (
   SELECT l.uid, c.iid, l.source, l.key, l.weight, coalesce(s.cnt, 0) AS cnt, coalesce(t.total, 0) AS total, CASE WHEN l.source = 'transition' THEN sprior ELSE tprior END AS prior, {ALPHA_SQL.replace("CASE source", "CASE l.source")} AS alpha
-  FROM lookup l JOIN cands c ON l.uid = c.uid AND c.pos <= 20 LEFT JOIN stats s ON s.source = l.source AND s.key = l.key AND s.iid = c.iid LEFT JOIN totals t ON t.source = l.source AND t.key = l.key LEFT JOIN pri ON pri.iid = c.iid)))"""
+  FROM lookup l JOIN cands c ON l.uid = c.uid LEFT JOIN stats s ON s.source = l.source AND s.key = l.key AND s.iid = c.iid LEFT JOIN totals t ON t.source = l.source AND t.key = l.key LEFT JOIN pri ON pri.iid = c.iid)))"""
 
 # Each of these is read several times: without MATERIALIZED DuckDB works them out anew for every reader.
 COND_SQL = re.sub(r"\b(hist|tgt|stats|totals|lookup|cands|tp|sp|pri|cond) AS \(", r"\1 AS MATERIALIZED (", COND_SQL)
@@ -165,7 +165,7 @@ COND_SQL = re.sub(r"\b(hist|tgt|stats|totals|lookup|cands|tp|sp|pri|cond) AS \("
 def conditional(spark, d):
     h = T.hu(spark, d)
     stats = C.build_stats(h, T.CATS)
-    top = R.cut(R.fused(R.hits(h, stats, T.CATS)), 20).select("uid", "iid")
+    top = R.cut(R.fused(R.hits(h, stats, T.CATS)), LIMIT).select("uid", "iid")
     pairs = R.user_keys(h, T.CATS).join(top, "uid")
     return FE.conditional(pairs, stats, C.totals(stats), FE.priors(h))
 
@@ -206,12 +206,12 @@ def source_hits(spark, d):
 
 
 @query("""SELECT c.uid, c.iid, round(max(j), 6) AS jac_max, round(sum(j), 6) AS jac_sum, round(avg(j), 6) AS jac_mean, round(avg((j > 0)::INT), 6) AS jac_pos FROM cands c JOIN dd ON c.uid = dd.uid AND dpos >= dn - 10
-  LEFT JOIN LATERAL (SELECT 1) ON true LEFT JOIN (SELECT a, b, cooc / (occ_a + occ_b - cooc) AS jj FROM pairs) p ON p.a = least(c.iid, dd.item) AND p.b = greatest(c.iid, dd.item) CROSS JOIN LATERAL (SELECT CASE WHEN c.iid = dd.item THEN 1 ELSE coalesce(jj, 0) END AS j) z WHERE c.pos <= 20 GROUP BY 1, 2""".replace("LEFT JOIN LATERAL (SELECT 1) ON true ", ""), CANDS + PAIR_SQL)
+  LEFT JOIN LATERAL (SELECT 1) ON true LEFT JOIN (SELECT a, b, cooc / (occ_a + occ_b - cooc) AS jj FROM pairs) p ON p.a = least(c.iid, dd.item) AND p.b = greatest(c.iid, dd.item) CROSS JOIN LATERAL (SELECT CASE WHEN c.iid = dd.item THEN 1 ELSE coalesce(jj, 0) END AS j) z GROUP BY 1, 2""".replace("LEFT JOIN LATERAL (SELECT 1) ON true ", ""), CANDS + PAIR_SQL)
 def i2i_aggregates(spark, d):
     """Similarity of each candidate to the user's last ten new items."""
     h = T.h(spark, d)
     last = h.select("uid", F.explode(F.slice("dedup", F.greatest(F.size("dedup") - 10, F.lit(0)) + 1, 10)).alias("item"))
-    both = candidates(spark, d, 20).select("uid", "iid").join(last, "uid").withColumns({"a": F.least("iid", "item"), "b": F.greatest("iid", "item")})
+    both = candidates(spark, d).select("uid", "iid").join(last, "uid").withColumns({"a": F.least("iid", "item"), "b": F.greatest("iid", "item")})
     both = both.join(C.pair_stats(h).select("a", "b", "jaccard"), ["a", "b"], "left").withColumn("j", F.when(F.col("iid") == F.col("item"), 1.0).otherwise(F.coalesce("jaccard", F.lit(0.0))))
     return both.groupBy("uid", "iid").agg(F.round(F.max("j"), 6).alias("jac_max"), F.round(F.sum("j"), 6).alias("jac_sum"), F.round(F.avg("j"), 6).alias("jac_mean"), F.round(F.avg((F.col("j") > 0).cast("double")), 6).alias("jac_pos"))
 
@@ -370,9 +370,18 @@ def list_overlap(spark, d):
     return both.agg(F.count("*").alias("n_users"), F.round(F.avg(F.size(F.array_intersect("items", "other"))), 6).alias("mean_overlap"), F.round(F.avg((F.get("items", F.lit(0)) == F.get("other", F.lit(0))).cast("double")), 6).alias("same_first"))
 
 
-@query()
+def _greedy_sql(k: int) -> str:
+    """Each step marks, for each user, the best of the items left."""
+    out = ", t0 AS MATERIALIZED (SELECT uid, iid, pos, split_part(iid, '#', 1) AS cat, NULL::INT AS step FROM cands WHERE pos <= 20)"
+    for i in range(k):
+        out += f""", t{i + 1} AS MATERIALIZED (SELECT uid, iid, pos, cat, CASE WHEN step IS NULL AND r = 1 THEN {i + 1} ELSE step END AS step FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY step IS NOT NULL, round(place + 0.3 * used, 9), pos) AS r
+  FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY step IS NOT NULL, pos) AS place, count(step) OVER (PARTITION BY uid, cat) AS used FROM t{i})))"""
+    return out
+
+
+@query("SELECT uid, string_agg(iid, ',' ORDER BY step) AS items FROM t10 WHERE step IS NOT NULL GROUP BY uid", CANDS + _greedy_sql(10))
 def diversity_rerank(spark, d):
-    """Greedy, so without SQL; tested against a plain loop."""
+    """Users' first 20 candidates, ten of which are chosen."""
     lists = candidates(spark, d, 20).groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "iid"))), lambda s: s["iid"]).alias("items"))
     return _csv(L.diversified(lists, T.items(spark, d).select("iid", F.col("i_cat_01").alias("cat"))))
 

@@ -133,7 +133,7 @@ def runlog_decision(spark, d):
     return N.decided(run_log(spark, d)).select("task_id", "iteration", "verdict")
 
 
-@query()
+@query("SELECT task_id, CAST(to_json(list({'iteration': iteration, 'decision': decision, 'score': round(score, 6)} ORDER BY iteration)) AS VARCHAR) AS trajectory FROM lg GROUP BY task_id", LOG_SQL)
 def runlog_export(spark, d):
     return N.exported(run_log(spark, d))
 

@@ -37,14 +37,19 @@ def clean_values(spark, d):
     return rows.select("raw", X.clean_id(c, numeric=True).alias("id"), F.regexp_replace(X.clean_scalar(c), r"\.0+$", "").alias("scalar"))
 
 
-@query("SELECT uid, list_aggregate(list_transform(x, lambda v: CAST(v AS VARCHAR)), 'string_agg', ',') AS padded FROM (SELECT uid, list(idx ORDER BY pos) AS x FROM (SELECT uid, pos, n, dense_rank() OVER (ORDER BY item) AS idx FROM hist) WHERE pos >= n - 20 GROUP BY uid HAVING count(*) = 20)", HIST_SQL)
+@query("SELECT uid, repeat('0,', 64 - len(x)) || list_aggregate(list_transform(x, lambda v: CAST(v AS VARCHAR)), 'string_agg', ',') AS padded FROM (SELECT uid, list(idx ORDER BY pos) AS x FROM (SELECT uid, pos, n, dense_rank() OVER (ORDER BY item) AS idx FROM hist) WHERE pos >= n - 64 GROUP BY uid)", HIST_SQL)
 def padded_ids(spark, d):
-    """Dictionary-encoded histories, the last 20 ids, zeros before; users with 20 or more items."""
-    h = T.h(spark, d).where(F.size("raw") >= 20)
-    all_items = T.h(spark, d).select(F.explode("raw").alias("item"))
-    steps = h.select("uid", F.posexplode("raw").alias("pos", "item")).join(S.vocabulary(all_items, "item"), "item")
-    ids = steps.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda s: s["idx"]).alias("ids"))
-    return ids.select("uid", F.array_join(X.left_padded(F.col("ids"), 20).cast("array<string>"), ",").alias("padded"))
+    """Dictionary-encoded histories, the last 64 ids, zeros before those of shorter ones."""
+    steps = T.h(spark, d).select("uid", F.posexplode("raw").alias("pos", "item"))
+    ids = steps.join(S.vocabulary(steps, "item"), "item").groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda s: s["idx"]).alias("ids"))
+    return ids.select("uid", F.array_join(X.left_padded(F.col("ids"), 64).cast("array<string>"), ",").alias("padded"))
+
+
+@query("SELECT l_orderkey, l_linenumber, regexp_replace(CAST(l_quantity AS VARCHAR), '\\.0+$', '') AS quantity_id, CASE WHEN l_returnflag = 'N' THEN '__NA__' ELSE l_returnflag END AS flag FROM lineitem")
+def clean_columns(spark, d):
+    """Whole numbers of a numeric column as ids, and a category in which N is blank, so missing."""
+    r = T.parquet(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.concat(F.lit(" "), F.translate("l_returnflag", "N", " "), F.lit(" ")).alias("f"))
+    return r.select("l_orderkey", "l_linenumber", X.clean_id(F.col("l_quantity"), numeric=True).alias("quantity_id"), X.clean_scalar(F.col("f")).alias("flag"))
 
 
 def _counts(source: str, name: str, where: str = ""):
