@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Smoothing of each source.
@@ -19,13 +19,13 @@ def priors(h: DataFrame) -> DataFrame:
     return out.select("iid", ((F.coalesce("t", F.lit(0)) + 0.5) / (F.coalesce("st", F.lit(0)) + 0.5 * F.col("nt"))).alias("target_prior"), ((F.coalesce("s", F.lit(0)) + 0.5) / (F.coalesce("ss", F.lit(0)) + 0.5 * F.col("ns"))).alias("seq_prior"))
 
 
-def conditional(pairs: DataFrame, stats: DataFrame, totals: DataFrame, prior: DataFrame) -> DataFrame:
+def conditional(pairs: DataFrame, stats: DataFrame, totals: DataFrame, prior: DataFrame, prior_keys: list[str] | None = None) -> DataFrame:
     """For (uid, iid, source, key, ...) the count, total, smoothed probability, lift and share of each pair.
 
     Pairs that were never seen have count 0 and the smoothed prior. Two equi-joins serve all sources.
     """
     alpha = F.create_map(*(F.lit(x) for kv in ALPHA.items() for x in kv))
-    rows = pairs.join(stats, ["source", "key", "iid"], "left").join(totals, ["source", "key"], "left").join(prior, "iid", "left")
+    rows = pairs.join(stats, ["source", "key", "iid"], "left").join(totals, ["source", "key"], "left").join(prior, prior_keys or ["iid"], "left")
     cnt, total = F.coalesce("cnt", F.lit(0.0)), F.coalesce("total", F.lit(0.0))
     own = F.when(F.col("source") == "transition", F.col("seq_prior")).otherwise(F.col("target_prior"))
     p = F.coalesce(own, F.lit(0.0))
@@ -34,19 +34,45 @@ def conditional(pairs: DataFrame, stats: DataFrame, totals: DataFrame, prior: Da
     return rows.withColumns({"lift": F.ln((F.col("prob") + 1e-12) / (F.col("prior") + 1e-12)), "log_cnt": F.log1p("cnt"), "log_total": F.log1p("total"), "mle": F.col("cnt") / (F.col("total") + 1e-12)}).drop("target_prior", "seq_prior")
 
 
-def widened(cond: DataFrame, sources: tuple[str, ...] = ("last1", "last2", "last3", "transition", "profile", "group_fine", "group_mid", "group_coarse", "length")) -> DataFrame:
-    """One row for each (uid, iid): five columns for each single-key source, by one conditional aggregation."""
+def wide_columns(sources: tuple[str, ...]) -> list[Column]:
     out = []
     for s in sources:
         here = F.col("source") == s
         out += [F.max(F.when(here, F.col(c))).alias(f"{s}_{c}") for c in ("log_cnt", "log_total", "prob", "lift", "mle")]
-    return cond.groupBy("uid", "iid").agg(*out)
+    return out
 
 
-def source_hits(cond: DataFrame) -> DataFrame:
-    """Which kinds of sources know a candidate, how many and how strongly."""
+def widened(cond: DataFrame, sources: tuple[str, ...] = ("last1", "last2", "last3", "transition", "profile", "group_fine", "group_mid", "group_coarse", "length")) -> DataFrame:
+    """One row for each (uid, iid): five columns for each single-key source, by one conditional aggregation."""
+    return cond.groupBy("uid", "iid").agg(*wide_columns(sources))
+
+
+def spread_columns() -> list[Column]:
+    """Sums and maxima over the recent items, maxima and means over segments and pairs."""
+    here = lambda s, x: F.when(F.col("source") == s, x)
+    w = F.col("weight") / 4.0
+    out = [F.coalesce(F.sum(here("recent", w * F.col("prob"))), F.lit(0.0)).alias("recent_prob_sum"), F.coalesce(F.max(here("recent", w * F.col("prob"))), F.lit(0.0)).alias("recent_prob_max"), F.coalesce(F.sum(here("recent", w * F.col("lift"))), F.lit(0.0)).alias("recent_lift_sum")]
+    for s in ("segment", "pair"):
+        for c in ("prob", "lift"):
+            out += [F.max(here(s, F.col(c))).alias(f"{s}_{c}_max"), F.avg(here(s, F.col(c))).alias(f"{s}_{c}_mean")]
+        out.append(F.sum(here(s, F.col("cnt"))).alias(f"{s}_cnt_sum"))
+    return out
+
+
+#: The kinds of sources that are counted together.
+KINDS = {"suffix": ("last1", "last2", "last3"), "recent": ("recent",), "transition": ("transition",), "profile": ("profile",), "segment": ("segment",), "pair": ("pair",), "group": ("group_fine", "group_mid", "group_coarse"), "length": ("length",)}
+
+
+def hit_columns() -> list[Column]:
     hit = lambda *s: F.max(F.when(F.col("source").isin(*s) & (F.col("cnt") > 0), 1).otherwise(0)).cast("long")
     strength = lambda *s: F.sum(F.when(F.col("source").isin(*s), F.log1p("cnt")).otherwise(0.0))
-    kinds = {"suffix": ("last1", "last2", "last3"), "recent": ("recent",), "transition": ("transition",), "profile": ("profile",), "segment": ("segment",), "pair": ("pair",), "group": ("group_fine", "group_mid", "group_coarse"), "length": ("length",)}
-    out = cond.groupBy("uid", "iid").agg(*(hit(*v).alias(f"hit_{k}") for k, v in kinds.items()), *(strength(*v).alias(f"strength_{k}") for k, v in kinds.items()))
-    return out.withColumn("n_hits", sum((F.col(f"hit_{k}") for k in kinds), F.lit(0)).cast("long"))
+    return [hit(*v).alias(f"hit_{k}") for k, v in KINDS.items()] + [strength(*v).alias(f"strength_{k}") for k, v in KINDS.items()]
+
+
+def with_hits(wide: DataFrame) -> DataFrame:
+    return wide.withColumn("n_hits", sum((F.col(f"hit_{k}") for k in KINDS), F.lit(0)).cast("long"))
+
+
+def source_hits(cond: DataFrame) -> DataFrame:
+    """Which kinds of sources know a candidate, how many and how strongly."""
+    return with_hits(cond.groupBy("uid", "iid").agg(*hit_columns()))

@@ -1,4 +1,4 @@
 """All queries by name, with their SQL."""
 
-from sparkloom.plans import ensembling, graphs, ranking, relational, sequences  # noqa: F401
+from sparkloom.plans import ensembling, graphs, oof, ranking, relational, sequences  # noqa: F401
 from sparkloom.plans.registry import ORACLES, QUERIES  # noqa: F401
