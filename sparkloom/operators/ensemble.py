@@ -144,3 +144,30 @@ def weight_search(p: DataFrame, truth: DataFrame, models: list[str], draws: int
     best = s.groupBy("draw", "node").agg(F.max_by("class", F.struct("s", -F.col("class"))).alias("pred")).join(truth, "node")
     score = best.groupBy("draw").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"))
     return score.join(grid.groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("model", "w"))).alias("weights")), "draw")
+
+
+def scattered(nodes: DataFrame, classes: DataFrame, p: DataFrame) -> DataFrame:
+    """(node, class, p): every class of every node, 0 where ``p`` has none; rows are rescaled if their sum is not 0."""
+    grid = nodes.select("node").join(F.broadcast(classes))  # a row for each node and class
+    out = grid.join(p.select("node", "class", "p"), ["node", "class"], "left").na.fill(0.0, ["p"])
+    total = F.sum("p").over(Window.partitionBy("node"))
+    return out.select("node", "class", (F.col("p") / F.when(total == 0, 1.0).otherwise(total)).alias("p"))
+
+
+#: Fixed shares of the first model in a blend of two.
+SHARES = {"a_only": 1.0, "b_only": 0.0, "average": 0.5, "a_heavy": 0.7, "b_heavy": 0.3, "a_vheavy": 0.8, "b_0208": 0.2, "b_0109": 0.1, "b_025": 0.25, "b_035": 0.35, "b_040": 0.4}
+
+
+def strategy_scores(a: DataFrame, b: DataFrame, deg: DataFrame, truth: DataFrame) -> DataFrame:
+    """(strategy, accuracy) of fixed shares and of shares that follow a node's degree; all by one grouped aggregation."""
+    stat = deg.agg(F.percentile("deg", F.lit(0.5)).alias("med"), F.stddev_pop("deg").alias("std"))
+    x = F.col("deg") - F.col("med")
+    sig = lambda m: 1 / (1 + F.exp(-x / F.greatest(m * F.col("std"), F.lit(1.0))))
+    by_degree = {"deg_sigmoid": sig(1), "deg_sigmoid2": sig(2), "deg_sigmoid3": sig(0.5), "deg_linear": F.least(F.greatest((x + F.col("std")) / F.greatest(2 * F.col("std"), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))}
+    by_degree |= {f"deg_b_heavy{n}": low + span * sig(1) for n, low, span in (("", 0.1, 0.3), ("2", 0.05, 0.25), ("3", 0.15, 0.35))}
+    every = F.explode(F.array(*(F.struct(F.lit(k).alias("strategy"), w.alias("w")) for k, w in ({k: F.lit(v) for k, v in SHARES.items()} | by_degree).items()))).alias("s")
+    shares = deg.join(F.broadcast(stat)).select("node", every).select("node", "s.*").join(truth.select("node", "label"), "node")  # one row
+    both = a.join(b.withColumnRenamed("p", "q"), ["node", "class"]).join(shares, "node")
+    s = F.round(F.col("w") * F.col("p") + (1 - F.col("w")) * F.col("q"), 9)
+    best = both.groupBy("strategy", "node", "label").agg(F.max_by("class", F.struct(s, -F.col("class"))).alias("pred"))
+    return best.groupBy("strategy").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"))

@@ -52,6 +52,13 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.na.fill(0)
 
 
+def degree_block(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Degrees with their logs, flags of zeros, the share of out-edges and the gap between the directions."""
+    d = degrees(nodes, edges)
+    zero = lambda c: (F.col(c) == 0).cast("long")
+    return d.withColumns({"log_out": F.log1p("out_deg"), "log_in": F.log1p("in_deg"), "log_deg": F.log1p("deg"), "no_out": zero("out_deg"), "no_in": zero("in_deg"), "isolated": zero("deg"), "out_share": F.col("out_deg") / F.greatest("deg", F.lit(1)), "gap": F.abs(F.col("in_deg") - F.col("out_deg"))})
+
+
 def normalized(nodes: DataFrame, edges: DataFrame, mode: str = "sym") -> DataFrame:
     """(src, dst, w) of A + I: ``sym`` w / sqrt(d_i d_j), ``row`` w / d_i. A node with a self-loop has weight 2 on it."""
     own = symmetric(edges).withColumn("w", F.lit(1.0)).union(nodes.select("node", "node", F.lit(1.0)))

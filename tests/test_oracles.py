@@ -11,7 +11,7 @@ from sparkloom.plans import catalog
 from .conftest import SF
 
 #: One query of each operator family here; the driver compares them all.
-NAMES = ["seq_histories", "seq_suffix_keys", "recent_decayed", "trigram_transition", "i2i_npmi", "skipgram_pairs", "top10_rrf_basic", "forced_positive", "heur_warm_ndcg", "query_pct_rank", "zscore_outer_fill", "ndcg_hit_mrr", "long_tail_coverage", "graph_degrees", "graph_norm_weights", "pagerank_10", "connected_components", "class_recall", "stratified_folds", "full_outer_join", "set_operations", "runlog_stop"]
+NAMES = ["seq_histories", "seq_suffix_keys", "recent_decayed", "trigram_transition", "i2i_npmi", "skipgram_pairs", "top10_rrf_basic", "forced_positive", "heur_warm_ndcg", "query_pct_rank", "zscore_outer_fill", "ndcg_hit_mrr", "long_tail_coverage", "graph_degrees", "graph_norm_weights", "pagerank_10", "connected_components", "class_recall", "stratified_folds", "full_outer_join", "set_operations", "runlog_stop", "knn_vote", "diversity_rerank", "blend_weight_search", "runlog_export", "oof_recall", "fusion_strategies", "label_prop_until", "parsed_logs"]
 
 
 @pytest.fixture(scope="module")
