@@ -2,7 +2,7 @@
 
 from functools import wraps
 
-from sparkloom.llm import htmltext, langid, licenses, media, mixing, neardup, pii, quality, spm, suffix
+from sparkloom.llm import collocations, htmltext, langid, licenses, linedup, media, mixing, neardup, pii, quality, runs, spm, suffix
 from sparkloom.llm.common import small_batches
 
 
@@ -27,6 +27,9 @@ QUERIES = {
     "op8_suffix": suffix.op8_suffix,
     "op9_licenses": licenses.op9_licenses,
     "op10_html": htmltext.op10_html,
+    "op11_linedup": linedup.op11_linedup,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_runs": runs.op13_runs,
 }
 QUERIES = {name: _in_small_batches(query) for name, query in QUERIES.items()}
-ORACLES = {**quality.ORACLE}
+ORACLES = {**quality.ORACLE, **linedup.ORACLE, **collocations.ORACLE}
