@@ -8,7 +8,7 @@ are added over all tasks; a phrase of n words may be frequent if its bucket reac
 of n - 1 words are frequent (Apriori), and, for counting in buckets, if both of its phrases of n - 1 words may be (DHP).
 What is known to be frequent goes to the tasks as a bitmap of the same hashes, as the set itself has no bound; so the
 bitmaps prune only, and every count comes from exact grouping by the phrase. A bitmap has ``buckets`` bits: a power of two
-near one for 64 bytes of text, between 2^16 and 2^26, so 8 MB at the most are broadcast and 64 MB of counters are held by
+of one for 64 to 128 bytes of text, between 2^16 and 2^26, so 8 MB at the most are broadcast and 64 MB of counters are held by
 a worker, whatever the size of the corpus.
 
 Candidates are phrases of 2 to ``longest`` words with f >= least. A cut after the first k words scores
@@ -43,8 +43,8 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _STOPS, b"abcdefghijkl
 #: Parts into which counters and bitmaps are cut on their way.
 SLICES = 64
 #: Phrases that a worker adds up before it sends them on, and characters that it reads at once.
-HELD = 200_000
-CHUNK = 3_000_000
+HELD = 250_000
+CHUNK = 2_000_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,23 +57,29 @@ class Words:
     """The words of some texts as numbers, 0 between pieces; ``hashes[k]`` has the hash of the k + 1 words at each place."""
 
     def __init__(self, langs: list[str], texts: list[str | None], longest: int):
-        ids: list[int] = []
-        seen: dict[str, dict[bytes, int]] = {}
-        self.words: list[tuple[str, bytes]] = [("", b"")]
+        ids, hashes = [np.zeros(1, np.int64)], [np.zeros(1, np.uint64)]
+        self.words: list[str] = [""]
+        self.firsts: list[tuple[int, str]] = []  # from which number on the words are of a language
+        by_lang: dict[str, list[bytes]] = {}
         for lang, text in zip(langs, texts):
-            own = seen.setdefault(lang, {b".": 0})
-            parts = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).replace(b".", b" . ").split()
-            for x in parts:
-                k = own.get(x)
-                if k is None:
-                    k = own[x] = len(self.words)
-                    self.words.append((lang, x))
-                ids.append(k)
-            ids.append(0)
-        self.ids = np.array(ids, np.int64)
-        salt = {lang: zlib.crc32(lang.encode("utf-8", "surrogatepass")) for lang in seen}
-        h = _mix(np.fromiter((zlib.crc32(w, salt.get(lang, 0)) for lang, w in self.words), np.uint64, len(self.words)) + np.uint64(1))
-        one = h[self.ids]
+            if text:
+                by_lang.setdefault(lang, []).append(text.encode("utf-8", "surrogatepass"))
+        for lang, own in by_lang.items():
+            raw = b".".join(own).translate(_FOLD).replace(b".", b" . ")
+            # the space is the only blank of ASCII that is left
+            found = pa.array(raw.split(), pa.string()).dictionary_encode()
+            names = found.dictionary.to_pylist()
+            salt = zlib.crc32(lang.encode("utf-8", "surrogatepass"))
+            number = np.arange(len(names), dtype=np.int64) + len(self.words)
+            if "." in names:
+                number[names.index(".")] = 0
+            h = _mix(np.fromiter((zlib.crc32(x.encode(), salt) for x in names), np.uint64, len(names)) + np.uint64(1))
+            at = found.indices.to_numpy()
+            ids += [number[at], np.zeros(1, np.int64)]
+            hashes += [h[at], np.zeros(1, np.uint64)]
+            self.firsts.append((len(self.words), lang))
+            self.words += names
+        self.ids, one = np.concatenate(ids), np.concatenate(hashes)
         self.hashes = [one]
         for k in range(1, longest):
             last = self.hashes[-1]
@@ -83,15 +89,21 @@ class Words:
         for k in range(1, longest):
             self.inside.append(self.inside[-1][:-1] & word[k:] if len(self.inside[-1]) else self.inside[-1])
 
-    def phrases(self, at: np.ndarray, n: int) -> tuple[list[tuple[str, bytes]], np.ndarray]:
+    def phrases(self, at: np.ndarray, n: int) -> tuple[list[tuple[str, str]], np.ndarray]:
         """The different phrases of n words that start at ``at``, and how often: names of pairs of names, so no hash decides."""
-        name = self.ids[at]
-        for k in range(1, n):
-            _, name = np.unique(name * len(self.words) + self.ids[at + k], return_inverse=True)
-        _, first, many = np.unique(name, return_index=True, return_counts=True)
-        ids = np.stack([self.ids[at[first] + k] for k in range(n)], 1) if len(at) else np.empty((0, n), np.int64)
-        words = self.words
-        return [(words[r[0]][0], b" ".join([words[k][1] for k in r])) for r in ids.tolist()], many
+        if n == 1:
+            many = np.bincount(self.ids[at], minlength=1)
+            first = np.flatnonzero(many)
+            ids, many = first[:, None], many[first]
+        else:
+            name = self.ids[at]
+            for k in range(1, n):
+                _, name = np.unique(name * len(self.words) + self.ids[at + k], return_inverse=True)
+            _, first, many = np.unique(name, return_index=True, return_counts=True)
+            ids = np.stack([self.ids[at[first] + k] for k in range(n)], 1) if len(at) else np.empty((0, n), np.int64)
+        lang = np.searchsorted([k for k, _ in self.firsts], ids[:, 0], side="right") - 1
+        words, names = self.words, [x for _, x in self.firsts]
+        return [(names[k], " ".join([words[i] for i in r])) for k, r in zip(lang.tolist(), ids.tolist())], many
 
 
 def _test(bits: np.ndarray | None, h: np.ndarray, buckets: int) -> np.ndarray:
@@ -102,7 +114,7 @@ def _test(bits: np.ndarray | None, h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 #: A phrase and its count, or a slice of counters.
-MAPPED = "lang string, phrase binary, n long, slice int, counters binary"
+MAPPED = "lang string, phrase string, n long, slice int, counters binary"
 
 
 def _pass(docs: DataFrame, n: int, buckets: int, least: int, longest: int, bucket_bits, frequent_bits) -> DataFrame:
@@ -112,7 +124,7 @@ def _pass(docs: DataFrame, n: int, buckets: int, least: int, longest: int, bucke
     def sent(counts: dict) -> pa.RecordBatch:
         langs, phrases = zip(*counts) if counts else ((), ())
         m = len(langs)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts.values(), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(counts.values(), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
 
     def run(batches):
         begins("collocations")
@@ -135,11 +147,10 @@ def _pass(docs: DataFrame, n: int, buckets: int, least: int, longest: int, bucke
                     counts = defaultdict(int)
                 if counters is not None and len(w.inside[n]):
                     longer = w.inside[n] & may[:-1] & may[1:]
-                    more = np.bincount((w.hashes[n][longer] & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-                    np.minimum(more, least, out=more)
-                    more += counters
-                    np.minimum(more, least, out=more)
-                    counters = more.astype(np.uint8)
+                    at = np.sort((w.hashes[n][longer] & np.uint64(buckets - 1)).astype(np.uint32))
+                    head = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+                    more = np.minimum(np.diff(np.append(head, len(at))), least)
+                    counters[at[head]] = np.minimum(counters[at[head]] + more, least)
         if counts:
             yield sent(counts)
         if counters is not None and counters.any():
@@ -147,7 +158,7 @@ def _pass(docs: DataFrame, n: int, buckets: int, least: int, longest: int, bucke
             some = [k for k in range(SLICES) if counters[k * size : (k + 1) * size].any()]
             m = len(some)
             parts = [counters[k * size : (k + 1) * size].tobytes() for k in some]
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(some, pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array(some, pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     names = ["lang", "phrase", "n", "slice", "counters"]
     return docs.mapInArrow(run, MAPPED)
@@ -194,7 +205,7 @@ def _marks(frequent: DataFrame, n: int, buckets: int) -> DataFrame:
 
 def buckets_for(docs: DataFrame) -> int:
     n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    return 1 << min(26, max(16, round(np.log2(max(n, 1) / 64))))
+    return 1 << min(26, max(16, int(np.log2(max(n, 1) / 64))))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +220,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         exact = rows.where("slice is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         if n == 1:
             words = written(rows.where("slice is null").groupBy("lang").agg(F.sum("n").alias("n")))
-        level = written(exact.where(F.col("f") >= least).select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(n).alias("n_words"), "f"))
+        level = written(exact.where(F.col("f") >= least).select("lang", "phrase", F.lit(n).alias("n_words"), "f"))
         levels.append(level)
         if n < longest:
             by_bucket = _bitmap(rows.where("slice is not null").select("slice", "counters"), buckets, least)
