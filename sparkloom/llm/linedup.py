@@ -99,9 +99,9 @@ class CuckooFilter:
             slots = np.argsort(~free[fits], axis=1, kind="stable")
             self.table[at[fits], slots[np.arange(len(slots)), nth[fits]]] = tag[fits]
             tag, at = tag[~fits], at[~fits]
-            if turn % 2 and len(tag):  # one newcomer a bucket takes a slot, and its tag moves on
+            if turn > 1 and len(tag):  # both buckets were full: one newcomer a bucket takes a slot, and its tag moves on
                 first = np.append(True, at[1:] != at[:-1])
-                slot = (turn // 2 + at[first]) % self.SLOTS
+                slot = (turn * 5 + at[first] + tag[first]) % 7 % self.SLOTS
                 moved = self.table[at[first], slot]
                 self.table[at[first], slot] = tag[first]
                 tag[first] = moved
