@@ -32,4 +32,4 @@ QUERIES = {
     "op13_runs": runs.op13_runs,
 }
 QUERIES = {name: _in_small_batches(query) for name, query in QUERIES.items()}
-ORACLES = {**quality.ORACLE, **linedup.ORACLE, **collocations.ORACLE}
+ORACLES = {**quality.ORACLE, **linedup.ORACLE, **collocations.ORACLE, **runs.ORACLE}
