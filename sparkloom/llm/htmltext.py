@@ -9,10 +9,9 @@ that shares the innermost element with it, then the nearer one; ``good`` on a ti
 first. Blocks that are neither paragraphs nor headings also look at the neighbours that are ``bad`` by their tags. Where
 nothing on a page is ``good``, its ambiguous blocks are.
 
-Stop words are those of STOP_WORDS and, for each language that pages name in ``<html lang>``, the commonest short words
-of its pages (``stop_words``: counts over the whole table). They count only on pages whose text holds enough of them. On
-other pages a block that is neither short nor mostly links is ``good``; scripts without blanks count two characters as a
-word.
+Stop words are those of STOP_WORDS (nine languages) or the caller's. They count only on pages whose text holds enough of
+them. On other pages a block that is neither short nor mostly links is ``good``; scripts without blanks count two characters
+as a word. A page's text follows from that page alone, whatever other pages the table has.
 
 Odd input: a null or empty page, or one without a good block, has the empty text. Unclosed tags end with the element
 around them; an unclosed comment, script or style ends with the page; after a tag with an unclosed quote, quotes are
@@ -29,14 +28,13 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: What follows a tag's name, with quoted values; and the same without quotes.
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-LANG = re.compile(r"""<html\b[^>]{0,300}?\slang\s*=\s*["']?([a-zA-Z]{2,3})\b""", re.I)
 NAME = re.compile(r"[a-z]+|\d+")
 
 #: Fixed values of HTML.
@@ -55,17 +53,19 @@ BAD_NAMES = frozenset(
     "promotion recommended related respond share sharing sidebar sidebars signup social sponsor sponsored subscribe teaser toolbar widget widgets".split()
 )
 GOOD_TAGS = frozenset({"article", "main"})
-#: The commonest function words of four languages; others are learnt.
+#: Common function words of English, German, French, Spanish, Italian, Portuguese, Dutch, Swedish and Polish.
 STOP_WORDS = frozenset(
     "the of and to in is it that was for on are with as be at this by from or an not have which but "
     "der die das und zu den von mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei "
     "le la les de des du et un une que qui est dans pour pas sur au plus par avec ce il sont en "
-    "el los las y que en del se por con para una su al lo como más pero sus".split()
+    "el los las y que en del se por con para una su al lo como más pero sus "
+    "di il che è e per non i gli della del con sono alla anche più si "
+    "o os do da dos das em não uma com mais foi ao na no "
+    "het een van dat niet zijn voor met op aan ook er maar om bij "
+    "och att det som på av inte med till har ett jag var "
+    "nie się na jest do z to że jak co".split()
 )
 HIGH_LINKS, LONG_WORDS, SHORT_WORDS, STOPS_HIGH, STOPS_LOW = 0.35, 25, 8, 0.2, 0.1
-#: Stop words have this many letters at most and make up this share of a language's words, of which there are so many at
-#: least; the commonest MOST_STOPS are taken.
-STOP_LETTERS, STOP_SHARE, STOP_LEAST, MOST_STOPS = 5, 0.004, 2000, 60
 #: Characters of scripts that don't put blanks between words (Thai to Burmese, Khmer, Chinese, Japanese).
 NO_BLANKS = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -319,54 +319,21 @@ def _cut(page: str) -> list[tuple[Block, str]]:
     return out
 
 
-def language(page: str) -> str:
-    m = LANG.search(page, 0, 2000)
-    return m[1].lower() if m else ""
-
-
-def main_text(page: str | None, learnt: dict[str, frozenset[str]] | None = None) -> str:
+def main_text(page: str | None, stops: frozenset[str] = STOP_WORDS) -> str:
     if not page:
         return ""
     both = _cut(page)
-    stops = STOP_WORDS | (learnt or {}).get(language(page), frozenset())
     return "\n".join(text for (_, text), x in zip(both, chosen(both, stops)) if x)
 
 
-def stop_words(df: DataFrame, html_col: str = "html") -> dict[str, frozenset[str]]:
-    """The commonest short words of each language that pages name: MOST_STOPS for each on the driver at most."""
-
-    def run(batches):
-        for batch in batches:
-            seen: dict[str, Counter] = {}
-            for page in batch.column(0).to_pylist():
-                if page and (lang := language(page)):
-                    words = [w for b, _ in _cut(page) if not b.bad for w in b.words]
-                    own = seen.setdefault(lang, Counter())
-                    own.update(w for w in words if len(w) <= STOP_LETTERS and w.isalpha())
-                    own[""] += len(words)
-            rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
-
-    counts = df.select(F.col(html_col).alias("_html")).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("lang"))
-    often = counts.withColumn("_all", total).where((F.col("word") != "") & (F.col("_all") >= STOP_LEAST) & (F.col("n") >= STOP_SHARE * F.col("_all")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    out: dict[str, set[str]] = {}
-    for r in often.withColumn("_place", place).where(F.col("_place") <= MOST_STOPS).select("lang", "word").collect():
-        out.setdefault(r["lang"], set()).add(r["word"])
-    return {k: frozenset(v) for k, v in out.items()}
-
-
-def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), learnt: dict[str, frozenset[str]] | None = None) -> DataFrame:
-    """``keep`` columns, text and n_chars of every page. Without ``learnt`` stop words are learnt from ``df`` first."""
+def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), stops: frozenset[str] = STOP_WORDS) -> DataFrame:
+    """``keep`` columns, text and n_chars of every page."""
     own = df.select(*keep, F.col(html_col).alias("_html"))
     schema = own.drop("_html").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    learnt = stop_words(df, html_col) if learnt is None else learnt
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(p, learnt) for p in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [main_text(p, stops) for p in batch.column(batch.num_columns - 1).to_pylist()]
             if texts:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
