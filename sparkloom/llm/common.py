@@ -26,13 +26,25 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application inside that of spark.checkpoint.dir."""
+    """A folder of this application inside that of spark.checkpoint.dir; without it only a local session gets one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
+#: Columns of documents that operators know by name.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def set_aside(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with all columns but those of KNOWN under names that no operator uses, and its own names, for ``toDF``."""
+    return df.toDF(*(c if c in KNOWN else f"_given{i}" for i, c in enumerate(df.columns))), df.columns
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder of spark.checkpoint.dir, which all executors share, and cut its lineage.
 

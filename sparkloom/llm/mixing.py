@@ -11,7 +11,8 @@ from a range-partitioned sort, so a source with a third of the rows is spread ov
 repeated: when a source has run out, the others keep their shares of all slots, and slots that none may take stay empty.
 
 Odd input: null is a source of its own; repeated rows take places of their own; a source that ``weights`` doesn't name
-shares what they leave (or the least weight), by size; an empty table gives an empty result.
+shares what they leave (or the least weight), by size; an empty table gives an empty result. Texts are never read, however
+long. Columns of any names come back as they are; ``placed`` gives those that bear one of its new names ``_given`` after it.
 """
 
 from __future__ import annotations
@@ -25,26 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import checkpointed, has_odd_ids, numbered
+from sparkloom.llm.common import checkpointed, has_odd_ids, numbered, set_aside
 
 BLOCK = 16
 #: Blocks of the schedule that are made at once.
 STEPS = 50_000
+#: What ``placed`` adds.
+PLACES = ("block", "release", "deadline", "slot", "nth")
 #: Without stated weights a source weighs its number of documents to this power.
 TEMPER = 0.7
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, at least one each, by largest remainders; ties to the smaller name."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    exact = {k: (period - len(weights)) * v / total for k, v in weights.items()}
-    out = {k: 1 + int(v) for k, v in exact.items()}
-    for k in sorted(weights, key=lambda k: (int(exact[k]) - exact[k], k))[: period - sum(out.values())]:
-        out[k] += 1
-    return out
-
-
 def steps(weights: dict[str, int | float | Fraction], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
     """(source, block, release, deadline, slot) of all ``blocks`` in the order of slots: earliest deadline first over
     released blocks, ties to the smaller name. Weights are relative and taken exactly."""
@@ -70,11 +62,6 @@ def steps(weights: dict[str, int | float | Fraction], blocks: dict[str, int]) ->
         slot += 1
 
 
-def schedule(parts: dict[str, int]) -> list[str]:
-    """The source of each slot of a period in which each source has a whole number of blocks."""
-    return [name for name, *_ in steps(parts, parts)]
-
-
 def _planned(weights: dict[str, float], blocks: dict[str, int]):
     def run(batches):
         for batch in batches:
@@ -95,6 +82,8 @@ def placed(rows: DataFrame, weights: dict[str | None, float] | None = None, bloc
     The driver gets one row for each source.
     """
     spark = rows.sparkSession
+    names = [f"{c}_given" if c in PLACES else c for c in rows.columns]
+    rows, _ = set_aside(rows)
     own = rows.withColumn("_source", _key()).withColumn("_hash", F.xxhash64("doc_id"))
     own = numbered(own, ["_source", "_hash", "doc_id"], "_number")
     stats = own.groupBy("_source").agg(F.count("*").alias("n"), F.min("_number").alias("first")).collect()
@@ -112,7 +101,7 @@ def placed(rows: DataFrame, weights: dict[str | None, float] | None = None, bloc
     plan = spark.range(0, 1, 1, 1).mapInArrow(_planned(want, blocks), "_source string, block long, release long, deadline long, slot long")
     own = own.join(first, "_source").withColumn("block", F.expr(f"(_number - _first) div {block}"))
     own = own.withColumn("nth", F.pmod(F.col("_number") - F.col("_first"), F.lit(block)))
-    return own.join(plan, ["_source", "block"]).select(*rows.columns, "block", "release", "deadline", "slot", "nth")
+    return own.join(plan, ["_source", "block"]).select(*rows.columns, *PLACES).toDF(*names, *PLACES)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,10 +113,10 @@ def mixed(df: DataFrame, weights: dict[str | None, float] | None = None, block:
 
     Written as files, the n-th file holds the n-th stretch of the mix.
     """
-    names = df.columns
+    df, names = set_aside(df)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if has_odd_ids(df):
-        packed = df.select("doc_id", "source", F.struct(*names).alias("_row"))
+        packed = df.select("doc_id", "source", F.struct(*df.columns).alias("_row"))
         both = checkpointed(placed(packed, weights, block)).select("_row.*", F.col("slot").alias("_slot"), F.col("nth").alias("_nth"))
         most = both.agg(F.max("_slot")).first()[0]
     else:  # places are found without the texts and joined to them by id
@@ -135,4 +124,4 @@ def mixed(df: DataFrame, weights: dict[str | None, float] | None = None, block:
         most = places.agg(F.max("_slot")).first()[0]
         both = df.join(places, F.col("doc_id") == F.col("_id"))
     part = F.floor(F.col("_slot") * n / F.lit((most or 0) + 1)).cast("int")
-    return both.repartitionById(n, part).sortWithinPartitions("_slot", "_nth").select(*names)
+    return both.repartitionById(n, part).sortWithinPartitions("_slot", "_nth").select(*df.columns).toDF(*names)

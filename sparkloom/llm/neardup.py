@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import begins, chunks, has_odd_ids, numbered, ordered, written
+from sparkloom.llm.common import begins, chunks, has_odd_ids, numbered, ordered, set_aside, written
 
 HASHES, LEAST_DEPTH = 96, 3
 #: Greatest probability that a pair at the threshold meets in no tree.
@@ -426,9 +426,10 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_copies(df: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
     """``df`` without the rows that are in a group and not its first; rows without words stay."""
+    df, names = set_aside(df)
     if has_odd_ids(df):
         own = numbered(df.withColumn("_fp", F.xxhash64("text")), ["doc_id", "_fp", "text"], "_doc").drop("_fp")
         gone = groups_of(own.select(F.col("_doc").alias("doc"), "doc_id", "text"), percent, width)
-        return own.join(gone.where("doc <> root").select(F.col("doc").alias("_doc")), "_doc", "left_anti").select(*df.columns)
+        return own.join(gone.where("doc <> root").select(F.col("doc").alias("_doc")), "_doc", "left_anti").select(*df.columns).toDF(*names)
     gone = groups(df, percent, width).where("doc <> root").select(F.col("doc").alias("_gone"))
-    return df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").toDF(*names)

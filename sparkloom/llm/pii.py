@@ -10,7 +10,8 @@ their instances are weighted seeds of all patterns that they stand behind, known
 are added as spans of the pattern's kind; base spans always stay.
 
 Odd input: a null text is empty and has no spans; rows with the same id and text get the same spans; all counts are of
-distinct instances, so repeated rows don't raise a confidence. Patterns are summed before they are shuffled and no
+distinct instances, so repeated rows don't raise a confidence. Texts are read whole, each in one task; an empty table gives
+an empty result; ``masked`` returns the caller's columns under their own names, whatever they are. Patterns are summed before they are shuffled and no
 pattern's instances are gathered in one place.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import begins, checkpointed
+from sparkloom.llm.common import begins, checkpointed, set_aside
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct (or weighted) seeds that a pattern needs, the confidence that it needs, and the rounds of scoring.
@@ -223,6 +224,7 @@ def masked(df: DataFrame) -> DataFrame:
 
     A text that is null stays null. Overlapping spans are masked as one, named by the first.
     """
+    df, given = set_aside(df)
     _, more = all_spans(df)
     names = df.columns
     both = with_spans(df.withColumn("_text_fp", F.xxhash64("text")), more, "doc_id", "_text_fp").select(*names, "_more")
@@ -249,4 +251,4 @@ def masked(df: DataFrame) -> DataFrame:
                 columns[count] = pa.array([c if t is None else len(t) for t, c in zip(texts, columns[count].to_pylist())], pa.int64())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return both.mapInArrow(run, df.schema)
+    return both.mapInArrow(run, df.schema).toDF(*given)

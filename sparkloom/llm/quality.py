@@ -3,13 +3,14 @@
 Each document gets integer features in thousandths (symbols to word characters, repeated words to words, repeated lines
 to lines, characters to words). For every (language, source, feature) a mergeable quantile sketch is kept: a
 log-linear histogram whose bucket holds the leading ``SUB_BITS`` bits of a value (relative error below 1/16), so that
-sketches merge by adding counts; merging the sources of a language, and all languages, gives the sketches to which
-small groups fall back. A threshold is a fence ``q75 + SPREAD * (q75 - q25) + slack`` (and a lower fence for word
+sketches merge by adding counts. A group's sketch is taken with its language's, scaled to the weight of ``parent``
+documents, and that with the sketch of all in the same way: a small group follows its language, a large one itself, and
+nothing switches at a size. A threshold is a fence ``q75 + SPREAD * (q75 - q25) + slack`` (and a lower fence for word
 length); documents are then joined with their group's thresholds and rejected where a feature lies beyond its fence.
 
 Odd input: null language or source is a group of its own; a null or blank text has no words, fails the base rules and
-adds nothing to sketches; groups of fewer than ``least`` documents take their language's sketch, then the sketch of
-all. Repeated rows count and return as often as they occur; an empty table gives an empty result.
+adds nothing to sketches. Very long texts are read whole, each in one task. Repeated rows count and return as often as they
+occur; an empty table gives an empty result. ``passing`` returns the caller's columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import begins, checkpointed
+from sparkloom.llm.common import begins, checkpointed, set_aside
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -31,8 +32,8 @@ SUB_BITS = 5
 SPREAD = 6
 #: Upper fences never stand closer to the quartile than this, in thousandths.
 SLACK = {"symbols": 60, "repeats": 250, "dup_lines": 300, "word_len": 1500}
-#: Documents below which a group takes the sketch of the next larger one.
-LEAST = 100
+#: Documents for which the sketch of the next larger group counts in a group's own.
+PARENT = 100
 BASE = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
@@ -118,23 +119,36 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
 
 
+def mixtures(fine: DataFrame, parent: int = PARENT) -> DataFrame:
+    """(lang, source, feature, bucket, m): sketches of groups with those of their languages and of all mixed in, as whole
+    numbers. With c, l, a the counts of a bucket in the group, its language and all, of which there are L in the language
+    and A in all (n_lang, n_all), and W for ``parent``: m / (A (L + W)) = c + W (l + W a / A) / (L + W)."""
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(12,0)")
+    total = lambda df, keys, name: merged(df, keys).groupBy(*keys, "feature").agg(F.sum("n").alias(name))
+    every = merged(fine, []).join(total(fine, [], "n_all"), "feature").select("feature", "bucket", F.col("n").alias("a"), "n_all")
+    lang = merged(fine, ["lang"]).select(F.col("lang").alias("_lang"), F.col("feature").alias("_f"), F.col("bucket").alias("_b"), F.col("n").alias("l"))
+    size = total(fine, ["lang"], "n_lang").select(F.col("lang").alias("_lang2"), F.col("feature").alias("_f2"), "n_lang")
+    own = fine.select(F.col("lang").alias("_lang3"), F.col("source").alias("_source3"), F.col("feature").alias("_f3"), F.col("bucket").alias("_b3"), F.col("n").alias("c"))
+    # The sketch of all has some hundreds of buckets a feature, whatever the table.
+    rows = fine.select("lang", "source", "feature").distinct().join(F.broadcast(every), "feature")
+    rows = rows.join(size, F.col("lang").eqNullSafe(F.col("_lang2")) & (F.col("feature") == F.col("_f2")))
+    rows = rows.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("feature") == F.col("_f")) & (F.col("bucket") == F.col("_b")), "left")
+    rows = rows.join(own, F.col("lang").eqNullSafe(F.col("_lang3")) & F.col("source").eqNullSafe(F.col("_source3")) & (F.col("feature") == F.col("_f3")) & (F.col("bucket") == F.col("_b3")), "left")
+    m = whole("c") * whole("n_all") * (whole("n_lang") + parent) + parent * (whole("l") * whole("n_all") + parent * whole("a"))
+    return rows.select("lang", "source", "feature", "bucket", m.cast("decimal(38,0)").alias("m"))
+
+
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, feature, n, q25, q75). A group has as many buckets as values have leading bits: some hundreds at most."""
+    """(keys, feature, q25, q75) of counts ``m``. A group has as many buckets as values have leading bits: some hundreds."""
     group = Window.partitionBy(*keys, "feature")
-    at = sketch.withColumn("_to", F.sum("n").over(group.orderBy("bucket"))).withColumn("_all", F.sum("n").over(group))
+    at = sketch.withColumn("_to", F.sum("m").over(group.orderBy("bucket"))).withColumn("_all", F.sum("m").over(group))
     q = lambda part: F.min(F.when(F.col("_to") * 4 >= F.col("_all") * part, F.col("bucket")))
-    return at.groupBy(*keys, "feature").agg(F.max("_all").alias("n"), q(1).alias("q25"), q(3).alias("q75"))
+    return at.groupBy(*keys, "feature").agg(q(1).alias("a"), q(3).alias("b"))
 
 
-def thresholds(base: DataFrame, least: int = LEAST) -> DataFrame:
+def thresholds(base: DataFrame, parent: int = PARENT) -> DataFrame:
     """(lang, source, hi_<feature>..., lo_word_len): one row for each group of documents with words."""
-    fine = sketches(base, ["lang", "source"])
-    by = quartiles(fine, ["lang", "source"])
-    by_lang = quartiles(merged(fine, ["lang"]), ["lang"]).select(F.col("lang").alias("_lang"), F.col("feature").alias("_f"), F.col("n").alias("n1"), F.col("q25").alias("q25_1"), F.col("q75").alias("q75_1"))
-    by_all = quartiles(merged(fine, []), []).select(F.col("feature").alias("_g"), F.col("q25").alias("q25_2"), F.col("q75").alias("q75_2"))
-    all_of = by.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("feature") == F.col("_f"))).join(F.broadcast(by_all), F.col("feature") == F.col("_g"))  # by_all: one row a feature
-    pick = lambda q: F.when(F.col("n") >= least, F.col(q)).when(F.col("n1") >= least, F.col(f"{q}_1")).otherwise(F.col(f"{q}_2"))
-    fences = all_of.select("lang", "source", "feature", pick("q25").alias("a"), pick("q75").alias("b"))
+    fences = quartiles(mixtures(checkpointed(sketches(base, ["lang", "source"])), parent), ["lang", "source"])
     out = []
     for name, slack in SLACK.items():
         here = F.col("feature") == name
@@ -158,22 +172,23 @@ def judged(base: DataFrame, limits: DataFrame) -> DataFrame:
     return both.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_source", *right.columns[2:])
 
 
-def assess(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), least: int = LEAST) -> DataFrame:
+def assess(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), parent: int = PARENT) -> DataFrame:
     """Counts, base_failed and kept of every row of ``df``. The counts (no texts) are checkpointed: two readers use them."""
     base = checkpointed(base_features(df, keep=keep))
-    return judged(base, thresholds(base, least))
+    return judged(base, thresholds(base, parent))
 
 
 #: Groups up to which their thresholds are sent to every task; beyond, they are joined by shuffle.
 FEW_GROUPS = 10_000
 
 
-def passing(df: DataFrame, least: int = LEAST) -> DataFrame:
+def passing(df: DataFrame, parent: int = PARENT) -> DataFrame:
     """The rows of ``df`` that the rules keep. Thresholds come from a first pass over all rows, texts stay where they are."""
-    limits = checkpointed(thresholds(checkpointed(base_features(df)), least))
+    own, names = set_aside(df)
+    limits = checkpointed(thresholds(checkpointed(base_features(own)), parent))
     if limits.count() <= FEW_GROUPS:
         limits = F.broadcast(limits)
-    return judged(base_features(df, keep=tuple(df.columns)), limits).where("kept").select(*df.columns)
+    return judged(base_features(own, keep=tuple(own.columns)), limits).where("kept").select(*own.columns).toDF(*names)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,14 +204,6 @@ def _oracle() -> str:
     shift = f"greatest(length(bin(v)) - {SUB_BITS}, 0)"
     made = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {r} AS v FROM base WHERE n_words > 0" for k, r in ratio.items())
     quart = "min(CASE WHEN upto * 4 >= total * {} THEN bucket END)"
-
-    def level(name: str, keys: str) -> str:
-        by = f"{keys}, feature" if keys else "feature"
-        return f"""{name} AS (SELECT {by}, max(total) AS n, {quart.format(1)} AS q25, {quart.format(3)} AS q75 FROM (
-          SELECT {by}, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
-          FROM (SELECT {by}, bucket, count(*) AS n FROM made GROUP BY {by}, bucket)) GROUP BY {by})"""
-
-    pick = lambda q: f"CASE WHEN a.n >= {LEAST} THEN a.{q} WHEN b.n >= {LEAST} THEN b.{q} ELSE c.{q} END"
     hi = ", ".join(f"max(CASE WHEN feature = '{k}' THEN q75 + {SPREAD} * (q75 - q25) + {s} END) AS hi_{k}" for k, s in SLACK.items())
     fine = " AND ".join(f"(hi_{k} IS NULL OR {r} <= hi_{k})" for k, r in ratio.items())
     return rf"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {words} AS words FROM documents),
@@ -212,9 +219,16 @@ def _oracle() -> str:
       FROM w LEFT JOIN covered ON w.rid = covered.rid LEFT JOIN dup ON w.rid = dup.rid),
     raw AS ({made}),
     made AS (SELECT lang, source, feature, (v >> {shift}::BIGINT) << {shift}::BIGINT AS bucket FROM raw),
-    {level("fine", "lang, source")}, {level("coarse", "lang")}, {level("whole", "")},
-    q AS (SELECT a.lang, a.source, a.feature, {pick("q25")} AS q25, {pick("q75")} AS q75 FROM fine a
-      JOIN coarse b ON a.lang IS NOT DISTINCT FROM b.lang AND a.feature = b.feature JOIN whole c ON a.feature = c.feature),
+    fine AS (SELECT lang, source, feature, bucket, count(*) AS c FROM made GROUP BY ALL),
+    coarse AS (SELECT lang, feature, bucket, sum(c) AS l FROM fine GROUP BY ALL), sizes AS (SELECT lang, feature, sum(c) AS nl FROM fine GROUP BY ALL),
+    whole AS (SELECT feature, bucket, sum(c) AS a, sum(sum(c)) OVER (PARTITION BY feature) AS na FROM fine GROUP BY feature, bucket),
+    mixed AS (SELECT g.lang, g.source, g.feature, w.bucket, coalesce(f.c, 0)::HUGEINT * na::HUGEINT * (nl::HUGEINT + {PARENT}) + {PARENT} * (coalesce(k.l, 0)::HUGEINT * na::HUGEINT + {PARENT} * w.a::HUGEINT) AS m
+      FROM (SELECT DISTINCT lang, source, feature FROM fine) g JOIN whole w ON w.feature = g.feature
+      JOIN sizes s ON s.lang IS NOT DISTINCT FROM g.lang AND s.feature = g.feature
+      LEFT JOIN coarse k ON k.lang IS NOT DISTINCT FROM g.lang AND k.feature = g.feature AND k.bucket = w.bucket
+      LEFT JOIN fine f ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source AND f.feature = g.feature AND f.bucket = w.bucket),
+    q AS (SELECT lang, source, feature, {quart.format(1)} AS q25, {quart.format(3)} AS q75 FROM (SELECT *, sum(m) OVER (PARTITION BY lang, source, feature ORDER BY bucket) AS upto,
+      sum(m) OVER (PARTITION BY lang, source, feature) AS total FROM mixed) GROUP BY ALL),
     fences AS (SELECT lang, source, {hi}, max(CASE WHEN feature = 'word_len' THEN q25 - {SPREAD} * (q75 - q25) - {SLACK["word_len"]} END) AS lo FROM q GROUP BY lang, source),
     verdict AS (SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {fine} AND (lo IS NULL OR {ratio["word_len"]} >= lo) AS inside
       FROM base LEFT JOIN fences ON base.lang IS NOT DISTINCT FROM fences.lang AND base.source IS NOT DISTINCT FROM fences.source)

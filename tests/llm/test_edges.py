@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import htmltext, langid, licenses, media, mixing, neardup, pii, quality, spm, suffix
 
-CLASH = ["dest", "doc", "fp", "score", "kept", "key", "rank", "root", "spans", "slot", "block", "n", "_text", "blob", "labels", "ids"]
+CLASH = ["dest", "doc", "fp", "score", "kept", "key", "rank", "root", "spans", "slot", "block", "n", "_text", "blob", "labels", "ids", "n_words", "_lang", "hi_symbols", "base_failed", "word_chars", "_slot", "_nth", "_id", "_first", "_source", "_hash", "_number", "_more", "_text_fp", "_gone", "_doc", "_fp", "release", "deadline", "nth"]
 
 
 def model(df):
@@ -18,6 +18,8 @@ OPERATORS = {
     "mixed": lambda df: mixing.mixed(df),
     "media": lambda df: media.media_columns(media.stored_text(df), "media", ("doc_id", "n_bytes")),
     "quality": lambda df: quality.assess(df),
+    "passing": lambda df: quality.passing(df),
+    "placed": lambda df: mixing.placed(df),
     "spm": lambda df: spm.encode(df, check=True),
     "neardup": lambda df: neardup.groups(df),
     "without_copies": lambda df: neardup.without_copies(df),
@@ -27,13 +29,14 @@ OPERATORS = {
     "licenses": lambda df: licenses.scan(df),
     "html": lambda df: htmltext.extract(df, "text", ("doc_id",)),
 }
-DROPS = {"without_copies"}
+#: Of the odd rows: those that go, and of the rows with other ids.
+DROPS = {"without_copies": (1, 0), "passing": (7, 6)}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows(odd, odd_rows, name):
     got = OPERATORS[name](odd).collect()
-    assert len(got) == len(odd_rows) - (name in DROPS)
+    assert len(got) == len(odd_rows) - DROPS.get(name, (0, 0))[0]
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -44,7 +47,12 @@ def test_empty_table(empty, name):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_clashing_columns(odd, odd_rows, name):
     wide = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumns({c: F.lit("x") for c in CLASH})
-    assert OPERATORS[name](wide).count() == 7
+    rows = OPERATORS[name](wide).collect()
+    assert len(rows) == 7 - DROPS.get(name, (0, 0))[1]
+    if name in ("passing", "mixed", "masked", "without_copies"):  # stages: the caller's columns as they were
+        assert OPERATORS[name](wide).columns == wide.columns and all(r[c] == "x" for r in rows for c in CLASH)
+    if name == "placed":
+        assert all(r.slot_given == "x" and r.slot >= 0 for r in rows)
 
 
 def test_results_of_odd_rows(odd):

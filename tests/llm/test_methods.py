@@ -57,8 +57,8 @@ def brute_schedule(parts):
 def test_schedule_stays_within_a_block():
     for seed in range(20):
         r = random.Random(seed)
-        parts = mixing.shares({f"s{i}": r.random() + 0.01 for i in range(r.randint(1, 9))}, r.randint(10, 120))
-        got, n = mixing.schedule(parts), sum(parts.values())
+        parts = {f"s{i}": r.randint(1, 30) for i in range(r.randint(1, 9))}
+        got, n = [name for name, *_ in mixing.steps(parts, parts)], sum(parts.values())
         assert got == brute_schedule(parts)
         seen = Counter()
         for t, k in enumerate(got, 1):
@@ -504,12 +504,30 @@ def test_hostile_pages_take_linear_time(piece):
     assert __import__("time").time() - began < 8
 
 
-def test_stop_words_are_learnt(spark):
+def test_a_page_stands_by_itself(spark):
+    """Whatever stands before the html tag, and whatever other pages there are."""
     text = "questo paese sorge sulle colline e ogni mattina il sole illumina le case del borgo e la piazza con il mercato " * 3
-    page = f"<html lang='it'><body><div>{text}</div></body></html>"
-    learnt = htmltext.stop_words(spark.createDataFrame([(page,)] * 60 + [(None,), ("<html lang=xx>a b c",)], "html string"))
-    assert set(learnt) == {"it"} and {"e", "il", "la"} <= learnt["it"]
-    assert htmltext.main_text(page, learnt) == text.strip()
+    junk = "Offerta lampada sedia tavolo libro penna carta matita gomma righello forbici colla nastro cartella zaino astuccio quaderno diario agenda calendario orologio sveglia lampadina pila torcia "
+    page = f"<html lang='it'><body><div>{text}</div><div>{junk}</div></body></html>"
+    want = htmltext.main_text(page)
+    assert want == text.strip() and htmltext.main_text(f"<!-- {'x' * 5000} -->{page}") == want
+    for n in (1, 40, 300):
+        got = htmltext.extract(spark.createDataFrame([(i, page) for i in range(n)] + [(-1, "<p>Other words of the day and the night</p>" * 50)], "id long, html string"), keep=("id",)).collect()
+        assert {r.text for r in got if r.id >= 0} == {want}
+
+
+def test_groups_change_smoothly_with_their_size(spark):
+    """A sketch takes in its language's by a fixed weight: no size at which the verdict on like documents turns."""
+    def rows(n):
+        own = [("w" * (3 + i % 3) + " ") * 30 + " ".join(f"v{i}x{k}" for k in range(40)) for i in range(n)]
+        other = [" ".join(f"longerword{i}x{k}" for k in range(60)) for i in range(400)]
+        return [(i, t, "en", "small", 1) for i, t in enumerate(own)] + [(10_000 + i, t, "en", "large", 1) for i, t in enumerate(other)]
+
+    fences = []
+    for n in (98, 99, 100, 101):
+        base = quality.base_features(spark.createDataFrame(rows(n), DOCS))
+        fences.append(next(r for r in quality.thresholds(base).collect() if r.source == "small"))
+    assert fences[0][2:] == fences[1][2:] == fences[2][2:] == fences[3][2:]
 
 
 def test_pages_give_their_articles(spark):
