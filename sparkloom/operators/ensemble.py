@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import hash_bucket
+from sparkloom.operators.ordering import mean_ranks
 
 
 def summaries(p: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,20 +87,15 @@ def bucket_accuracy(rows: DataFrame) -> DataFrame:
     return rows.select(b, (F.col("label") == F.col("pred")).cast("double").alias("ok")).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("ok").alias("accuracy"))
 
 
-def mean_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Mean ranks of ties over the whole table. Distinct values are counted first, so the window sees values, not rows."""
-    v = df.groupBy(col).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(v.select(col, (before + (F.col("_c") + 1) / 2.0).alias(out)), col)
-
-
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    return mean_ranks(mean_ranks(df, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("spearman"))
+    """Correlation of mean ranks, of rows that have both values."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return mean_ranks(mean_ranks(both, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("spearman"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by the rank sum of positives."""
-    r = mean_ranks(df, score, "_r")
+    r = mean_ranks(df.where(F.col(score).isNotNull()), score, "_r")
     s = r.agg(F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("s"), F.sum((F.col(label) == 1).cast("double")).alias("p"), F.sum((F.col(label) == 0).cast("double")).alias("n"))
     return s.select(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("n")).alias("auc"))
 

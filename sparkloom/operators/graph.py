@@ -170,6 +170,36 @@ def directional_posterior(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     return out
 
 
+def weighted_onehop(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, classes: DataFrame, strength: float = 2.0) -> DataFrame:
+    """(node, class, p): posteriors of out- and in-neighbours (Laplace prior of the seeds), mixed by weight.
+
+    A direction weighs quality * sqrt(mass) * (0.25 + margin): how far its classes beat the most frequent one on the seeds
+    that it covers (0.01 at least), the labelled neighbours it has, and how far its first class leads. Nodes that neither
+    direction covers keep the prior; self-loops count for nothing."""
+    prior = classes.join(seeds.groupBy(F.col("label").alias("class")).agg(F.count("*").alias("n")), "class", "left").na.fill(0)
+    every = Window.partitionBy()  # one row a class
+    prior = checkpointed(prior.select("class", ((F.col("n") + 1) / (F.sum("n").over(every) + F.count("*").over(every))).alias("prior")))
+    base = prior.agg(F.max("prior")).first()[0]
+    if base is None:
+        return nodes.select("node", F.lit(None).cast("long").alias("class"), F.lit(None).cast("double").alias("p")).limit(0)
+    grid = nodes.select("node").join(F.broadcast(prior))  # a row for each node and class
+    own, both = edges.select("src", "dst").where("src <> dst").distinct(), None
+    for a, b in (("src", "dst"), ("dst", "src")):
+        got = own.select(F.col(a).alias("node"), F.col(b).alias("other")).join(seeds.select(F.col("node").alias("other"), F.col("label").alias("class")), "other")
+        rows = grid.join(got.groupBy("node", "class").agg(F.count("*").alias("c")), ["node", "class"], "left").na.fill(0, ["c"])
+        rows = rows.withColumn("m", F.sum("c").over(Window.partitionBy("node")))
+        rows = checkpointed(rows.withColumn("p", (F.col("c") + strength * F.col("prior")) / (F.col("m") + strength)))
+        first = F.reverse(F.array_sort(F.collect_list(F.struct(F.round("p", 9).alias("r"), (-F.col("class")).alias("neg"), "p"))))
+        best = rows.groupBy("node").agg(F.max("m").alias("m"), first.alias("_t")).select("node", "m", (-F.col("_t")[0]["neg"]).alias("pred"), (F.col("_t")[0]["p"] - F.coalesce(F.get("_t", F.lit(1))["p"], F.lit(0.0))).alias("margin"))
+        right = best.where("m > 0").join(seeds, "node").agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
+        quality = max((right if right is not None else base) - base, 0.01)
+        one = rows.join(best.select("node", (quality * F.sqrt("m") * (0.25 + F.col("margin"))).alias("w")), "node").select("node", "class", "prior", "p", "w")
+        both = one if both is None else both.unionByName(one)
+    mix = both.groupBy("node", "class").agg(F.sum(F.col("w") * F.col("p")).alias("s"), F.sum("w").alias("w"), F.max("prior").alias("prior"))
+    v = F.least(F.greatest(F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(F.col("prior")), F.lit(1e-9)), F.lit(1.0))
+    return mix.select("node", "class", v.alias("v")).withColumn("p", F.col("v") / F.sum("v").over(Window.partitionBy("node"))).drop("v")
+
+
 def label_blocks(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, classes: DataFrame, hops: int = 2, strength: float = 1.0) -> DataFrame:
     """(node, view, hop, class, p, mass) for the out, in and symmetric views without self-loops.
 
@@ -265,12 +295,12 @@ def most_similar(asked: DataFrame, known: DataFrame, k: int, itself: bool = True
     return found.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
 
 
-def knn_votes(vectors: DataFrame, seeds: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+def knn_votes(vectors: DataFrame, seeds: DataFrame, ks: tuple[int, ...] = (5, 10), nearest=most_similar) -> DataFrame:
     """(node, k, class, vote): positive cosine similarities of the k most similar seeds, summed by class and rescaled.
 
-    Nodes that are seeds count themselves.
+    Nodes that are seeds count themselves. ``nearest`` finds the seeds: ``neighbours.nearest`` for large tables.
     """
-    top = most_similar(vectors, vectors.join(seeds.select("node"), "node", "left_semi"), max(ks))
+    top = nearest(vectors, vectors.join(seeds.select("node"), "node", "left_semi"), max(ks))
     rows = top.join(seeds.select(F.col("node").alias("other"), "label"), "other")
     rows = rows.select("node", "label", "sim", "place", F.explode(F.array(*(F.lit(k).cast("long") for k in ks))).alias("k")).where("place <= k and sim > 0")
     votes = rows.groupBy("node", "k", F.col("label").alias("class")).agg(F.sum("sim").alias("s"))

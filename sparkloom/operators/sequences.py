@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import hash_bucket, length_bucket
+from sparkloom.operators.ordering import numbered
 
 
 def histories(steps: DataFrame, user: str, item: str, order: list[str]) -> DataFrame:
@@ -47,6 +48,20 @@ def unordered_pairs(h: DataFrame, extra: str | None = None) -> DataFrame:
     return h.select("uid", items.alias("i")).select("uid", F.posexplode("i").alias("k", "a"), "i").select("uid", "a", F.explode(F.slice("i", F.col("k") + 2, F.size("i"))).alias("b"))
 
 
+def chunked_pairs(h: DataFrame, part: int = 1024) -> DataFrame:
+    """``unordered_pairs`` where a history may have any length: those of more than ``part`` new items are cut into chunks,
+    and each chunk meets each later one (and itself) in a row of its own, dealt by user and chunks. So no row holds more than
+    two chunks and no task expands a user alone; shorter histories are expanded where they are."""
+    own = h.select("uid", F.array_sort(F.array_distinct("dedup")).alias("i"))
+    short = own.where(F.size("i") <= part).select("uid", F.posexplode("i").alias("k", "a"), "i").select("uid", "a", F.explode(F.slice("i", F.col("k") + 2, F.size("i"))).alias("b"))
+    long = own.where(F.size("i") > part).withColumn("n", F.ceil(F.size("i") / part).cast("int"))
+    cut = long.select("uid", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.slice("i", k * part + 1, part))).alias("k", "chunk")).repartition("uid", "k")
+    left = cut.select("uid", F.col("k").alias("x"), F.explode(F.sequence("k", F.col("n") - 1)).alias("y"), "chunk")
+    right = cut.select("uid", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("x"), F.col("k").alias("y"), F.col("chunk").alias("other"))
+    met = left.join(right, ["uid", "x", "y"]).select("uid", "x", "y", F.posexplode("chunk").alias("k", "a"), "other")
+    return short.unionByName(met.select("uid", "a", F.explode(F.when(F.col("x") == F.col("y"), F.slice("other", F.col("k") + 2, part)).otherwise(F.col("other"))).alias("b")))
+
+
 def skipgrams(h: DataFrame, window: int = 4, tail: int = 80) -> DataFrame:
     """(uid, a, b): ordered pairs at most ``window`` apart in the last ``tail`` items."""
     cut = h.select("uid", F.slice("raw", F.greatest(F.size("raw") - tail, F.lit(0)) + 1, tail).alias("t"))
@@ -83,5 +98,5 @@ def with_bucket(h: DataFrame) -> DataFrame:
 
 
 def vocabulary(items: DataFrame, column: str) -> DataFrame:
-    """(item, idx): the sorted distinct items numbered from 1. A vocabulary is small enough for one ordered window."""
-    return items.select(F.col(column).alias("item")).distinct().withColumn("idx", F.row_number().over(Window.orderBy("item")).cast("long"))
+    """(item, idx): the sorted distinct items numbered from 1."""
+    return numbered(items.select(F.col(column).alias("item")).distinct(), ["item"], "idx", 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import hash_bucket
+from sparkloom.operators.ordering import numbered
 
 
 def group_folds(df: DataFrame, key: str, k: int = 5) -> DataFrame:
@@ -28,14 +29,14 @@ def fold_count(df: DataFrame, label: str, most: int = 5) -> DataFrame:
 
 
 def top_share(df: DataFrame, score: str, tie: str, share: float = 0.2) -> DataFrame:
-    """Marks the round(share * n) rows with the highest score. For tables of queries or nodes, not of rows of them."""
-    order = Window.orderBy(F.desc(score), F.desc(tie))
-    return df.withColumn("selected", F.row_number().over(order) <= F.round(share * F.count("*").over(Window.partitionBy())))
+    """Marks the round(share * n) rows with the highest score, ties to the highest ``tie``."""
+    placed = numbered(df, [F.desc(score), F.desc(tie)], "_place", 1)
+    return placed.withColumn("selected", F.col("_place") <= F.round(F.lit(share) * df.count())).drop("_place")
 
 
 def negatives(h: DataFrame, items: DataFrame, n: int = 3, salt: str = "neg") -> DataFrame:
     """(uid, iid): ``n`` items a user never saw, drawn by hash: draws of twice the number, less what was seen."""
-    vocab = items.select(F.col("iid").alias("item")).distinct().withColumn("idx", F.row_number().over(Window.orderBy("item")).cast("long") - 1)  # one row an item
+    vocab = numbered(items.select(F.col("iid").alias("item")).distinct(), ["item"], "idx")
     size = vocab.agg(F.count("*").alias("size"))
     draws = h.select("uid", F.array_append("dedup", F.col("target")).alias("seen"), F.posexplode(F.sequence(F.lit(1), F.size("dedup") + 2 * n)).alias("j", "_x")).join(F.broadcast(size))
     draws = draws.withColumn("idx", hash_bucket(F.concat_ws(":", "uid", F.lit(salt), "j"), F.col("size"))).join(vocab, "idx").where(~F.array_contains("seen", F.col("item")))
@@ -44,8 +45,9 @@ def negatives(h: DataFrame, items: DataFrame, n: int = 3, salt: str = "neg") ->
 
 
 def tail_split(df: DataFrame, order: str, share: float = 0.2) -> DataFrame:
-    """Marks the last ``share`` of a small table's rows in the order of ``order``."""
-    return df.withColumn("is_tail", F.row_number().over(Window.orderBy(order)) > F.count("*").over(Window.partitionBy()) - F.floor(share * F.count("*").over(Window.partitionBy())))
+    """Marks the last ``share`` of the rows in the order of ``order``."""
+    n = df.count()
+    return numbered(df, [order], "_place", 1).withColumn("is_tail", F.col("_place") > F.lit(n) - F.floor(F.lit(share) * n)).drop("_place")
 
 
 def label_mask(seeds: DataFrame, key: str, per_mille: int = 500, salt: str = "mask") -> DataFrame:

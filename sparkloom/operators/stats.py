@@ -86,8 +86,9 @@ def occurrences(h: DataFrame) -> DataFrame:
     return h.select(F.explode(F.array_distinct("dedup")).alias("item")).groupBy("item").agg(F.count("*").alias("occ"))
 
 
-def cooccurrences(h: DataFrame) -> DataFrame:
-    return S.unordered_pairs(h).groupBy("a", "b").agg(F.count("*").alias("cooc"))
+def cooccurrences(h: DataFrame, part: int | None = None) -> DataFrame:
+    """(a, b, cooc); with ``part`` histories of more new items than that are expanded chunk against chunk."""
+    return (S.unordered_pairs(h) if part is None else S.chunked_pairs(h, part)).groupBy("a", "b").agg(F.count("*").alias("cooc"))
 
 
 def pair_stats(h: DataFrame) -> DataFrame:

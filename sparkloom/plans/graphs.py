@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import graph as G
+from sparkloom.operators import neighbours as N
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import parquet
 
@@ -33,7 +34,7 @@ def vectors(spark, d):
 def edges(spark, d):
     """Each vector to its two most similar others, but for every third vector: the fixture of a directed graph."""
     v = vectors(spark, d)
-    return G.most_similar(v.where("node % 3 <> 0"), v, 2, itself=False).select(F.col("node").alias("src"), F.col("other").alias("dst"))
+    return N.nearest(v.where("node % 3 <> 0"), v, 2, itself=False).select(F.col("node").alias("src"), F.col("other").alias("dst"))
 
 
 def seeds(spark, d):
@@ -214,7 +215,7 @@ def label_blocks_crossfit(spark, d):
 
 @query("""SELECT node, k::BIGINT AS k, class, round(s / sum(s) OVER (PARTITION BY node, k), 6) AS vote FROM (SELECT a AS node, k, label AS class, sum(s) AS s FROM (SELECT x.node AS a, y.label, list_cosine_similarity(x.v, vec.v) AS s, row_number() OVER (PARTITION BY x.node ORDER BY round(list_cosine_similarity(x.v, vec.v), 9) DESC, y.node) AS r FROM vec x, seeds y JOIN vec ON vec.node = y.node), (VALUES (5), (10)) v(k) WHERE r <= k AND s > 0 GROUP BY 1, 2, 3)""", GRAPH_SQL)
 def knn_vote(spark, d):
-    return G.knn_votes(vectors(spark, d), seeds(spark, d)).withColumn("vote", F.round("vote", 6))
+    return G.knn_votes(vectors(spark, d), seeds(spark, d), nearest=N.nearest).withColumn("vote", F.round("vote", 6))
 
 
 @query("SELECT count(*) AS n_nodes, round(avg(coalesce(d, 0)), 6) AS mean_deg, max(coalesce(d, 0)) AS max_deg, round(avg((d IS NULL)::INT), 6) AS isolated, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE src = dst) AS n_loops, (SELECT round(avg((EXISTS (SELECT 1 FROM edges b WHERE b.src = a.dst AND b.dst = a.src))::INT), 6) FROM edges a) AS reciprocal, round((SELECT count(*) FROM edges) / (count(*) * count(*)), 9) AS density FROM nodes LEFT JOIN deg USING (node)", GRAPH_SQL)

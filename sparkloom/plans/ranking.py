@@ -15,6 +15,7 @@ from sparkloom.operators import lists as L
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import sequences as S
 from sparkloom.operators import stats as C
+from sparkloom.operators.ordering import numbered, running_sum
 from sparkloom.plans import fixtures as T
 from sparkloom.plans.fixtures import HIST_SQL, PAIR_SQL, STATS_SQL
 from sparkloom.plans.registry import query
@@ -390,8 +391,9 @@ def diversity_rerank(spark, d):
 def long_tail_coverage(spark, d):
     """Items that make up 50, 80 and 90 percent of all interactions."""
     c = T.h(spark, d).select(F.explode("raw").alias("item")).groupBy("item").agg(F.count("*").alias("c"))
-    order = Window.orderBy(F.desc("c"), "item")  # one row an item
-    s = c.select(F.row_number().over(order).cast("long").alias("r"), (F.sum("c").over(order) / F.sum("c").over(Window.partitionBy())).alias("got"))
+    total = F.broadcast(c.agg(F.sum("c").alias("total")))  # one row
+    s = running_sum(c, [F.desc("c"), "item"], "c", "upto").select("item", "c", "upto")
+    s = numbered(s, [F.desc("c"), "item"], "r", 1).join(total).select("r", (F.col("upto") / F.col("total")).alias("got"))
     return s.select("r", "got", F.explode(F.array(F.lit(0.5), F.lit(0.8), F.lit(0.9))).alias("share")).where("got >= share").groupBy("share").agg(F.min("r").alias("n_items"))
 
 

@@ -81,10 +81,10 @@ def group_rollup_counts(spark, d):
 
 @query("SELECT target AS iid, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, target) AS rank FROM tgt GROUP BY target", HIST_SQL)
 def target_counts(spark, d):
-    from pyspark.sql import Window
+    from sparkloom.operators.ordering import numbered
 
     c = T.h(spark, d).groupBy(F.col("target").alias("iid")).agg(F.count("*").alias("cnt"))
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "iid")).cast("long"))  # one row an item
+    return numbered(c, [F.desc("cnt"), "iid"], "rank", 1)
 
 
 @query("SELECT item AS iid, count(*) AS cnt, count(DISTINCT uid) AS n_users FROM hist GROUP BY item", HIST_SQL)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.operators.ordering import numbered
+
 #: Logical schemas of delimited inputs.
 INTERACTIONS = T.StructType([T.StructField(n, T.StringType()) for n in ("uid", "target_iid", "item_seq_raw", "item_seq_dedup", "item_seq_counts")])
 LABEL_TEMPLATE = T.StructType([T.StructField("test_idx", T.LongType()), T.StructField("label", T.IntegerType())])
@@ -97,5 +99,5 @@ def wide_lists(lists: DataFrame, k: int = 10) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """Dense 0-based row numbers for small tables such as templates and dimensions."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    """Dense 0-based row numbers in the order of ``order``, without a one-task sort."""
+    return numbered(df, order, name)
