@@ -142,6 +142,16 @@ def weight_search(p: DataFrame, truth: DataFrame, models: list[str], draws: int
     return score.join(grid.groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("model", "w"))).alias("weights")), "draw")
 
 
+def temperature_grid(p: DataFrame, truth: DataFrame, temperatures: tuple[float, ...] = (0.6, 0.8, 1.0, 1.25, 1.6)) -> DataFrame:
+    """(temperature, accuracy, log_loss) of probabilities raised to 1 / temperature and rescaled, all by one pass."""
+    t = F.explode(F.array(*map(F.lit, temperatures))).alias("temperature")
+    rows = p.join(truth.select("node", "label"), "node").select("node", "label", "class", F.greatest("p", F.lit(1e-12)).alias("p"), t)
+    rows = rows.withColumn("s", F.pow("p", 1 / F.col("temperature")))
+    by = rows.groupBy("temperature", "node", "label").agg(F.sum("s").alias("all"), F.max(F.when(F.col("class") == F.col("label"), F.col("s"))).alias("own"), F.max_by("class", F.struct(F.round("p", 9), -F.col("class"))).alias("pred"))
+    loss = -F.ln(F.greatest(F.coalesce(F.col("own") / F.col("all"), F.lit(0.0)), F.lit(1e-12)))
+    return by.groupBy("temperature").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"), F.avg(loss).alias("log_loss"))
+
+
 def scattered(nodes: DataFrame, classes: DataFrame, p: DataFrame) -> DataFrame:
     """(node, class, p): every class of every node, 0 where ``p`` has none; rows are rescaled if their sum is not 0."""
     grid = nodes.select("node").join(F.broadcast(classes))  # a row for each node and class

@@ -20,6 +20,11 @@ def histories(steps: DataFrame, user: str, item: str, order: list[str]) -> DataF
     return lists.select("uid", raw.alias("raw"), F.array_distinct(raw).alias("dedup"), F.element_at("all", -1).alias("target"))
 
 
+def with_dedup(df: DataFrame, raw: str = "raw", given: str = "given") -> DataFrame:
+    """``dedup``: the given column's items, or those of ``raw`` once each where it has none."""
+    return df.withColumn("dedup", F.when(F.size(F.coalesce(given, F.array().cast("array<string>"))) > 0, F.col(given)).otherwise(F.array_distinct(raw)))
+
+
 def suffix(items, k: int):
     """The last ``k`` items joined by |, null if there are fewer."""
     return F.when(F.size(items) >= k, F.concat_ws("|", F.slice(items, -k, k)))

@@ -23,7 +23,7 @@ from sparkloom.sources import stores
 from .conftest import SF
 from .test_oracles import normal
 
-WITH_SQL = ["pair_features_all", "chunked_cooccurrence", "domain_scalars", "svd_all_squares", "ridge_coefficients", "logistic_coefficients", "cold_clusters", "cluster_top10", "cold_recommend", "knn_indexed", "uniform_negatives", "popularity_negatives", "capped_prefixes", "masked_products", "directional_weighted", "score_union"]
+WITH_SQL = ["pair_features_all", "chunked_cooccurrence", "domain_scalars", "svd_all_squares", "ridge_coefficients", "logistic_coefficients", "cold_clusters", "cluster_top10", "cold_recommend", "knn_indexed", "uniform_negatives", "popularity_negatives", "capped_prefixes", "masked_products", "directional_weighted", "score_union", "item_texts", "count_texts", "dedup_fallback", "metadata_fallback", "frozen_scores", "lists_read_back", "reindexed_scores", "mask_schedule", "query_offsets", "training_order", "temperature_grid", "cold_cosine_filled"]
 
 
 @pytest.fixture(scope="module")
@@ -299,6 +299,45 @@ def test_greedy_boosts_against_a_plain_search(spark):
     assert got == dict(enumerate(state)) and [h.hits for h in history.orderBy("round").collect()] == steps and len(steps) > 1
 
 
+def test_readers(spark, tmp_path):
+    from sparkloom.functions.registry import Registry, inspect
+    from sparkloom.sources import tables as B
+
+    (tmp_path / "a" / "inner").mkdir(parents=True)
+    (tmp_path / "b").mkdir()
+    for name in ("train.csv", "user.csv"):
+        (tmp_path / "a" / "inner" / name).write_text("uid,target_iid,item_seq_raw,item_seq_dedup,item_seq_counts\nu1,i1,\"i1,i2\",,\"i1:1\"\n")
+    (tmp_path / "b" / "train.csv").write_text("x\n")
+    root = B.found_root(spark, [str(tmp_path / "b"), str(tmp_path / "a"), str(tmp_path / "none")], ["train.csv", "user.csv"])
+    assert root.endswith("a/inner")
+    with pytest.raises(ValueError, match="2 folders"):
+        B.found_root(spark, [str(tmp_path / "b"), str(tmp_path / "a")], ["train.csv"])
+    with pytest.raises(ValueError, match="0 folders"):
+        B.found_root(spark, [str(tmp_path)], ["other.csv"])
+    rows = B.delimited(spark, f"{root}/train.csv", B.INTERACTIONS).collect()
+    assert [(r.uid, r.item_seq_raw, r.item_seq_dedup) for r in rows] == [("u1", "i1,i2", None)]
+    np.savez(tmp_path / "g.npz", labels=np.array([2, 0, 1]), train_idx=np.array([0, 2]))
+    assert sorted(map(tuple, B.matrix_vector(spark, str(tmp_path / "g.npz"), "labels").collect())) == [(0, 2), (1, 0), (2, 1)]
+    assert [r.value for r in B.matrix_vector(spark, str(tmp_path / "g.npz"), "train_idx").orderBy("idx").collect()] == [0, 2]
+    (tmp_path / "meta.json").write_text('{\n "dataset_name": "x",\n "num_users": 7\n}')
+    seen = spark.createDataFrame([("a", "p"), ("b", "p"), ("b", "q"), ("c", None)], "uid string, iid string")
+    assert tuple(B.counted_metadata(B.metadata(spark, str(tmp_path / "meta.json")), seen, "uid", "iid").first()) == (7, 2)
+    assert tuple(B.counted_metadata(spark.createDataFrame([], "num_items int"), seen, "uid", "iid").first()) == (3, 2)
+    template = spark.createDataFrame([(0, 5, -1), (1, 4, -1)], "row_id long, test_idx long, label int")
+    good = spark.createDataFrame([(4, 1), (5, 0)], "test_idx long, label int")
+    assert [(r.test_idx, r.label) for r in B.label_sheet(template, good, whole=True).collect()] == [(5, 0), (4, 1)]
+    with pytest.raises(ValueError, match="2 keys, 1 predictions"):
+        B.label_sheet(template, good.limit(1), whole=True)
+    nodes = spark.createDataFrame([(1,), (2,)], "node long")
+    with pytest.raises(ValueError, match="incomplete"):
+        B.frozen_dimension(nodes, spark.createDataFrame([(1, 0.5)], "node long, p double"), "node", "p")
+    tools = Registry()
+    tools.register("inspect", inspect)
+    assert tools.names() == ["inspect"] and tools.call("inspect", df=nodes)["rows"] == 2 and "error" in tools.call("inspect") and "error" in tools.call("other")
+    with pytest.raises(ValueError, match="already"):
+        tools.register("inspect", inspect)
+
+
 def test_stores(spark, tmp_path):
     store, calls = stores.Store(spark, str(tmp_path)), []
     df = spark.range(20).withColumn("fold", F.col("id") % 3)
