@@ -30,11 +30,13 @@ def length_buckets(spark, d):
     return S.with_bucket(T.h(spark, d)).groupBy("bucket").agg(F.count("*").alias("n_users"), F.sum(F.size("raw")).alias("n_items"))
 
 
-@query("SELECT * FROM (VALUES ('12.0', '12', '12'), (' a ', 'a', 'a'), ('nan', '', '__NA__'), ('', '', '__NA__'), ('NaN', '', '__NA__'), ('7', '7', '7')) t(raw, id, scalar)")
+@query("SELECT s_suppkey, CASE k WHEN 0 THEN n || '.0' WHEN 1 THEN '  ' || s_name || ' ' WHEN 2 THEN 'nan' WHEN 3 THEN '' WHEN 4 THEN ' NaN' ELSE n END AS raw, CASE k WHEN 1 THEN trim(s_name) WHEN 0 THEN n WHEN 5 THEN n ELSE '' END AS id, CASE k WHEN 0 THEN n || '.0' WHEN 1 THEN trim(s_name) WHEN 5 THEN n ELSE '__NA__' END AS scalar FROM (SELECT *, s_suppkey % 6 AS k, s_nationkey::VARCHAR AS n FROM supplier)")
 def clean_values(spark, d):
-    rows = spark.createDataFrame([("12.0",), (" a ",), ("nan",), ("",), ("NaN",), ("7",)], "raw string")
-    c = F.col("raw")
-    return rows.select("raw", X.clean_id(c, numeric=True).alias("id"), F.regexp_replace(X.clean_scalar(c), r"\.0+$", "").alias("scalar"))
+    """Suppliers' nations and names as a careless file has them: whole numbers with a fraction, blanks, nan, nothing."""
+    s, n = T.parquet(spark, d, "supplier"), F.col("s_nationkey").cast("string")
+    raw = F.when(F.col("k") == 0, F.concat(n, F.lit(".0"))).when(F.col("k") == 1, F.concat(F.lit("  "), "s_name", F.lit(" "))).when(F.col("k") == 2, "nan").when(F.col("k") == 3, "").when(F.col("k") == 4, " NaN").otherwise(n)
+    rows, c = s.withColumn("k", F.col("s_suppkey") % 6).withColumn("raw", raw), F.col("raw")
+    return rows.select("s_suppkey", "raw", X.clean_id(c, numeric=True).alias("id"), X.clean_scalar(c).alias("scalar"))
 
 
 @query("SELECT uid, repeat('0,', 64 - len(x)) || list_aggregate(list_transform(x, lambda v: CAST(v AS VARCHAR)), 'string_agg', ',') AS padded FROM (SELECT uid, list(idx ORDER BY pos) AS x FROM (SELECT uid, pos, n, dense_rank() OVER (ORDER BY item) AS idx FROM hist) WHERE pos >= n - 64 GROUP BY uid)", HIST_SQL)
