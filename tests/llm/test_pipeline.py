@@ -1,9 +1,12 @@
 """The corpus pipeline: its stages take effect, keep the columns of documents, and agree with brute force."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 
 from ..conftest import SF
 from .conftest import DOCS, prose
+from .test_edges import CLASH
 from .test_methods import brute_groups, brute_spans
 
 
@@ -44,3 +47,14 @@ def test_empty(spark, tmp_path):
 def test_run(spark):
     rows = P.run(spark, SF).select("doc_id", "ids", "n_pieces").collect()
     assert 500 < len(rows) < 1000 and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_stages_take_odd_rows_and_any_columns(spark, odd):
+    """Nulls, repeated rows and ids, long texts, and columns that bear the operators' own names, in each stage."""
+    wide = odd.withColumns({c: F.lit("x") for c in CLASH})
+    for name, stage in P.STAGES:
+        got = stage(spark, wide, SF)
+        rows = got.collect()
+        assert len(rows) == {"quality_rules": 2, "near_duplicates": 8}.get(name, 9)
+        if name != P.STAGES[-1][0]:
+            assert got.columns == wide.columns and all(r[c] == "x" for r in rows for c in CLASH)
