@@ -139,7 +139,7 @@ def mixtures(fine: DataFrame, parent: int = PARENT) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, feature, q25, q75) of counts ``m``. A group has as many buckets as values have leading bits: some hundreds."""
+    """(keys, feature, a, b): lower and upper quartile of counts ``m``. A group has as many buckets as values have leading bits: some hundreds."""
     group = Window.partitionBy(*keys, "feature")
     at = sketch.withColumn("_to", F.sum("m").over(group.orderBy("bucket"))).withColumn("_all", F.sum("m").over(group))
     q = lambda part: F.min(F.when(F.col("_to") * 4 >= F.col("_all") * part, F.col("bucket")))

@@ -151,9 +151,9 @@ def test_repeated_words():
 def test_sketch_quartiles(spark):
     values = [int(random.Random(i).expovariate(0.01)) for i in range(999)]
     rows = spark.createDataFrame([("x", v) for v in values], "feature string, v long")
-    sk = rows.select("feature", quality.bucket(rows["v"]).alias("bucket")).groupBy("feature", "bucket").count().withColumnRenamed("count", "n")
+    sk = rows.select("feature", quality.bucket(rows["v"]).alias("bucket")).groupBy("feature", "bucket").count().withColumnRenamed("count", "m")
     q = quality.quartiles(sk, []).first()
-    for got, share in ((q.q25, 0.25), (q.q75, 0.75)):
+    for got, share in ((q.a, 0.25), (q.b, 0.75)):
         want = sorted(values)[math.ceil(len(values) * share) - 1]
         assert got <= want <= got * (1 + 2 ** (1 - quality.SUB_BITS)) + 1
 
