@@ -84,8 +84,6 @@ def test_domain_features_against_dense(spark):
     gaps = (s[:31] - s[1:32]) / s[0]
     assert np.abs(have - want)[:, :8].max() < 0.02 or gaps[:8].min() < 1e-3  # single vectors are as stable as their gaps
     assert np.abs(have @ have.T - want @ want.T).max() < 0.12
-    values = [r.sigma for r in catalog.QUERIES["singular_values"](spark, SF).orderBy("place").collect()]
-    assert np.allclose(values[:20], s[:20], rtol=2e-3)
 
 
 def ridge_plain(x, y, classes, alpha, balanced=True):
