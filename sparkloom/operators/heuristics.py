@@ -72,9 +72,11 @@ def similar_users(u: DataFrame, cats: list[str], k: int = 20) -> DataFrame:
 
     Pairs come from the profile classes of users, not from users: the classes are compared, each with its size.
     """
-    profiles = u.groupBy(*cats).agg(F.collect_set("uid").alias("uids"))
-    a = profiles.select(*(F.col(c).alias(f"a_{c}") for c in cats), F.explode("uids").alias("uid"))
-    b = profiles.select(*(F.col(c).alias(f"b_{c}") for c in cats), F.slice(F.sort_array("uids"), 1, k + 1).alias("others"))
+    own = u.select(*cats, "uid").distinct()
+    a = own.select(*(F.col(c).alias(f"a_{c}") for c in cats), "uid")
+    # Of a profile the k + 1 least ids are enough, one of whom may be the user; Spark cuts the others before the shuffle.
+    first = own.withColumn("_r", F.row_number().over(Window.partitionBy(*cats).orderBy("uid"))).where(F.col("_r") <= k + 1)
+    b = first.groupBy(*cats).agg(F.sort_array(F.collect_list("uid")).alias("others")).select(*(F.col(c).alias(f"b_{c}") for c in cats), "others")
     keyed = lambda df, p: df.withColumn("_key", F.explode(F.array(*(F.concat(F.lit(f"{c}="), F.coalesce(f"{p}_{c}", F.lit(""))) for c in cats))))
     shared = keyed(a.select("uid", *(f"a_{c}" for c in cats)), "a").select("uid", "_key").join(keyed(b, "b").select("_key", "others"), "_key").groupBy("uid", "others").agg(F.count("*").alias("n"))
     pairs = shared.select("uid", (F.col("n") / len(cats)).alias("sim"), F.explode("others").alias("other")).where("uid <> other")
