@@ -2,19 +2,24 @@
 
 1. Each text becomes its set of distinct word 3-shingles and a signature of HASHES minima. Texts with equal sets form a
    class, which goes on as its first document.
-2. Each tree has LEAST_DEPTH minima of its own. Classes that share them are a region; estimated similarities link its
-   classes to candidate chains.
-3. The candidate chains of all trees are joined to blocks; full sets confirm or refuse the links of each block.
-
-Steps 2 and 3 link a group's members in the same way (``linked``), so that no task holds more than two slices of a group:
+2. Each tree has an order of the minima. Classes that share its first LEAST_DEPTH are a region; estimated similarities
+   link its classes to candidate chains. A class meets MEET others of its region on average. If that doesn't settle the
+   region, it is dense: what is left is sorted by the tree's order, and neighbours whose common prefix is longer than
+   that of the whole region stay together. So depth follows the region, one class in some trees deeper than another.
+3. A class that went deeper in a tree has a smaller chance to meet its copies there. Chances are summed up; classes whose
+   trees together leave more than MISS go to further trees, until none is left. Those that MOST_TREES don't settle are
+   compared in full with each other in their regions.
+4. The candidate chains of all trees are joined to blocks; full sets confirm or refuse the links of each block.
+
+Steps 2 and 4 link a group's members in the same way (``linked``), so that no task holds more than two slices of a group:
 first within slices; then one member of each large group, its leader, meets every slice; then the members that are not
 in their group's largest component so far meet every slice. Each pair of members is compared once at least, or is in one
-component already. A group of copies of one text thus takes work in proportion to its members; the members that stay
-apart from it meet all others.
+component already. A group of copies of one text thus takes work in proportion to its members. Members of a block that
+stay apart from it meet all others; a region of more than a slice goes deeper instead, MOST_LEVELS times at most.
 
-There are as many trees as a class pair at the threshold needs to miss all of them with 1e-5 at most, however dense its
-regions are (0.85: 13 trees, 0.8: 17; below 0.67 the rate rises, as the minima don't suffice); the estimate keeps it but
-for 1e-7. No size changes which pairs are compared.
+A class pair at the threshold misses all trees with MISS at most (0.85: 13 trees, 0.8: 17, more where regions are dense;
+below 0.67 the rate rises, as the minima don't suffice); the estimate keeps it but for 1e-7. ``exact`` takes all classes
+as one region, compared in full: what the forest finds can be held against it.
 
 Odd input: a text without words (or null) has an empty set and is linked with nothing; fewer than three words count as
 one shingle; a very long text is a slice of its own, whose set is held in one task; rows with null or repeated ids count
@@ -29,7 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import begins, chunks, has_odd_ids, numbered, ordered, set_aside, written
@@ -39,6 +44,9 @@ HASHES, LEAST_DEPTH = 96, 3
 MISS = 1e-5
 #: Signatures of a dense region that are compared at once, so that the comparison stays in a core's cache.
 DENSE = 4096
+#: Others that a class of a region meets on average before the region goes deeper, trees, trees that are added at once,
+#: and times that a region of more than a slice goes deeper.
+MEET, MOST_TREES, MORE_TREES, MOST_LEVELS = 256, 64, 12, 8
 #: Classes of a region that are a slice; classes, and their shingles, of a block that are a slice.
 REGION_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 20_000, 4_096, 500_000
 #: Leaders of a large group.
@@ -55,6 +63,16 @@ _PINV = pow(_P, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def _order(tree: int) -> np.ndarray:
+    """The order of the minima in a tree; while they suffice, no two trees begin with the same ones."""
+    mixed = np.random.Generator(np.random.PCG64(tree)).permutation(HASHES)
+    first = np.arange(tree * LEAST_DEPTH, (tree + 1) * LEAST_DEPTH)
+    return np.concatenate([first, mixed[~np.isin(mixed, first)]]) if first[-1] < HASHES else mixed
+
+
+ORDERS = np.array([_order(t) for t in range(MOST_TREES)])
+
+
 def _power(base: int, n: int) -> np.ndarray:
     if base not in _powers or len(_powers[base]) < n:
         x = np.full(max(n, 1 << 16), base, np.uint64)
@@ -158,25 +176,66 @@ def equal(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(sig: np.ndarray, rows: np.ndarray, edges: list[tuple[int, int]], least: int) -> None:
-    """Candidate chains among ``rows``: breadth first, each class against all that aren't reached yet, until none is left."""
+def _search(sig: np.ndarray, rows: np.ndarray, edges: list[tuple[int, int]], least: int, meet: int | None = None) -> np.ndarray:
+    """Candidate chains among ``rows``: breadth first, each class against all that aren't reached yet, until none is left.
+
+    Stops where classes have met ``meet`` others on average, and returns those that have not met all others by then."""
     left = rows
     if len(rows) > 64:  # the class that agrees most with its region goes first: it reaches most others
         mode = np.array([np.bincount(sig[rows, k], minlength=256).argmax() for k in range(HASHES)], np.uint8)
         left = rows[np.argsort(-equal(sig[rows], mode), kind="stable")]
     own = sig[left]
     queue: list[int] = []
+    work = 0
     while len(left):
+        if meet is not None and work >= meet * len(rows):
+            return np.concatenate([np.array(queue, np.int64), left])
         if queue:
             x = queue.pop()
         else:
             x, left, own = int(left[0]), left[1:], own[1:]
+        work += len(left)
         hit = equal(own, sig[x]) >= least
         if hit.any():
             found = left[hit]
             edges += [(x, int(y)) for y in found]
             queue += found.tolist()
             left, own = left[~hit], own[~hit]
+    return rows[:0]
+
+
+def _descend(sig: np.ndarray, rows: np.ndarray, order: np.ndarray, depth: int, edges: list[tuple[int, int]], least: int, meet: int | None) -> dict[int, int]:
+    """Candidate chains among ``rows``, which share ``depth`` minima; the depths of those that went deeper."""
+    if meet is None or len(rows) <= meet:
+        _search(sig, rows, edges, least)
+        return {}
+    rows = rows[np.lexsort(sig[np.ix_(rows, order[::-1])].T)]
+    place = np.argsort(rows)
+    deeper: dict[int, int] = {}
+    regions = [(rows, depth)]
+    while regions:
+        own, depth = regions.pop()
+        rest = _search(sig, own, edges, least, meet)
+        if len(rest) < 2:
+            continue
+        rest = rows[np.sort(place[np.searchsorted(rows[place], rest)])]  # in the tree's order again
+        differ = sig[np.ix_(rest[1:], order)] != sig[np.ix_(rest[:-1], order)]
+        prefix = np.where(differ.any(axis=1), differ.argmax(axis=1), HASHES)  # common with the neighbour
+        depth = int(prefix.min()) + 1
+        deeper.update(dict.fromkeys(rest.tolist(), depth))
+        regions += [(part, depth) for part in np.split(rest, np.flatnonzero(prefix < depth) + 1) if len(part) > 1]
+    return deeper
+
+
+def chance(percent: int, depth: int) -> float:
+    """What a tree adds to -log(miss) of a pair at the threshold, if it must share ``depth`` minima there.
+
+    Beyond LEAST_DEPTH trees share minima: their chances are those of a pair that agrees in fewer by two standard
+    deviations, since a pair that agrees in few is missed by all of them."""
+    p = percent / 100
+    if depth > LEAST_DEPTH:
+        p -= 2 * (p * (1 - p) / HASHES) ** 0.5
+    return -math.log1p(-min(p**depth, 1 - MISS))
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -266,12 +325,23 @@ def _compared(sig: np.ndarray, names: list[np.ndarray] | None, percent: int, roo
         x = int(rest[0])
 
 
-#: side 0: a member in its slice; 1: a leader; 2: one of the rest, which has a turn. root: its component so far.
+#: side 0: a member in its slice; 1: a leader; 2: one of the rest, which has a turn; in regions: the tree.
+#: root: the component so far.
 MEMBER = ["task", "doc", "side", "root", "sig"]
 
 
-def _tasks(percent: int, width: int | None):
-    """Links (a, b) of rows of MEMBER, and texts with ``width``, sorted by task; a task is held until its last row is there."""
+LINKS = "a long, b long, tree int, depth int"
+
+
+def _links(a: np.ndarray, b: np.ndarray, tree: int = 0, depth: np.ndarray | None = None) -> pa.RecordBatch:
+    depth = np.zeros(len(a)) if depth is None else depth
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), tree, np.int32)), pa.array(depth.astype(np.int32))], names=["a", "b", "tree", "depth"])
+
+
+def _tasks(percent: int, width: int | None, depth: int, meet: int | None):
+    """LINKS of rows of MEMBER, and texts with ``width``, sorted by task; a task is held until its last row is there.
+
+    Regions also give a row (a, a, tree, depth) for a class that went deeper than LEAST_DEPTH."""
 
     def group(held: list[tuple]) -> pa.RecordBatch | None:
         turns = {doc for doc, side, *_ in held if side}
@@ -285,33 +355,36 @@ def _tasks(percent: int, width: int | None):
         if not links:
             return None
         e = np.array(links)
-        return pa.RecordBatch.from_arrays([pa.array(doc[e[:, 0]]), pa.array(doc[e[:, 1]])], names=["a", "b"])
+        return _links(doc[e[:, 0]], doc[e[:, 1]])
 
     def regions(batches):
         """As below, by whole arrays: regions are many and small."""
 
-        def links(task, doc, sig):
+        def links(task, doc, tree, sig):
             edges: list[tuple[int, int]] = []
             starts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
             ends = np.append(starts[1:], len(task))
             for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                _search(sig, np.arange(a, b), edges, least_equal(percent))
+                deeper = _descend(sig, np.arange(a, b), ORDERS[tree[a]], depth, edges, least_equal(percent), meet)
+                if deeper:
+                    own = doc[np.array(list(deeper))]
+                    yield _links(own, own, tree[a], np.array(list(deeper.values())))
             if edges:
                 e = np.array(edges)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[e[:, 0]]), pa.array(doc[e[:, 1]])], names=["a", "b"])
+                yield _links(doc[e[:, 0]], doc[e[:, 1]])
 
         begins("neardup")
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, HASHES)
+            now = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, HASHES)
             held.append(now)
             if held[0][0][0] != now[0][-1]:
-                task, doc, sig = map(np.concatenate, zip(*held))
-                cut = int(np.flatnonzero(task != task[-1])[-1]) + 1
-                yield from links(task[:cut], doc[:cut], sig[:cut])
-                held = [(task[cut:], doc[cut:], sig[cut:])]
+                all_held = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.flatnonzero(all_held[0] != all_held[0][-1])[-1]) + 1
+                yield from links(*(x[:cut] for x in all_held))
+                held = [tuple(x[cut:] for x in all_held)]
         if held:
             yield from links(*map(np.concatenate, zip(*held)))
 
@@ -344,31 +417,33 @@ def _large(rows: DataFrame, slice_rows: int, slice_weight: int | None) -> DataFr
     return written(rows.groupBy("grp").agg(F.count("*").alias("n"), F.ceil(size).alias("parts")).where("parts > 1"))
 
 
-def linked(rows: DataFrame, percent: int, width: int | None, texts: DataFrame | None, slice_rows: int, slice_weight: int | None = None) -> DataFrame:
-    """Links (a, b) that join the members of each group of ``rows`` (grp, doc, weight, sig) to components: estimated ones,
-    or with ``texts`` (doc, text) and the ``width`` of shingles, confirmed ones."""
+def linked(rows: DataFrame, percent: int, width: int | None, texts: DataFrame | None, slice_rows: int, slice_weight: int | None = None, depth: int = LEAST_DEPTH, meet: int | None = None) -> DataFrame:
+    """LINKS that join the members of each group of ``rows`` (grp, doc, weight, sig) to components: confirmed ones with
+    ``texts`` (doc, text) and the ``width`` of shingles, else estimated ones. Then ``rows`` has a ``tree`` and its groups
+    share ``depth`` minima; with ``meet`` dense ones go deeper."""
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run, regions = _tasks(percent, width)
+    run, regions = _tasks(percent, width, depth, meet)
 
     texted = (lambda df: df) if texts is None else (lambda df: df.join(texts, "doc"))
     columns = MEMBER if texts is None else [*MEMBER, "text"]
 
-    def sent(df: DataFrame, task, side: int, root) -> DataFrame:
-        return df.withColumns({"task": task, "side": F.lit(side), "root": root}).select(*columns)
+    def sent(df: DataFrame, task, side, root) -> DataFrame:
+        return df.withColumns({"task": task, "side": side if isinstance(side, Column) else F.lit(side), "root": root}).select(*columns)
 
     def met(members: DataFrame, by) -> DataFrame:
-        return members.repartition(n_parts, "task").sortWithinPartitions("task", "doc").mapInArrow(by, "a long, b long")
+        return members.repartition(n_parts, "task").sortWithinPartitions("task", "doc").mapInArrow(by, LINKS)
 
     def every(df: DataFrame, name: str, n: str) -> DataFrame:
         return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
 
     task, own, by = F.xxhash64("grp", "part"), F.col("doc"), run if width else regions
+    side = F.lit(0) if width else F.col("tree")
     large = _large(rows, slice_rows, slice_weight)
     if large.isEmpty():
-        return written(met(sent(texted(rows), F.col("grp"), 0, own), by).distinct())
+        return written(met(sent(texted(rows), F.col("grp"), side, own), by).distinct())
     dealt = looked_up(rows, large, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     dealt = written(dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc"), F.col("parts"))))
-    found = met(sent(texted(dealt), task, 0, own), by)
+    found = met(sent(texted(dealt), task, side, own), by)
     large = written(dealt.where("parts > 1"))
     # Leaders meet every slice of their group.
     picks = (F.min(F.struct(F.xxhash64(F.lit(k), "doc").alias("h"), "doc", "sig", "parts")).alias(f"l{k}") for k in range(LEADERS))
@@ -383,6 +458,13 @@ def linked(rows: DataFrame, percent: int, width: int | None, texts: DataFrame |
     rest = written(rest)
     if rest.isEmpty():
         return found
+    if meet is not None and depth < LEAST_DEPTH + MOST_LEVELS:
+        # Regions of more than a slice in which classes stay apart go deeper, with all their members.
+        at = F.element_at(F.array(*(F.lit(int(x) + 1) for x in ORDERS[:, depth])), F.col("tree") + 1)
+        deep = now.join(rest.select("grp").distinct(), "grp", "left_semi").withColumn("at", at)
+        deep = written(deep.select(F.xxhash64("grp", F.expr("substring(sig, at, 1)")).alias("grp"), "doc", "weight", "sig", "tree"))
+        went = deep.select(F.col("doc").alias("a"), F.col("doc").alias("b"), "tree", F.lit(depth + 1).alias("depth"))
+        return written(found.union(went).union(linked(deep, percent, None, None, slice_rows, None, depth + 1, meet)).distinct())
     # The rest is dealt into slices of its own, each of which meets each slice of the members.
     size = F.count("*") / slice_rows
     if slice_weight:
@@ -396,19 +478,55 @@ def linked(rows: DataFrame, percent: int, width: int | None, texts: DataFrame |
     return written(found.union(met(members.union(takers), run)).distinct())
 
 
-def groups(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+def forest(reps: DataFrame, percent: int) -> DataFrame:
+    """LINKS that join candidates among ``reps`` (doc, sig, keys) to chains, tree by tree."""
+
+    def planted(rows: DataFrame, tree_and_key: Column) -> DataFrame:
+        return rows.select(tree_and_key, "doc", F.lit(1).cast("long").alias("weight"), "sig")
+
+    first = trees(percent)
+    grown = planted(reps, F.posexplode("keys").alias("tree", "grp"))
+    found = linked(grown, percent, None, None, REGION_ROWS, meet=MEET)
+    chances = F.element_at(F.array(*(F.lit(chance(percent, d)) for d in range(HASHES + 1))), F.col("depth") + 1)
+    # Classes that went deeper: (doc, tree, chance of the tree); other trees have the chance of LEAST_DEPTH.
+    least = chance(percent, LEAST_DEPTH)
+    n_trees, active = first, reps.select("doc", "sig")
+    while True:
+        lost = found.where("a = b").groupBy(F.col("a").alias("doc"), "tree").agg(F.max("depth").alias("depth"))
+        lost = lost.groupBy("doc").agg(F.sum(least - chances).alias("lost"))
+        # The first trees alone may fall short of MISS at low thresholds; only what depth takes away is made up for.
+        need = min(-math.log(MISS), first * least)
+        active = written(active.join(lost.where(n_trees * least - F.col("lost") < need).select("doc"), "doc"))
+        if active.isEmpty():
+            return found
+        if n_trees >= MOST_TREES:
+            base = grown.join(active.select("doc"), "doc", "left_semi").select("grp", "doc", "weight", "sig", "tree")
+            return written(found.union(linked(base, percent, None, None, REGION_ROWS)).distinct())
+        more = range(n_trees, min(n_trees + MORE_TREES, MOST_TREES))
+        begin = {t: F.xxhash64(F.lit(t), *(F.substring("sig", int(x) + 1, 1) for x in ORDERS[t, :LEAST_DEPTH])) for t in more}
+        each = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), key.alias("grp")) for t, key in begin.items())))
+        rows = active.select(each.alias("at"), "doc", F.lit(1).cast("long").alias("weight"), "sig").select("at.*", "doc", "weight", "sig")
+        found = written(found.union(linked(rows, percent, None, None, REGION_ROWS, meet=MEET)).distinct())
+        n_trees = more.stop
+
+
+def groups(docs: DataFrame, percent: int = 85, width: int = 3, exact: bool = False) -> DataFrame:
     """``groups_of`` the rows of ``docs`` (doc_id, text), numbered in the order of their ids."""
-    return groups_of(ordered(docs), percent, width)
+    return groups_of(ordered(docs), percent, width, exact)
 
 
-def groups_of(own: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+def groups_of(own: DataFrame, percent: int = 85, width: int = 3, exact: bool = False) -> DataFrame:
     """(doc, doc_id, n_shingles, root, root_id): every row of ``own`` (doc, doc_id, text) with the first document that
-    its class is joined to, and that document's id. ``doc`` is a unique long."""
+    its class is joined to, and that document's id. ``doc`` is a unique long. ``exact``: without trees."""
     n_trees = trees(percent)
     rows = written(own.select("doc", "doc_id", "text").mapInArrow(lambda batches: _features(batches, width, n_trees), FEATURES))
     reps = written(rows.where("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc", "doc_id")).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"), F.max("keys").alias("keys")).select("fp", "first.*", "n_shingles", "sig", "keys"))
-    planted = reps.select(F.explode("keys").alias("grp"), "doc", F.lit(1).cast("long").alias("weight"), "sig")
-    chains = written(components(linked(planted, percent, None, None, REGION_ROWS)))
+    if exact:
+        whole = reps.select(F.lit(0).cast("long").alias("grp"), "doc", F.lit(1).cast("long").alias("weight"), "sig", F.lit(0).alias("tree"))
+        near = linked(whole, percent, None, None, REGION_ROWS)
+    else:
+        near = forest(reps, percent)
+    chains = written(components(near))
     blocks = reps.join(chains, reps["doc"] == chains["node"]).select(F.col("root").alias("grp"), "doc", F.col("n_shingles").alias("weight"), "sig")
     links = linked(blocks, percent, width, own.select("doc", "text"), BLOCK_ROWS, BLOCK_SHINGLES)
     found = components(links).select(F.col("node").alias("_rep"), "root")

@@ -217,7 +217,7 @@ def test_groups_of_near_copies(spark, percent, width):
 @pytest.fixture
 def tiny(monkeypatch):
     """Every group is cut into many slices, and nearly every key counts as hot."""
-    for name, value in (("BLOCK_ROWS", 30), ("BLOCK_SHINGLES", 6000), ("REGION_ROWS", 40), ("HOT_ROWS", 20)):
+    for name, value in (("BLOCK_ROWS", 30), ("BLOCK_SHINGLES", 6000), ("REGION_ROWS", 40), ("HOT_ROWS", 20), ("MOST_LEVELS", 1)):
         monkeypatch.setattr(neardup, name, value)
 
 
@@ -239,14 +239,82 @@ def test_components_of_paths_and_stars(spark, tiny):
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1100)}, **{i: 2000 for i in [*range(2000, 2100), 3000]}}
 
 
-def test_dense_regions_go_deeper(monkeypatch):
-    monkeypatch.setattr(neardup, "DENSE", 100)
+def test_dense_regions_go_deeper():
+    """A region of strangers splits by the tree's order; copies that share the deeper prefix stay together, others are told."""
     r = np.random.default_rng(3)
-    sig = r.integers(0, 4, (900, neardup.HASHES)).astype(np.uint8)
-    sig[450:] = sig[:450]
+    order, n = neardup.ORDERS[5], 6000
+    sig = r.integers(0, 256, (n, neardup.HASHES)).astype(np.uint8)
+    sig[:, order[:5]] = 7  # all share two minima more than the tree asks for
+    sig[n // 2 :] = sig[: n // 2]
+    sig[n // 2 :, order[90:]] += 1
+    sig[-100:, order[5]] += 1  # these part from their copies where the region splits
     edges = []
-    neardup._search(sig, np.arange(900), edges, neardup.least_equal(85))
-    assert {frozenset(e) for e in edges} >= {frozenset((i, i + 450)) for i in range(450)}
+    deeper = neardup._descend(sig, np.arange(n), order, 3, edges, neardup.least_equal(85), 50)
+    found = {frozenset(e) for e in edges}
+    assert found >= {frozenset((i, i + n // 2)) for i in range(n // 2 - 100)}
+    lost = [i for i in range(n // 2 - 100, n // 2) if frozenset((i, i + n // 2)) not in found]
+    assert lost and all(deeper[i] >= 6 and deeper[i + n // 2] >= 6 for i in lost)
+
+
+def test_strangers_of_a_region_take_linear_work(monkeypatch):
+    """No class meets more than MEET others on average at any depth."""
+    met = 0
+
+    def counted(sig, one, plain=neardup.equal):
+        nonlocal met
+        met += len(sig)
+        return plain(sig, one)
+
+    monkeypatch.setattr(neardup, "equal", counted)
+    sig = np.random.default_rng(5).integers(0, 256, (20_000, neardup.HASHES)).astype(np.uint8)
+    neardup._descend(sig, np.arange(20_000), neardup.ORDERS[0], 3, [], neardup.least_equal(85), neardup.MEET)
+    assert met < 20_000 * (neardup.MEET * 3 + 5)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("depth", [4, 5, 6])
+def test_chances_of_deeper_trees_hold(percent, depth):
+    """Pairs at the threshold that need ``depth`` minima in every tree, by trees whose chances sum up to a miss of 0.001."""
+    n_trees = min(neardup.MOST_TREES, int(np.ceil(np.log(1000) / neardup.chance(percent, depth))))
+    agree = np.random.default_rng(depth).random((40_000, neardup.HASHES)) < percent / 100
+    met = np.zeros(len(agree), bool)
+    for order in neardup.ORDERS[:n_trees]:
+        met |= agree[:, order[:depth]].all(axis=1)
+    assert 1 - met.mean() <= max(0.001, np.exp(-n_trees * neardup.chance(percent, depth)))
+
+
+def dense(n: int, seed: int) -> dict[int, str]:
+    """Texts that share most words with a template and are no copies of each other, each with a copy at the threshold."""
+    r, base, texts = random.Random(seed), prose(260, 1).split(), {}
+    for i in range(n):
+        own = [f"u{i}x{k}" if r.random() < 0.06 else w for k, w in enumerate(base)]
+        texts[2 * i] = " ".join(own)
+        near = list(own)
+        for k in r.sample(range(20, 240), 6):
+            near[k] = f"v{i}x{k}"
+        texts[2 * i + 1] = " ".join(near)
+    return texts
+
+
+@pytest.mark.parametrize("meet,most", [(2, 64), (2, 13), (20, 64)])
+def test_forest_adds_trees_where_regions_are_dense(spark, monkeypatch, meet, most):
+    """Also with trees that don't suffice: then regions are compared in full."""
+    monkeypatch.setattr(neardup, "MEET", meet)
+    monkeypatch.setattr(neardup, "MOST_TREES", most)
+    texts = dense(60, 2)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_groups(texts, 85)
+    assert len({c for _, c in want.values()}) > 40
+    assert {x.doc_id: (x.n_shingles, x.root_id) for x in neardup.groups(df).collect()} == want
+    if most == 64 and meet == 2:
+        assert {x.doc_id: (x.n_shingles, x.root_id) for x in neardup.groups(df, exact=True).collect()} == want
+
+
+def test_regions_of_more_than_a_slice_go_deeper(spark, tiny, monkeypatch):
+    monkeypatch.setattr(neardup, "MEET", 5)
+    texts = dense(40, 6)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.root_id) for x in neardup.groups(df).collect()} == brute_groups(texts, 85)
 
 
 def test_dense_regions_miss_nothing(monkeypatch):
