@@ -10,8 +10,8 @@ their instances are weighted seeds of all patterns that they stand behind, known
 are added as spans of the pattern's kind; base spans always stay.
 
 Odd input: a null text is empty and has no spans; rows with the same id and text get the same spans; all counts are of
-distinct instances, so repeated rows don't raise a confidence. Texts are read whole, each in one task; an empty table gives
-an empty result; ``masked`` returns the caller's columns under their own names, whatever they are. Patterns are summed before they are shuffled and no
+distinct instances, so repeated rows don't raise a confidence. Texts are read whole, each in one task, and tokens and the
+distance of a pattern's words have no length limit; an empty table gives an empty result; ``masked`` returns the caller's columns under their own names, whatever they are. Patterns are summed before they are shuffled and no
 pattern's instances are gathered in one place.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ MIN_CONFIDENCE = 0.8
 ROUNDS = 3
 #: Score of an instance that nothing else tells about: a pattern with as many of these as seeds is still accepted.
 PRIOR = 0.65
+#: Characters of an instance beyond which its digest stands for it.
+LONG = 64
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -82,9 +85,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def pattern(text: str, start: int) -> str:
-    """The two words before ``start``, or fewer at the start of the text; looks back 80 characters at most."""
-    return " ".join(w.lower() for w in LETTERS.findall(text, max(0, start - 80), start)[-2:])
+def word_starts(text: str) -> list[int]:
+    return [m.start() for m in LETTERS.finditer(text)]
+
+
+def pattern(text: str, start: int, words: list[int]) -> str:
+    """The two words before ``start``, however far, or fewer at the start of the text, whose ``words`` begin there."""
+    i = bisect_left(words, start)
+    return " ".join(LETTERS.match(text, w, start)[0].lower() for w in words[max(0, i - 2) : i])
+
+
+def named(token: str) -> str:
+    """An instance as it goes through shuffles: itself, or its digest if it is long."""
+    return token if len(token) <= LONG else "blake2b:" + hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def identifiers(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -106,7 +119,7 @@ def identifiers(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         a, b = left, last
         while b > a and text[b - 1] in ".!?-":
             b -= 1
-        if b - a > 64 or ("@" not in text[a:b] and len(DIGITS.findall(text, a, b)) < 4):
+        if "@" not in text[a:b] and len(DIGITS.findall(text, a, b)) < 4:
             continue
         while i < len(taken) and taken[i][1] <= a:
             i += 1
@@ -139,9 +152,11 @@ def found(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Data
             for text in batch.column(2).to_pylist():
                 text = text or ""
                 own = base_spans(text)
+                like = identifiers(text, own)
+                words = word_starts(text) if own or like else []
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                seeds.append([{"pattern": pattern(text, a), "kind": k, "instance": text[a:b]} for k, a, b in own])
-                mentions.append([{"pattern": pattern(text, a), "instance": text[a:b], "start": a, "end": b} for a, b in identifiers(text, own)])
+                seeds.append([{"pattern": pattern(text, a, words), "kind": k, "instance": named(text[a:b])} for k, a, b in own])
+                mentions.append([{"pattern": pattern(text, a, words), "instance": named(text[a:b]), "start": a, "end": b} for a, b in like])
             if spans:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPAN), pa.array(seeds, _SEED), pa.array(mentions, _MENTION)], names=schema.names)
 

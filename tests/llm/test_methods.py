@@ -362,6 +362,17 @@ def test_base_spans_of_random_texts():
     assert pii.base_spans("9" * 300_000) == [] and pii.base_spans("a" * 300_000 + "@") == []
 
 
+def test_contexts_and_tokens_have_no_length_limit(spark):
+    gap = " " + "-" * 500 + " "
+    rows = [(i, f"their secret{gap}mail is{gap}ab{i}@mail.example.com now") for i in range(12)]
+    token = "x" * 200 + "@host"
+    rows += [(50, f"their secret mail is {token} now"), (51, f"mail is{gap}{token}"), (52, "is 12345")]
+    _, more = pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    at = {i: t.index("xxx") for i, t in rows[12:14]}
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.more] for r in more.collect()} == {i: [(0, a, a + len(token))] for i, a in at.items()}
+    assert pii.pattern("ab cdEf", 6, pii.word_starts("ab cdEf")) == "ab cde" and pii.pattern("12", 0, []) == ""
+
+
 def test_contexts_discover_identifiers(spark):
     rows = [(i, f"Please call me at +1 (555) 010-{1000 + i} today") for i in range(12)] + [(50, "please call me at 555-0199-22 now"), (51, "the year was 20241 then"), (52, "in room 5550199 we met")]
     base, more = pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string"))
