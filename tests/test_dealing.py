@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom.operators import heuristics as H
+from sparkloom.operators import stats as C
 from sparkloom.operators.dealing import dealt_join
 
 
@@ -28,3 +29,11 @@ def test_warm_scores_are_exact(spark):
     # a: 3 histories with b, own once, occurs 4 times; c: target of b 3 times, occurs 3 times
     assert got["u0", "a"] == 1.4 and got["u0", "c"] == 3.0
     assert got["v", "b"] == (3 * 0.3 * 10 + 3 * 0.3 * 10 + 0.9 * 10 + 4) / 10
+
+
+def test_order_of_sums_does_not_rank_items(spark):
+    """The same three weights, summed in two orders, are no reason to place one item before another."""
+    low, high = sorted([0.1 + 0.2 + 0.3, 0.3 + 0.2 + 0.1])
+    assert low < high
+    stats = spark.createDataFrame([("recent", "k", "a", low), ("recent", "k", "b", high)], "source string, key string, iid string, cnt double")
+    assert [r.iid for r in C.top_n(stats, {"recent": 2}).orderBy("rank").collect()] == ["a", "b"]
