@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sparkloom.operators import graph, lists
+from sparkloom.operators import graph, heuristics, lists
 
 
 def test_most_similar_blocks(spark):
@@ -30,3 +30,20 @@ def test_diversified_nulls_and_short_lists(spark):
     cats = spark.createDataFrame([("p", 1), ("q", 1)], "iid string, cat int")  # r and s have no category: one of their own
     got = {r["uid"]: r["items"] for r in lists.diversified(df, cats, k=3, weight=3.0).collect()}
     assert got == {"a": ["p", "r", "q"], "b": ["p"]}
+
+
+def test_similar_users_by_sets_of_categories(spark, monkeypatch):
+    """Against a plain loop; and however many profiles share a category, a profile reads k + 1 ids a set of categories."""
+    rng = np.random.default_rng(8)
+    users = [(str(i), *(str(v) for v in rng.integers(0, 6, 3))) for i in range(300)]
+    seen = []
+    whole = heuristics.checkpointed
+    monkeypatch.setattr(heuristics, "checkpointed", lambda df: seen.append(df.count()) or whole(df))
+    got = {}
+    for r in heuristics.similar_users(spark.createDataFrame(users, "uid string, a string, b string, c string"), ["a", "b", "c"], 5).collect():
+        got.setdefault(r.uid, set()).add((r.other, round(r.sim, 9)))
+    want = {}
+    for u, *x in users:
+        all_ = [(-sum(p == q for p, q in zip(x, y)), o) for o, *y in users if o != u]
+        want[u] = {(o, round(-n / 3, 9)) for n, o in sorted(z for z in all_ if z[0])[:5]}
+    assert got == want and seen == [300]
