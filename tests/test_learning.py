@@ -194,6 +194,20 @@ def test_index_skips_cells_and_stays_exact(spark, monkeypatch):
     assert N.search(asked, N.build(rows.limit(0)), 7).count() == 0
 
 
+def test_vectors_are_copied_to_parts_and_not_to_cells(spark):
+    """Where no cell is skipped, a vector goes to parts of several cells; large cells are cut."""
+    first, pieces = N._parts(np.array([30, 30, 50, 250, 0, 10]), 100)
+    assert first.tolist() == [0, 0, 1, 2, 5, 5] and pieces.tolist() == [1, 1, 1, 3, 1, 1]
+    r = np.random.default_rng(8)
+    x = np.vstack([r.normal(size=(300, 12)), np.repeat(r.normal(size=(1, 12)), 120, 0)])  # noise, and copies of one text
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vec array<double>").repartition(3)
+    asked, index, report = rows.where("node % 4 = 0"), N.build(rows, 20), {}
+    want = {(a.node, a.other, a.place) for a in G.most_similar(asked, rows, 5, itself=False).collect()}
+    assert {(a.node, a.other, a.place) for a in N.search(asked, index, 5, itself=False, block=64, report=report).collect()} == want
+    live = int((index.size > 0).sum())
+    assert report["visits"] + report["skipped"] == asked.count() * live
+
+
 def test_recall_of_the_index_on_the_table(spark):
     got = {r.probes: r for r in catalog.QUERIES["knn_recall"](spark, SF).collect()}
     assert all(r.n == 100 for r in got.values()) and got[max(got)].recall == 1.0
