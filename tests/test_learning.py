@@ -56,6 +56,19 @@ def block(df, n, k):
     return out
 
 
+def test_products_with_a_small_block_leave_rows_in_place(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(60, 7))
+    m, b = table(spark, x), spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "row long, vec array<double>")
+    want = x @ np.array([[i, 1.0] for i in range(7)])
+    for small in (True, False):
+        got = {r.row: r.vec for r in L.times(m, b, 2, small).collect()}
+        assert np.allclose(np.array([got[i] for i in sorted(got)]), want)
+    plan = L.times(m.repartition("row"), b, 2, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan.lower()
+    monkeypatch.setattr(L, "MOST_SENT", 0)
+    assert np.allclose(L.truncated_svd(m, 4)[0], np.linalg.svd(x)[1][:4], atol=1e-5)
+
+
 def test_truncated_svd_against_dense(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(60, 40)) * (r.random((60, 40)) < 0.3)
