@@ -1,7 +1,7 @@
 """All features of (user, candidate) pairs for a ranker: 105 columns and three for each category (129 with eight).
 
-Everything that counts know comes from one conditional aggregation over the rows of ``features.conditional``; the rest are
-equi-joins by user, by item or by both. Nothing is gathered for each user but the user's own history.
+Everything that counts know comes from conditional aggregations over the rows of ``features.conditional``, one for each family
+of sources; the rest are equi-joins by user, by item or by both. Nothing is gathered for each user but the user's own history.
 """
 
 from __future__ import annotations
@@ -9,27 +9,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import sequences as S
+from sparkloom.operators.features import conditional
+from sparkloom.operators.graph import checkpointed
 from sparkloom.operators.ordering import numbered
+from sparkloom.operators.retrieval import user_keys
 
 #: Sources with five columns each, by the names that their columns bear.
 FIVE = {"last1": "last1", "last2": "last2", "last3": "last3", "transition": "trans", "profile": "prof", "group_fine": "grp_fine", "group_mid": "grp_mid", "group_coarse": "grp_coarse", "length": "len"}
+#: Pairs of items up to which they go to every task; they grow with items and not with users.
+MOST_PAIRS = 500_000
 PARTS = {"logcnt": "log_cnt", "logsupport": "log_total", "prob": "prob", "lift": "lift", "mle": "mle"}
 
 
-def counted_columns(cats: list[str], recent_weight: float = 4.0) -> list[Column]:
-    """Aggregates over the conditional rows of a pair."""
+def counted_columns(cats: list[str], recent_weight: float = 4.0) -> dict[str, tuple[tuple[str, ...], Column]]:
+    """Aggregates over the conditional rows of a pair by name, each with the sources that it reads."""
     here = lambda s, x: F.when(F.col("source") == s, x)
-    out = [F.max(here(s, F.col(c))).alias(f"{p}_{n}") for s, p in FIVE.items() for n, c in PARTS.items()]
-    w = F.col("weight") / recent_weight
-    out += [F.coalesce(F.sum(here("recent", w * F.col(c))), F.lit(0.0)).alias(n) for n, c in (("recent_prob_sum", "prob"), ("recent_lift_sum", "lift"), ("recent_logcount_sum", "log_cnt"))]
-    out += [F.coalesce(F.max(here("recent", F.col(c) if c == "lift" else w * F.col(c))), F.lit(0.0)).alias(n) for n, c in (("recent_prob_max", "prob"), ("recent_lift_max", "lift"))]
-    out.append(F.sum(here("recent", (F.col("cnt") > 0).cast("double"))).alias("recent_hit_sources"))
+    out = {f"{p}_{n}": ((s,), F.max(here(s, F.col(c)))) for s, p in FIVE.items() for n, c in PARTS.items()}
+    w, recent = F.col("weight") / recent_weight, ("recent",)
+    out |= {n: (recent, F.coalesce(F.sum(here("recent", w * F.col(c))), F.lit(0.0))) for n, c in (("recent_prob_sum", "prob"), ("recent_lift_sum", "lift"), ("recent_logcount_sum", "log_cnt"))}
+    out |= {n: (recent, F.coalesce(F.max(here("recent", F.col(c) if c == "lift" else w * F.col(c))), F.lit(0.0))) for n, c in (("recent_prob_max", "prob"), ("recent_lift_max", "lift"))}
+    out["recent_hit_sources"] = (recent, F.sum(here("recent", (F.col("cnt") > 0).cast("double"))))
     for c in cats:
         own = (F.col("source") == "segment") & F.startswith("bare", F.lit(f"{c}="))
-        out += [F.max(F.when(own, F.col(x))).alias(f"seg_{c}_{n}") for n, x in (("logcnt", "log_cnt"), ("prob", "prob"), ("lift", "lift"))]
+        out |= {f"seg_{c}_{n}": (("segment",), F.max(F.when(own, F.col(x)))) for n, x in (("logcnt", "log_cnt"), ("prob", "prob"), ("lift", "lift"))}
     for s, p in (("segment", "seg"), ("pair", "pair")):
-        out += [f(here(s, F.col(x))).alias(f"{p}_{x}_{n}") for x in ("prob", "lift") for n, f in (("max", F.max), ("mean", F.avg))]
-        out += [F.sum(here(s, F.col("log_cnt"))).alias(f"{p}_logcnt_sum"), F.sum(here(s, (F.col("cnt") > 0).cast("double"))).alias(f"src_{s}_hit_sum")]
+        out |= {f"{p}_{x}_{n}": ((s,), f(here(s, F.col(x)))) for x in ("prob", "lift") for n, f in (("max", F.max), ("mean", F.avg))}
+        out |= {f"{p}_logcnt_sum": ((s,), F.sum(here(s, F.col("log_cnt")))), f"src_{s}_hit_sum": ((s,), F.sum(here(s, (F.col("cnt") > 0).cast("double"))))}
+    return out
+
+
+def families(cats: list[str]) -> list[tuple[tuple[str, ...], list[Column]]]:
+    """Sources whose keys are the same for all users that agree on the columns beside them."""
+    return [
+        (("segment", "pair", "profile", "group_fine", "group_mid", "group_coarse"), [F.col(c) for c in cats]),
+        (("length",), [F.col("bucket")]),
+        (("last1", "transition"), [F.try_element_at("dedup", F.lit(-1))]),
+        (("last2", "last3", "recent"), [F.col("uid")]),
+    ]
+
+
+def counted(h: DataFrame, cats: list[str], cands: DataFrame, stats: DataFrame, totals: DataFrame, prior: DataFrame) -> DataFrame:
+    """(uid, iid, ``counted_columns``) of every candidate. Users that agree on what a family of sources reads share its rows:
+    one of them stands for all, so rows grow with distinct keys and not with users times keys."""
+    own = cands.select("uid", "iid")
+    out = own
+    for sources, by in families(cats):
+        columns = [c.alias(n) for n, (reads, c) in counted_columns(cats).items() if set(reads) <= set(sources)]
+        known = S.with_bucket(h).select("uid", F.struct(*by).alias("_by"))
+        first = known.groupBy("_by").agg(F.min("uid").alias("_first"))
+        members = checkpointed(known.join(first, known["_by"].eqNullSafe(first["_by"])).select("uid", "_first"))
+        asked = own.join(members, "uid").select(F.col("_first").alias("uid"), "iid").distinct()
+        stand = h.join(members.select(F.col("_first").alias("uid")).distinct(), "uid", "left_semi")
+        keys = user_keys(stand, cats).where(F.col("source").isin(*sources))
+        rows = conditional(keys.join(asked, "uid"), stats, totals, prior).withColumn("bare", F.col("key"))
+        wide = rows.groupBy("uid", "iid").agg(*columns).withColumnRenamed("uid", "_first")
+        out = out.join(members, "uid").join(wide, ["_first", "iid"], "left").drop("_first")
     return out
 
 
@@ -64,7 +99,9 @@ def similarity_columns(h: DataFrame, cands: DataFrame, pairs: DataFrame) -> Data
     candidates that are like some item have a row. ``pairs`` (a, b, jaccard) has a < b."""
     items = h.select("uid", F.posexplode("dedup").alias("_p", "item"), (F.size("dedup") - 1).alias("_end"))
     both = items.join(cands.select("uid", "iid"), "uid").withColumns({"a": F.least("item", "iid"), "b": F.greatest("item", "iid")})
-    both = both.join(pairs.select("a", "b", "jaccard"), ["a", "b"], "left").withColumn("j", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("jaccard"))).where("j > 0")
+    pairs = checkpointed(pairs.select("a", "b", "jaccard"))
+    pairs = F.broadcast(pairs) if pairs.count() <= MOST_PAIRS else pairs  # rows of users x items x candidates stay where they are
+    both = both.join(pairs, ["a", "b"], "left").withColumn("j", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("jaccard"))).where("j > 0")
     last = F.max(F.when(F.col("_p") == F.col("_end"), F.col("j"))).alias("i2i_jaccard_last1")
     return both.groupBy("uid", "iid").agg(F.max("j").alias("i2i_jaccard_max"), F.sum("j").alias("i2i_jaccard_sum"), last)
 
@@ -90,12 +127,11 @@ def names(cats: list[str]) -> list[str]:
     return [*base, *five("last1", "last2", "last3"), *recent, *five("trans", "prof", "grp_fine", "grp_mid", "grp_coarse", "len"), *(f"seg_{c}_{n}" for c in cats for n in ("logcnt", "prob", "lift")), *both, *cross, *src, *(f"i2i_jaccard_{n}" for n in ("max", "sum", "last1"))]
 
 
-def all_features(h: DataFrame, cats: list[str], cands: DataFrame, cond: DataFrame, prior: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(uid, iid, ``names``) of every candidate: ``cond`` has its conditional rows (with source, key, weight and counts), and
-    a source under which the user has no key counts as one that never saw the item."""
-    bare = cond.withColumn("bare", F.regexp_replace("key", "^[0-9]+/", "")) if "fold" in cond.columns else cond.withColumn("bare", F.col("key"))
-    wide = bare.groupBy("uid", "iid").agg(*counted_columns(cats))
-    out = history_columns(h, cands).join(wide, ["uid", "iid"], "left").join(similarity_columns(h, cands, pairs), ["uid", "iid"], "left").join(item_columns(h, prior), "iid", "left")
+def all_features(h: DataFrame, cats: list[str], cands: DataFrame, wide: DataFrame, prior: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, iid, ``names``) of every candidate: ``wide`` has its ``counted`` columns, and a source under which the user has no
+    key counts as one that never saw the item. Columns of items come first, while rows are narrow."""
+    out = history_columns(h, cands).join(item_columns(h, prior), "iid", "left")
+    out = out.join(wide, ["uid", "iid"], "left").join(similarity_columns(h, cands, pairs), ["uid", "iid"], "left")
     t, s = F.coalesce("target_prior", F.lit(0.0)), F.coalesce("seq_prior", F.lit(0.0))
     n_targets = h.agg(F.count_distinct("target").alias("_targets"))
     out = out.join(F.broadcast(n_targets))  # one row

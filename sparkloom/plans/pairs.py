@@ -67,8 +67,8 @@ def pair_features_all(spark, d):
     stats = checkpointed(C.build_stats(h, CATS))
     cands = checkpointed(R.cut(R.fused(R.hits(h, stats, CATS)), LIMIT))
     prior = FE.priors(h)
-    cond = FE.conditional(R.user_keys(h, CATS).join(cands.select("uid", "iid"), "uid"), stats, C.totals(stats), prior)
-    out = PF.all_features(h, CATS, cands, cond, prior, C.pair_stats(h))
+    wide = PF.counted(h, CATS, cands, stats, C.totals(stats), prior)
+    out = PF.all_features(h, CATS, cands, wide, prior, C.pair_stats(h))
     out = out.withColumn("src_rrf_x_best_rank", F.col("src_rrf_x_best_rank") + 1e-10)  # some lie in the middle of two roundings
     return out.select("uid", "iid", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in PF.names(CATS)))
 

@@ -396,3 +396,24 @@ def test_stores(spark, tmp_path):
     assert store.spilled("oof", key, ["0", "1", "2"], part).count() == 20 and len(calls) == 5
     with pytest.raises(ValueError, match="rows without a score"):
         stores.score_union({"a": df.select("id", F.lit(1.0).alias("score")), "b": df.limit(3).select("id", F.lit(1.0).alias("score"))}, ["id"], ["a", "b"])
+
+
+def test_users_with_the_same_keys_share_conditional_rows(spark):
+    """Families of sources read each distinct key once; columns are those of the rows of every user."""
+    from sparkloom.operators import features as FE
+    from sparkloom.operators import pairfeatures as PF
+    from sparkloom.operators import retrieval as R
+    from sparkloom.operators import stats as C
+
+    cats = ["c1", "c2"]
+    rows = [(f"u{i}", ["x", "y", "x"][: i % 4], ["x", "y"][: i % 4], "xyz"[i % 3], "ab"[i % 2], "k" if i % 5 else "a|k") for i in range(24)]
+    h = spark.createDataFrame(rows, "uid string, raw array<string>, dedup array<string>, target string, c1 string, c2 string")
+    cands = h.select("uid", F.explode(F.array(*map(F.lit, "xyzw"))).alias("iid"))
+    stats, prior = C.build_stats(h, cats), FE.priors(h)
+    whole = FE.conditional(R.user_keys(h, cats).join(cands, "uid"), stats, C.totals(stats), prior).withColumn("bare", F.col("key"))
+    columns = PF.counted_columns(cats)
+    want = whole.groupBy("uid", "iid").agg(*(F.round(c, 9).alias(n) for n, (_, c) in columns.items()))
+    got = PF.counted(h, cats, cands, stats, C.totals(stats), prior)
+    zero = lambda df: sorted(repr(tuple(0.0 if r[n] in (None, 0) else r[n] if n in ("uid", "iid") else round(r[n], 7) for n in ("uid", "iid", *columns))) for r in df.collect())
+    assert zero(got) == zero(want)
+    assert {s for sources, _ in PF.families(cats) for s in sources} == {s for s, _ in [(x, 0) for reads, _ in columns.values() for x in reads]}
