@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkloom.operators import heuristics as H
+from sparkloom.operators import retrieval as R
 from sparkloom.operators import stats as C
 from sparkloom.operators.dealing import dealt_join
 
@@ -37,3 +38,17 @@ def test_order_of_sums_does_not_rank_items(spark):
     assert low < high
     stats = spark.createDataFrame([("recent", "k", "a", low), ("recent", "k", "b", high)], "source string, key string, iid string, cnt double")
     assert [r.iid for r in C.top_n(stats, {"recent": 2}).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_hits_of_a_user_move_once(spark):
+    """Keys' lists meet at their user; adding up and ranking the items needs no exchange by user and item."""
+    rows = [(f"u{i}", ["a", "b", "a"], "c", "x") for i in range(3)] + [("v", ["d", "a"], "b", "y")]
+    h = spark.createDataFrame(rows, "uid string, raw array<string>, target string, cat string").withColumn("dedup", F.array_distinct("raw"))
+    found = R.hits(h, C.build_stats(h, ["cat"]), ["cat"])
+    got = {(r.uid, r.iid, r.source): (r.rank, r.weight) for r in found.collect()}
+    assert got["v", "b", "global"] == (2, 0.8) and got["u0", "c", "last1"] == (1, 6.0)
+    # a: twice and first from the end; b: once and second
+    assert got["u1", "a", "history"] == (1, 7.0) and got["u1", "b", "history"] == (2, 7.0)
+    plan = R.cut(R.fused(found), 100)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("Generate posexplode(items")]
+    assert "Window" in after and "Exchange" not in after
