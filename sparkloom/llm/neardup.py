@@ -53,6 +53,8 @@ REGION_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 20_000, 4_096, 500_000
 LEADERS = 2
 #: Keys whose rows are joined by broadcast, at most: those with this share of all rows, and with so many rows.
 HOT_KEYS, HOT_ROWS = 50_000, 100_000
+#: Bits that say which texts may be asked for.
+BITS = 1 << 26
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -249,6 +251,16 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def among(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc`` is not in ``members``: what stays is joined exactly afterwards, and what
+    goes needs no shuffle. One bit for each of BITS hashes goes to every task, 8 MB at most."""
+    h = F.pmod(F.xxhash64(F.lit(13), "doc"), F.lit(BITS))
+    set_bits = members.select(F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    met = rows.withColumns({"_bucket": F.bitmap_bucket_number(h), "_at": F.bitmap_bit_position(h)}).join(F.broadcast(set_bits), "_bucket")
+    bit = F.expr("getbit(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as bigint), cast(_at % 8 as int))")
+    return met.where(bit == 1).select(*rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the least node that it is joined to.
 
@@ -528,7 +540,8 @@ def groups_of(own: DataFrame, percent: int = 85, width: int = 3, exact: bool = F
         near = forest(reps, percent)
     chains = written(components(near))
     blocks = reps.join(chains, reps["doc"] == chains["node"]).select(F.col("root").alias("grp"), "doc", F.col("n_shingles").alias("weight"), "sig")
-    links = linked(blocks, percent, width, own.select("doc", "text"), BLOCK_ROWS, BLOCK_SHINGLES)
+    blocks = written(blocks)
+    links = linked(blocks, percent, width, among(own.select("doc", "text"), blocks), BLOCK_ROWS, BLOCK_SHINGLES)
     found = components(links).select(F.col("node").alias("_rep"), "root")
     found = found.join(reps.select(F.col("doc").alias("root"), F.col("doc_id").alias("root_id")), "root")
     of = reps.select(F.col("fp").alias("_fp"), F.col("doc").alias("_rep"), "doc_id").join(found, "_rep", "left").select("_fp", F.coalesce("root", "_rep").alias("root"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("root_id")).alias("root_id"))

@@ -221,6 +221,17 @@ def tiny(monkeypatch):
         monkeypatch.setattr(neardup, name, value)
 
 
+def test_texts_that_nobody_asks_for_stay_where_they_are(spark):
+    rows = spark.range(-500, 4500).select(F.col("id").alias("doc"), F.lit("a").alias("text"))
+    members = spark.range(-20, 3000, 7).select(F.col("id").alias("doc"))
+    left = neardup.among(rows, members)
+    assert left.columns == rows.columns
+    got, want = sorted(r.doc for r in left.collect()), [r.doc for r in members.collect()]
+    assert set(want) <= set(got) and len(got) == len(set(got)) <= len(want) + 5
+    assert "Exchange hashpartitioning(doc" not in left._jdf.queryExecution().executedPlan().toString()
+    assert neardup.among(rows, members.where("doc > 9999")).count() == 0
+
+
 def test_small_tasks_agree_with_brute_force(spark, tiny):
     """Stars, chains, copies, and texts that share most words with a group and are linked with none of it."""
     texts = copies()
