@@ -19,8 +19,9 @@ a literal U+2581 is written as bytes in samples (the model's own encoding turns
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,12 @@ def default_model() -> str:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -95,27 +99,29 @@ class Lattices:
                 ranked.append((text, i, -self.sp.get_score(i)))
         self.longest = max(len(text) for text, _, _ in ranked)
         norm = np.log(sum(1 / (r + RANK_SHIFT) for _, _, r in ranked))
-        node: dict[int, tuple[int, float]] = {}
-        for text, i, rank in ranked:
-            h = np.zeros(1, np.uint64)
-            for k, c in enumerate(text):
-                h = self._step(h, np.array([ord(c)], np.uint32))
-                old = node.get(int(h[0]))
-                if k == len(text) - 1:
-                    node[int(h[0])] = (i, -np.log(rank + RANK_SHIFT) - norm)
-                elif old is None:
-                    node[int(h[0])] = (-1, 0.0)
-        self.node = np.array(sorted(node), np.uint64)
-        self.piece = np.array([node[int(x)][0] for x in self.node])
-        self.logp = np.array([node[int(x)][1] for x in self.node])
-        self.slots = np.full(1 << 20, -1, np.int32)
+        lens = np.fromiter((len(text) for text, _, _ in ranked), np.int64, len(ranked))
+        cp = np.frombuffer("".join(text for text, _, _ in ranked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first, h = np.cumsum(lens) - lens, np.zeros(len(ranked), np.uint64)
+        names = []
+        for k in range(self.longest):
+            alive = np.flatnonzero(lens > k)
+            h[alive] = self._step(h[alive], cp[first[alive] + k])
+            names.append(h[alive])
+        self.node = np.unique(np.concatenate(names))
+        self.piece, self.logp = np.full(len(self.node), -1), np.zeros(len(self.node))
+        at = np.searchsorted(self.node, h)
+        self.piece[at] = [i for _, i, _ in ranked]
+        self.logp[at] = [-np.log(rank + RANK_SHIFT) - norm for _, _, rank in ranked]
+        slots = [-1] * (1 << 20)
         for i, x in enumerate(self.node.tolist()):
             at = x & 0xFFFFF
-            while self.slots[at] >= 0:
+            while slots[at] >= 0:
                 at = (at + 1) & 0xFFFFF
-            self.slots[at] = i
-        sizes = np.fromiter(map(len, self.bytes_of), np.int64, n)
-        self.text = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(sizes) - sizes, sizes
+            slots[at] = i
+        self.slots = np.array(slots, np.int32)
+        self.text = np.empty(n, object)
+        self.text[:] = self.bytes_of
+        self._held: dict[str, np.ndarray] = {}
         self.clear()
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -134,15 +140,16 @@ class Lattices:
         return _mix(h * _M3 + c.astype(np.uint64) + np.uint64(1))
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words: defaultdict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
         # Of a word: its first position, the one after its last, and the bounds of the model's own ids.
         self.first, self.last, self.bounds = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
         # Of an edge, in order of position: position, target, piece, log probability, position + cumulative probability,
-        # whether it is the only edge of its position, whether it ends its word.
-        self._held: dict[str, np.ndarray] = {}
+        # log of what the position's other edges have, whether it is the only edge of its position, whether it ends its word.
+        # Arrays stay, as growing them anew costs more than filling them.
         self._used: dict[str, int] = {}
-        for name, kind in (("at", np.int32), ("to", np.int32), ("id", np.int32), ("log", np.float64), ("upto", np.float64), ("sole", np.bool_), ("closes", np.bool_), ("head", np.int32), ("own", np.int32)):
-            self._held[name], self._used[name] = np.empty(1024, kind), 0
+        for name, kind in (("at", np.int32), ("to", np.int32), ("id", np.int32), ("log", np.float64), ("upto", np.float64), ("rest", np.float64), ("sole", np.bool_), ("closes", np.bool_), ("head", np.int32), ("own", np.int32)):
+            self._held.setdefault(name, np.empty(1024, kind))
+            self._used[name] = 0
             setattr(self, name, self._held[name][:0])
         self.size = 0
 
@@ -157,7 +164,7 @@ class Lattices:
         setattr(self, name, held[: used + len(values)])
 
     def add(self, words: list[str]) -> None:
-        """Lattices of new words, all at once."""
+        """Lattices of new words, all at once, in the order of their numbers."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
         cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.cumsum(lens + 1) - lens - 1  # positions of a word: its characters and its end
@@ -188,10 +195,23 @@ class Lattices:
         length.append(np.ones(len(bare), np.int64))
         ids.append(np.where(c < 0x80, np.array(self.byte_id)[np.minimum(c, 255)], -c - 1))
         logs.append(BYTE_COST * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))
-        src, length, ids, logs = map(np.concatenate, (src, length, ids, logs))
+        # Edges by position, shorter pieces first: each list has one edge of a position at most.
+        heads = np.bincount(np.concatenate(src), minlength=len(cp))
+        free = np.cumsum(heads) - heads
+        src, place = src[-1:] + src[:-1], []  # the last list has pieces of one character, as the first
+        length, ids, logs = ([x[-1], *x[:-1]] for x in (length, ids, logs))
+        for x in src:
+            place.append(free[x])
+            free[x] += 1
+        spot = np.concatenate(place)
+        by = np.empty(len(spot), np.int64)
+        by[spot] = np.arange(len(spot))
+        src, length, ids, logs = (np.concatenate(x)[by] for x in (src, length, ids, logs))
         at, to = pos[src], pos[src] + length
-        order = np.argsort(left[src] * (len(cp) + len(words) + 1) + at, kind="stable")
-        at, to, ids, logs, rest = at[order], to[order], ids[order], logs[order], left[src][order]
+        every = at, to, ids, logs
+        rest = left[src]
+        order = np.argsort(rest.astype(np.uint16) if len(rest) and rest.max() < 1 << 16 else rest, kind="stable")
+        at, to, logs, rest = at[order], to[order], logs[order], rest[order]
         total = np.zeros(int((lens + 1).sum()))  # log of the mass of all ways from a position to its word's end
         levels = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
         for a, b in zip(levels, np.append(levels[1:], len(rest))):
@@ -200,8 +220,9 @@ class Lattices:
             top = np.maximum.reduceat(v, new)
             many = np.diff(np.append(new, b - a))
             total[at[a + new]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), new))
-        order = np.argsort(at * (self.longest + 1) - (to - at), kind="stable")  # the longest piece first: it mostly is the likeliest
-        at, to, ids, logs = at[order], to[order], ids[order], logs[order]
+        last = np.cumsum(heads)
+        turned = np.repeat(2 * last - heads - 1, heads) - np.arange(len(by))  # the longest piece first: it mostly is the likeliest
+        at, to, ids, logs = (x[turned] for x in every)
         log = np.minimum(logs + total[to] - total[at], 0.0)
         p = np.exp(log)
         new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
@@ -212,14 +233,14 @@ class Lattices:
         run[new + many - 1] = 1.0
         ends = np.zeros(len(total), bool)
         ends[first + lens] = True
-        base, n = self.size, len(self.words)
-        for i, w in enumerate(words):
-            self.words[w] = n + i
+        base = self.size
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.where(np.repeat(many == 1, many), 0.0, np.maximum(1 - p, 0.0)))  # no other edge: nothing is left
         self.first = np.append(self.first, first + base)
         self.last = np.append(self.last, first + lens + base)
         head = np.zeros(len(total), np.int64)
         head[at[new]] = new + len(self.at)
-        for name, v in (("at", at + base), ("to", to + base), ("id", ids), ("log", log), ("upto", at + base + run), ("sole", np.repeat(many == 1, many)), ("closes", ends[to]), ("head", head)):
+        for name, v in (("at", at + base), ("to", to + base), ("id", ids), ("log", log), ("upto", at + base + run), ("rest", rest), ("sole", np.repeat(many == 1, many)), ("closes", ends[to]), ("head", head)):
             self._append(name, v)
         self.size = base + len(total)
         own = self.sp.encode([w[1:] for w in words], num_threads=1)
@@ -234,10 +255,11 @@ class Lattices:
         if self.size > self.held:
             self.clear()
         split = [WORDS.findall(" " + t) if t else [] for t in texts]
-        known = self.words
-        if new := list(dict.fromkeys(w for words in split for w in words if w not in known)):
+        n = len(self.words)
+        out = [np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)) for words in split]
+        if new := list(islice(self.words, n, None)):
             self.add(new)
-        return [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in split]
+        return out
 
     def own_ids(self, words: np.ndarray) -> np.ndarray:
         return self.own[_ranges(self.bounds[words], self.bounds[words + 1])].astype(np.int64)
@@ -261,8 +283,12 @@ class Lattices:
             t += 1
         if not steps:
             return np.empty(0, np.int64), np.zeros(len(start), np.int64)
-        who = np.concatenate(who)
-        return np.concatenate(steps)[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(start))
+        many = np.bincount(np.concatenate(who), minlength=len(start))
+        first = np.cumsum(many) - many
+        out = np.empty(int(many.sum()), np.int64)
+        for t, (e, live) in enumerate(zip(steps, who)):
+            out[first[live] + t] = e
+        return out, many
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         out = self.id[edges].astype(np.int64)
@@ -278,8 +304,7 @@ class Lattices:
 
     def raw(self, ids: np.ndarray) -> bytes:
         """The bytes of all pieces, with the blank that the model puts first."""
-        flat, first, size = self.text
-        return flat[_ranges(first[ids], first[ids] + size[ids])].tobytes()
+        return b"".join(self.text[ids].tolist())
 
     def decode(self, ids: np.ndarray) -> str:
         return self.raw(ids)[1:].decode("utf-8", "surrogatepass")
@@ -303,17 +328,16 @@ class _Path:
         log = lat.log[edges]
         before = np.cumsum(log) - log
         self.log_prob = float(log.sum())
-        gone = np.exp(log[start:])
-        rest = np.where(lat.sole[edges[start:]], 0.0, np.maximum(1 - gone, 0.0))  # no other edge: nothing is left
-        if banned and len(rest):
-            e = int(edges[start])
-            a, b = np.searchsorted(lat.at, lat.at[e], "left"), np.searchsorted(lat.at, lat.at[e], "right")
-            others = [x for x in range(a, b) if x != e and x not in banned]
-            rest[0] = float(np.exp(lat.log[others]).sum())
+        rest = lat.rest[edges[start:]]
         with np.errstate(divide="ignore", over="ignore"):
-            phi = before[start:] + np.log(rest)
+            if banned and len(rest):
+                e = int(edges[start])
+                a, b = np.searchsorted(lat.at, lat.at[e], "left"), np.searchsorted(lat.at, lat.at[e], "right")
+                others = [x for x in range(a, b) if x != e and x not in banned]
+                rest[0] = np.log(float(np.exp(lat.log[others]).sum()))
+            phi = before[start:] + rest
             u = _uniform(key + np.arange(start, len(edges), dtype=np.uint64) * _M2)
-            self.bound = np.where(rest > 0, phi - np.log(np.exp(np.minimum(phi - perturbed, 700)) - np.log(u)), -np.inf)
+            self.bound = phi - np.log(np.exp(np.minimum(phi - perturbed, 700)) - np.log(u))  # -inf where nothing is left
 
     def best(self) -> float:
         return float(self.bound.max()) if len(self.bound) else -np.inf

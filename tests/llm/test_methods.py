@@ -680,3 +680,27 @@ def test_samples_do_not_depend_on_partitions(spark, documents):
 def test_merge_of_spans():
     doc, s, e = (np.array(x) for x in ([2, 1, 1, 1, 2], [5, 0, 10, 4, 9], [9, 5, 12, 8, 20]))
     assert [x.tolist() for x in suffix.merge(doc, s, e)] == [[1, 1, 2], [0, 10, 5], [8, 12, 20]]
+
+
+def test_lattices_start_and_buffers():
+    """The prefixes of all pieces are known, pieces have their ids, and the arrays of a full task are kept for the next words."""
+    from sparkloom.llm import spm
+
+    lat = spm.Lattices(spm.default_model())
+    texts = {lat.sp.id_to_piece(i).replace("▁", " "): i for i in range(lat.sp.get_piece_size()) if not (lat.sp.is_byte(i) or lat.sp.is_control(i) or lat.sp.is_unknown(i) or lat.sp.is_unused(i))}
+    some = [t for t in list(texts)[::97] if not re.search("[^ ] ", t)]
+    for t in some:
+        h = np.zeros(1, np.uint64)
+        for c in t:
+            h = lat._step(h, np.array([ord(c)], np.uint32))
+            at = lat._find(h)
+            assert at[0] >= 0
+        assert lat.piece[at[0]] == texts[t]
+    words = [f" word{i}" for i in range(3000)]
+    first = [lat.own_ids(w).tolist() for w in lat.indices(["".join(words), "één é" + "一" * 70_000])]
+    room = len(lat._held["at"])
+    assert room > 1024
+    lat.clear()
+    assert len(lat._held["at"]) == room and not lat.size and not lat.words
+    assert [lat.own_ids(w).tolist() for w in lat.indices(["".join(words), "één é" + "一" * 70_000])] == first
+    assert first[0] == lat.sp.encode("".join(words)[1:]) or lat.raw(np.array(first[0]))[1:].decode() == "".join(words)
