@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators import sequences as S
-from sparkloom.operators.features import conditional
+from sparkloom.operators.features import looked_up
 from sparkloom.operators.graph import checkpointed
 from sparkloom.operators.ordering import numbered
 from sparkloom.operators.retrieval import user_keys
@@ -40,7 +39,7 @@ def counted_columns(cats: list[str], recent_weight: float = 4.0) -> dict[str, tu
 
 
 def families(cats: list[str]) -> list[tuple[tuple[str, ...], list[Column]]]:
-    """Sources whose keys are the same for all users that agree on the columns beside them."""
+    """The sources that features read; the keys of each line are the same for all users that agree on the columns beside."""
     return [
         (("segment", "pair", "profile", "group_fine", "group_mid", "group_coarse"), [F.col(c) for c in cats]),
         (("length",), [F.col("bucket")]),
@@ -50,22 +49,12 @@ def families(cats: list[str]) -> list[tuple[tuple[str, ...], list[Column]]]:
 
 
 def counted(h: DataFrame, cats: list[str], cands: DataFrame, stats: DataFrame, totals: DataFrame, prior: DataFrame) -> DataFrame:
-    """(uid, iid, ``counted_columns``) of every candidate. Users that agree on what a family of sources reads share its rows:
-    one of them stands for all, so rows grow with distinct keys and not with users times keys."""
-    own = cands.select("uid", "iid")
-    out = own
-    for sources, by in families(cats):
-        columns = [c.alias(n) for n, (reads, c) in counted_columns(cats).items() if set(reads) <= set(sources)]
-        known = S.with_bucket(h).select("uid", F.struct(*by).alias("_by"))
-        first = known.groupBy("_by").agg(F.min("uid").alias("_first"))
-        members = checkpointed(known.join(first, known["_by"].eqNullSafe(first["_by"])).select("uid", "_first"))
-        asked = own.join(members, "uid").select(F.col("_first").alias("uid"), "iid").distinct()
-        stand = h.join(members.select(F.col("_first").alias("uid")).distinct(), "uid", "left_semi")
-        keys = user_keys(stand, cats).where(F.col("source").isin(*sources))
-        rows = conditional(keys.join(asked, "uid"), stats, totals, prior).withColumn("bare", F.col("key"))
-        wide = rows.groupBy("uid", "iid").agg(*columns).withColumnRenamed("uid", "_first")
-        out = out.join(members, "uid").join(wide, ["_first", "iid"], "left").drop("_first")
-    return out
+    """(uid, iid, ``counted_columns``) of every candidate. Candidates meet counts as lists, and all columns come from one
+    aggregation where a user's lists lie: no row of a key and a candidate is shuffled."""
+    columns = [c.alias(n) for n, (_, c) in counted_columns(cats).items()]
+    keys = user_keys(h, cats).where(F.col("source").isin(*(s for sources, _ in families(cats) for s in sources)))
+    every = prior.join(cands.select("iid").distinct(), "iid", "full_outer")
+    return looked_up(keys, cands, stats, totals, every, gathered=True).withColumn("bare", F.col("key")).groupBy("uid", "iid").agg(*columns)
 
 
 def item_columns(h: DataFrame, prior: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import features as FE
+from sparkloom.operators import pairfeatures as PF
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import stats as C
 from sparkloom.plans.ranking import conditional
@@ -39,3 +40,11 @@ def test_pairs_are_not_shuffled(spark):
     plan = FE.source_hits(conditional(spark, SF))._jdf.queryExecution().executedPlan().toString()
     after = plan[: plan.index("Generate posexplode(_ats")]
     assert "HashAggregate" in after and "Exchange hashpartitioning" not in after
+
+
+def test_counted_columns_are_made_where_a_user_lies(spark):
+    """All columns of ``pair_features_all`` that counts know come from one aggregation after a user's lists are taken apart."""
+    h, stats, cands = _tables(spark)
+    plan = PF.counted(h, ["cat"], cands, stats, C.totals(stats), FE.priors(h))._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("Generate posexplode(_ats")]
+    assert "Aggregate" in after and "Exchange hashpartitioning" not in after
